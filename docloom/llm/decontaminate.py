@@ -50,8 +50,12 @@ def size_class(n: int) -> int:
 
 
 def keys(h: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
-    """Table keys of sequences h[start:start + length], embedded in 3 * size steps; a row for each, a column for each table."""
-    steps = 3 * size
+    """Table keys of sequences h[start:start + length], a row for each, a column for each table.
+
+    The walk is 2 * size steps long, in which it passes size words on average;
+    beyond, places would be padding, equal in any two sequences.
+    """
+    steps = 2 * size
     draws = np.random.default_rng(size)
     out = np.zeros((len(start), WALKS * TABLES), np.uint64)
     if not len(h):
@@ -145,6 +149,9 @@ class Items:
             n = int(self.counts[item])
             most = int(allowed(n, self.rate))
             lo, hi = max(int(w.first[row]), start - n // 2 - most), min(int(w.first[row + 1]), start + n + n // 2 + most)
+            # each word of the item that the text lacks costs an edit
+            if n - np.isin(self.hash[self.first[item] : self.first[item] + n], w.hash[lo:hi]).sum() > most:
+                continue
             edits, a, b = closest(self.hash[self.first[item] : self.first[item] + n], w.hash[lo:hi])
             if edits <= most:
                 out.append((row, item, lo + a - int(w.first[row]), lo + b - int(w.first[row]), edits))
