@@ -29,7 +29,7 @@ from docloom.llm.toxicity import APART
 from docloom.llm.wordarrays import RADIX, WordHasher, Words, mixed, slices
 
 BLOCK_WORDS = 2_000_000  # of items that are indexed and broadcast at once
-WALKS, TABLES, SAMPLES = 4, 8, 6
+WALKS, TABLES, SAMPLES = 6, 8, 6
 SHIFTS = (0, 2, 5)  # words before the first trigram at which windows begin, too
 RATIO = 1.1  # between sizes of windows
 MIN_WORDS = 3
