@@ -57,5 +57,5 @@ def few(df: DataFrame, limit: int) -> bool:
 def semi_join(big: DataFrame, keys: DataFrame, on: str, limit: int = 1_000_000) -> DataFrame:
     """Rows of big whose key is among keys; keys are broadcast only if they are few, by count."""
     side = F.broadcast(keys) if few(keys, limit) else keys
-    renamed = side.select(F.col(on).alias("__key"))
-    return big.join(renamed, big[on].eqNullSafe(F.col("__key")), "left_semi")
+    renamed = side.select(F.col(on).alias("__semi"))
+    return big.join(renamed, big[on].eqNullSafe(F.col("__semi")), "left_semi")

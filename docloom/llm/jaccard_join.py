@@ -73,6 +73,7 @@ def signature(s: np.ndarray) -> int:
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each document, id, n, sig, and rows token, count of tokens that many documents of a task have."""
     schema = docs.select(F.col(id_col).alias("id"), *[F.lit(None).cast("long").alias(c) for c in ("n", "sig", "token", "count")]).schema
+    schema["id"].nullable = True  # rows of tokens have none
     names = schema.names
 
     def counted(batches):

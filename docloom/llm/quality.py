@@ -195,3 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
     rules, intercept = train(docs, labels, "quality", most)
     score = compiled(rules, intercept)
     return statistics(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
+    """The rows of docs that are not rejected, whole; the rules are learnt from examples (docs if not given)."""
+    rules, intercept = train(docs if examples is None else examples, labels, "quality", most)
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return statistics(packed, "__row").filter(compiled(rules, intercept) >= threshold).select("__row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, licenses, mixing, quality, quality_rules, tokencounts, toxicity, urlrules
+from docloom.llm import decontaminate, jaccard_join, licenses, mixing, pii, quality, quality_rules, tokencounts, toxicity, urlrules
 from docloom.llm.common import table
 
 #: The URL rules.
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +33,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_quality_rules, op5_license_scan, op7_quality_classifier, op8_url_filter, op9_source_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_decontamination, op4_quality_rules, op5_license_scan, op6_jaccard_join, op7_quality_classifier, op8_url_filter, op9_source_mix, op10_token_counts)}
 
 
 OP8_SQL = r"""
