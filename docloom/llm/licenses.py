@@ -71,7 +71,7 @@ class Notices:
             for k, place in uses:
                 label, words, edits = self.notices[k]
                 begin = last + 1 - size - place - edits
-                if begin < tried.get(k, -1):  # within a span that this notice has just been matched in
+                if begin < tried.get(k, -(1 << 60)):  # within a span that this notice has just been matched in
                     continue
                 lo, hi = max(0, begin), min(len(text), begin + len(words) + 3 * edits + 1)
                 while lo > 0 and text[lo - 1] != " " and lo > begin - 40:
