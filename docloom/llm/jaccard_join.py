@@ -35,7 +35,7 @@ from docloom.llm.wordarrays import RADIX, WordHasher, mixed, slices
 WORDS = 5
 PERCENT = 80
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 64, 1_000_000  # documents with a token, in a part of a task and in all; tokens put last
-PIVOTS, ROUNDS = 3, 3
+PIVOTS, ROUNDS = 1, 3
 WAITING = 4_000_000  # tokens that a task holds before it counts or sends them
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4")])
@@ -177,67 +177,92 @@ def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def full_sets(docs: DataFrame, text_col: str) -> DataFrame:
-    """sig, tokens, marks: whole sets, packed, and 16-bit fingerprints of their prefixes under the other orders."""
+def packed_sets(docs: DataFrame, text_col: str, column: str, pack) -> DataFrame:
+    """sig, column: what pack makes of each text's set, as bytes."""
 
     def packed(batches):
         hasher = WordHasher(SPACES)
         for batch in batches:
             for part in slices(batch):
-                sigs, tokens, marks = [], [], []
+                sigs, values = [], []
                 for s in sets(hasher, part.column(0)):
                     if len(s):
                         sigs.append(signature(s))
-                        tokens.append(s.tobytes())
-                        marks.append(b"".join(order_marks(s, salt) for salt in ORDERS))
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())], ["sig", "tokens", "marks"])
+                        values.append(pack(s))
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(values, pa.binary())], ["sig", column])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(packed, "sig long, tokens binary, marks binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(packed, f"sig long, {column} binary")
 
 
-def order_marks(s: np.ndarray, salt: np.uint64) -> bytes:
-    """Fingerprints of the prefix under the order of mixed(token ^ salt)."""
+def six_bytes(s: np.ndarray) -> bytes:
+    """The set with 48 bits of each token, ascending: enough to count what two documents share."""
+    return np.sort(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(data: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = data.reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def order_marks(s: np.ndarray) -> bytes:
+    """16-bit fingerprints of the set's prefix under each other order, that of mixed(token ^ salt)."""
     k = prefix(len(s))
-    h = mixed(s ^ salt)
-    return (np.partition(h, k - 1)[:k] & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    out = []
+    for salt in ORDERS:
+        h = mixed(s ^ salt)
+        out.append((np.partition(h, k - 1)[:k] & np.uint64(0xFFFF)).astype("<u2").tobytes())
+    return b"".join(out)
 
 
-def agree(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs whose prefixes meet under every other order, too; none is lost that has the similarity."""
+def overlap(na, nb):
+    """Tokens that sets of na and nb must share to have the similarity."""
+    return -(-PERCENT * (na + nb) // (100 + PERCENT))
 
-    def meeting(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u2"), np.frombuffer(y.as_buffer(), "<u2")
-                i, j = len(x) // len(ORDERS), len(y) // len(ORDERS)
-                keep.append(all(len(np.intersect1d(x[k * i : (k + 1) * i], y[k * j : (k + 1) * j])) for k in range(len(ORDERS))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b")
-    return both.select("a", "b", "marks_a", "marks_b").mapInArrow(meeting, "a long, b long")
+def meets(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+    """Whether prefixes share as many fingerprints as the similarity asks for, under every other order.
+
+    Sets that share c tokens share l of them in their first n - c + l ones, whatever the order.
+    """
+    c = overlap(nx, ny)
+    i, j = len(x) // len(ORDERS), len(y) // len(ORDERS)
+    least = min(i - nx, j - ny) + c
+    return all(np.isin(x[k * i : (k + 1) * i], y[k * j : (k + 1) * j]).sum() >= least for k in range(len(ORDERS)))
 
 
-def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs that have the similarity, on whole sets."""
+def compared(pairs: DataFrame, values: DataFrame, alike) -> DataFrame:
+    """Pairs (a, b, na, nb) of which alike(value of a, value of b, na, nb) holds. Many a meet few b: a's values are dealt out by b."""
+    columns = ["a", "b", "na", "nb"]
 
-    def alike(batches):
+    def kept(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = int(member(x, y).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), i.as_py(), j.as_py()) for i, j, x, y in zip(*[batch.column(k) for k in range(2, 6)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], columns).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(values.toDF("a", "__x"), "a").join(values.toDF("b", "__y"), "b")
+    return both.select(*columns, "__x", "__y").mapInArrow(kept, "a long, b long, na long, nb long")
 
-    both = pairs.join(tokens.toDF("b", "tokens_b"), "b").join(tokens.toDF("a", "tokens_a"), "a")
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(alike, "a long, b long")
+
+def values_of(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame, repeated_ids: bool, sigs: DataFrame, column: str, pack) -> DataFrame:
+    """sig, column of the sets named in sigs, from the text of the first document that has each."""
+    ids = checkpointed(sigs.join(firsts, "sig").select(F.col("first_id").alias(id_col)))
+    made = packed_sets(semi_join(docs, ids, id_col), text_col, column, pack)
+    return made.dropDuplicates(["sig"]) if repeated_ids else made
+
+
+def by_marks(x, y, nx, ny):
+    return meets(x.view("<u2"), y.view("<u2"), nx, ny)
+
+
+def by_sets(x, y, nx, ny):
+    both = int(member(from_six(x), from_six(y)).sum())
+    return 100 * both >= PERCENT * (nx + ny - both)
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold several components."""
-    named = members.join(labels, members["sig"] == labels["node"], "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    named = members.drop("component").join(labels, members["sig"] == labels["node"], "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
     several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     return named.join(several, "token")
 
@@ -255,29 +280,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     counts = rows.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT)
     top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
     members = written(buckets(docs, text_col, np.sort(top.view(np.uint64))))
+    firsts = checkpointed(own.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first_id")))
 
-    firsts = own.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"))
-    wanted = members.select("sig").distinct().join(firsts, "sig").select(F.col("first_id").alias(id_col))
-    table = written(full_sets(semi_join(docs, wanted, id_col), text_col).dropDuplicates(["sig"]))
-    marks, tokens = table.select("sig", "marks"), table.select("sig", "tokens")
+    repeated_ids = not own.groupBy("id").count().filter("count > 1").isEmpty()
 
     labels = spark.createDataFrame([], "node long, component long")
-    tried = spark.createDataFrame([], "a long, b long")
+    tried, left = spark.createDataFrame([], "a long, b long"), members.withColumn("component", F.col("sig"))
     for turn in range(ROUNDS + 1):
-        left = checkpointed(open_buckets(members, labels) if turn else members.withColumn("component", F.col("sig")))
-        if left.isEmpty():
-            break
+        if turn:
+            left = checkpointed(open_buckets(left, labels))
         if turn < ROUNDS:
             lot = F.xxhash64("sig", F.pmod("token", F.lit(PIVOTS)), F.lit(turn))
             pivots = left.groupBy("token").agg(F.min(F.struct(lot, "sig", "n", "component")).alias("p"))
-            met = left.join(pivots, "token").filter("component <> p.component").filter(sizes_fit("n", "p.n")).select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b"))
+            met = left.join(pivots, "token").filter("component <> p.component").filter(sizes_fit("n", "p.n")).select(F.col("sig").alias("a"), F.col("p.sig").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
         else:
             x, y = left.toDF("token", "a", "na", "ca"), left.toDF("token", "b", "nb", "cb")
-            met = x.join(y, "token").filter("a < b and ca <> cb").filter(sizes_fit("na", "nb")).select("a", "b")
+            met = x.join(y, "token").filter("a < b and ca <> cb").filter(sizes_fit("na", "nb")).select("a", "b", "na", "nb")
         pairs = checkpointed(met.distinct().join(tried, ["a", "b"], "left_anti"))
-        links = checkpointed(verified(agree(pairs, marks), tokens))
-        labels = checkpointed(contracted(labels, links))
-        tried = tried.unionByName(pairs)
+        if pairs.isEmpty():
+            if turn < ROUNDS and turn:
+                continue
+            break
+        named = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
+        likely = checkpointed(compared(pairs, values_of(docs, id_col, text_col, firsts, repeated_ids, named(pairs), "marks", order_marks), by_marks))
+        links = compared(likely, values_of(docs, id_col, text_col, firsts, repeated_ids, named(likely), "tokens", six_bytes), by_sets)
+        labels = checkpointed(contracted(labels, links.select("a", "b")))
+        tried = tried.unionByName(pairs.select("a", "b"))
 
     named = firsts.join(labels, firsts["sig"] == labels["node"], "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
