@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACES, checkpointed, partitions, semi_join, written
+from docloom.llm.common import SPACES, checkpointed, partitions, semi_join, small_batches, written
 from docloom.llm.components import components
 from docloom.llm.wordarrays import RADIX, WordHasher, mixed, slices
 
@@ -36,7 +36,7 @@ WORDS = 5
 PERCENT = 80
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 64, 1_000_000  # documents with a token, in a part of a task and in all; tokens put last
 PIVOTS, ROUNDS = 1, 3
-WAITING = 4_000_000  # tokens that a task holds before it counts or sends them
+WAITING = 2_000_000  # tokens that a task holds before it counts or sends them
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4")])
 
@@ -274,6 +274,7 @@ def sizes_fit(a: str, b: str):
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(id_col, text_col)
     rows = written(classes(docs, id_col, text_col))
     own = rows.filter("n is not null").select("id", "n", "sig")

@@ -151,7 +151,7 @@ def repeated(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return same, again
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Parts of a batch of at most so many bytes of text, or one row."""
     if not batch.num_rows:
         return
