@@ -4,7 +4,8 @@ A document's set is its distinct five-word shingles. If two sets have a Jaccard
 similarity of t or more, then under any order of all tokens the first
 |x| - ceil(t |x|) + 1 tokens of both have one in common. The first order puts
 frequent tokens last and the rest by hash: tokens met in its prefixes make the
-buckets from which candidates come. Other orders, by other hashes, then must
+buckets from which candidates come, if what follows the token is long enough in
+both sets. Other orders, by other hashes, then must
 agree, on short fingerprints of their prefixes; what passes all is verified on
 the whole sets.
 
@@ -38,7 +39,7 @@ LOCAL, FREQUENT, MOST_FREQUENT = 3, 64, 1_000_000  # documents with a token, in
 PIVOTS, ROUNDS = 1, 3
 WAITING = 2_000_000  # tokens that a task holds before it counts or sends them
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
-SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4")])
+SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def prefix(n):
@@ -109,7 +110,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """token, sig, n: the members of every bucket of the first order's prefixes that may have two.
+    """token, sig, n, pos: the members of every bucket of the first order's prefixes that may have two.
 
     Tasks send packed arrays, a row for each part of the token space; frequent
     tokens are dealt out by class too, so that no part holds all of one.
@@ -144,7 +145,7 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
                     late = member(s, last.value)
                     first = np.concatenate([s[~late], s[late]])[: prefix(len(s))]
                     rows = np.empty(len(first), SENT)
-                    rows["token"], rows["sig"], rows["n"] = first.view(np.int64), sig, len(s)
+                    rows["token"], rows["sig"], rows["n"], rows["pos"] = first.view(np.int64), sig, len(s), np.arange(len(first))
                     waiting.append(rows)
                     size += len(rows)
                 if size >= WAITING // 4:
@@ -165,10 +166,10 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
         rows = rows[keep]
         for i in range(0, len(rows), 100_000):
             part = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c]).astype(np.int64)) for c in ("token", "sig", "n")], ["token", "sig", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c]).astype(np.int64)) for c in SENT.names], list(SENT.names))
 
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(sent, "part int, rows binary")
-    return packed.repartition(parts, "part").mapInArrow(met, "token long, sig long, n long")
+    return packed.repartition(parts, "part").mapInArrow(met, "token long, sig long, n long, pos long")
 
 
 def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -262,13 +263,19 @@ def by_sets(x, y, nx, ny):
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold several components."""
-    named = members.drop("component").join(labels, members["sig"] == labels["node"], "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    named = members.drop("component").join(labels, members["sig"] == labels["node"], "left").select("token", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
     several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     return named.join(several, "token")
 
 
-def sizes_fit(a: str, b: str):
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
+def fit(na: str, nb: str, pa_: str, pb: str):
+    """Whether sets of na and nb tokens can have the similarity if the token at these positions is their first common one.
+
+    All that they share then stands from there on. The pair's first common token
+    passes, so no pair is lost; frequent tokens stand late and seldom pass.
+    """
+    c = F.floor((PERCENT * (F.col(na) + F.col(nb)) + 99 + PERCENT) / (100 + PERCENT))
+    return (F.col(pa_) <= F.col(na) - c) & (F.col(pb) <= F.col(nb) - c)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,11 +299,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             left = checkpointed(open_buckets(left, labels))
         if turn < ROUNDS:
             lot = F.xxhash64("sig", F.pmod("token", F.lit(PIVOTS)), F.lit(turn))
-            pivots = left.groupBy("token").agg(F.min(F.struct(lot, "sig", "n", "component")).alias("p"))
-            met = left.join(pivots, "token").filter("component <> p.component").filter(sizes_fit("n", "p.n")).select(F.col("sig").alias("a"), F.col("p.sig").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
+            pivots = left.groupBy("token").agg(F.min(F.struct(lot, "sig", "n", "pos", "component")).alias("p"))
+            met = left.join(pivots, "token").filter("component <> p.component").filter(fit("n", "p.n", "pos", "p.pos")).select(F.col("sig").alias("a"), F.col("p.sig").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
         else:
-            x, y = left.toDF("token", "a", "na", "ca"), left.toDF("token", "b", "nb", "cb")
-            met = x.join(y, "token").filter("a < b and ca <> cb").filter(sizes_fit("na", "nb")).select("a", "b", "na", "nb")
+            x, y = left.toDF("token", "a", "na", "pa", "ca"), left.toDF("token", "b", "nb", "pb", "cb")
+            met = x.join(y, "token").filter("a < b and ca <> cb").filter(fit("na", "nb", "pa", "pb")).select("a", "b", "na", "nb")
         pairs = checkpointed(met.distinct().join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if turn < ROUNDS and turn:
