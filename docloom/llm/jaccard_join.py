@@ -10,8 +10,8 @@ agree, on short fingerprints of their prefixes; what passes all is verified on
 the whole sets.
 
 Only components are wanted, so buckets aren't expanded into pairs. Equal sets are
-one class from the start. In each round every member of a bucket meets a few of
-its members, drawn as pivots, and links contract the classes; rounds touch only
+one class from the start. In each round every member of a bucket meets one of
+them, its most central one at first and then one drawn by lot, and links contract the classes; rounds touch only
 buckets that still hold several components. What is left after the rounds meets
 in full, so every link between different components is found: the result is
 exact (with 64-bit hashes of shingles and classes).
@@ -36,7 +36,7 @@ from docloom.llm.wordarrays import RADIX, WordHasher, mixed, slices
 WORDS = 5
 PERCENT = 80
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 64, 1_000_000  # documents with a token, in a part of a task and in all; tokens put last
-PIVOTS, ROUNDS = 1, 3
+ROUNDS = 3
 WAITING = 2_000_000  # tokens that a task holds before it counts or sends them
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -110,7 +110,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """token, sig, n, pos: the members of every bucket of the first order's prefixes that may have two.
+    """token, sig, n, pos, size (of the bucket, as far as one task sees it): the members of every bucket of the first order's prefixes that may have two.
 
     Tasks send packed arrays, a row for each part of the token space; frequent
     tokens are dealt out by class too, so that no part holds all of one.
@@ -163,13 +163,15 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
         rows = rows[np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))]
         same = rows["token"][1:] == rows["token"][:-1]
         keep = np.append(same, False) | np.append(False, same) | member(rows["token"].view(np.uint64), last.value)
+        edge = np.append(np.flatnonzero(np.append(True, ~same)), len(rows))
+        size = np.repeat(np.diff(edge), np.diff(edge))[keep]
         rows = rows[keep]
         for i in range(0, len(rows), 100_000):
             part = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c]).astype(np.int64)) for c in SENT.names], list(SENT.names))
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(part[c]).astype(np.int64)) for c in SENT.names], pa.array(size[i : i + 100_000])], [*SENT.names, "size"])
 
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(sent, "part int, rows binary")
-    return packed.repartition(parts, "part").mapInArrow(met, "token long, sig long, n long, pos long")
+    return packed.repartition(parts, "part").mapInArrow(met, "token long, sig long, n long, pos long, size long")
 
 
 def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -263,7 +265,7 @@ def by_sets(x, y, nx, ny):
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold several components."""
-    named = members.drop("component").join(labels, members["sig"] == labels["node"], "left").select("token", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
+    named = members.drop("component").join(labels, members["sig"] == labels["node"], "left").select("token", "sig", "n", "pos", "central", F.coalesce("component", "sig").alias("component"))
     several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     return named.join(several, "token")
 
@@ -293,16 +295,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     repeated_ids = not own.groupBy("id").count().filter("count > 1").isEmpty()
 
     labels = spark.createDataFrame([], "node long, component long")
-    tried, left = spark.createDataFrame([], "a long, b long"), members.withColumn("component", F.col("sig"))
+    # a set whose tokens many others have lies in the middle of its group, and links most of it
+    central = members.groupBy("sig").agg((F.sum("size") / F.max("n")).alias("central"))
+    left = members.drop("size").join(central, "sig").withColumn("component", F.col("sig"))
+    tried = spark.createDataFrame([], "a long, b long")
     for turn in range(ROUNDS + 1):
         if turn:
             left = checkpointed(open_buckets(left, labels))
         if turn < ROUNDS:
-            lot = F.xxhash64("sig", F.pmod("token", F.lit(PIVOTS)), F.lit(turn))
+            lot = F.xxhash64("sig", F.lit(turn)) if turn else -F.col("central")
             pivots = left.groupBy("token").agg(F.min(F.struct(lot, "sig", "n", "pos", "component")).alias("p"))
             met = left.join(pivots, "token").filter("component <> p.component").filter(fit("n", "p.n", "pos", "p.pos")).select(F.col("sig").alias("a"), F.col("p.sig").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
         else:
-            x, y = left.toDF("token", "a", "na", "pa", "ca"), left.toDF("token", "b", "nb", "pb", "cb")
+            x, y = left.drop("central").toDF("token", "a", "na", "pa", "ca"), left.drop("central").toDF("token", "b", "nb", "pb", "cb")
             met = x.join(y, "token").filter("a < b and ca <> cb").filter(fit("na", "nb", "pa", "pb")).select("a", "b", "na", "nb")
         pairs = checkpointed(met.distinct().join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
