@@ -223,28 +223,29 @@ def overlap(na, nb):
     return -(-PERCENT * (na + nb) // (100 + PERCENT))
 
 
-def meets(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
-    """Whether prefixes share as many fingerprints as the similarity asks for, under every other order.
+def meets(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
+    """The least number of fingerprints that prefixes share under any other order; -1 if it is less than the similarity asks for.
 
     Sets that share c tokens share l of them in their first n - c + l ones, whatever the order.
     """
     c = overlap(nx, ny)
     i, j = len(x) // len(ORDERS), len(y) // len(ORDERS)
     least = min(i - nx, j - ny) + c
-    return all(np.isin(x[k * i : (k + 1) * i], y[k * j : (k + 1) * j]).sum() >= least for k in range(len(ORDERS)))
+    shared = min(int(np.isin(x[k * i : (k + 1) * i], y[k * j : (k + 1) * j]).sum()) for k in range(len(ORDERS)))
+    return shared if shared >= least else -1
 
 
 def compared(pairs: DataFrame, values: DataFrame, alike) -> DataFrame:
-    """Pairs (a, b, na, nb) of which alike(value of a, value of b, na, nb) holds. Many a meet few b: a's values are dealt out by b."""
+    """Pairs (a, b, na, nb) of which alike(value of a, value of b, na, nb) isn't negative, with it as score. Many a meet few b: a's values are dealt out by b."""
     columns = ["a", "b", "na", "nb"]
 
     def kept(batches):
         for batch in batches:
-            keep = [alike(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), i.as_py(), j.as_py()) for i, j, x, y in zip(*[batch.column(k) for k in range(2, 6)], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], columns).filter(pa.array(keep, pa.bool_()))
+            score = [alike(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), i.as_py(), j.as_py()) for i, j, x, y in zip(*[batch.column(k) for k in range(2, 6)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [pa.array(score, pa.int64())], [*columns, "score"]).filter(pa.array([x >= 0 for x in score], pa.bool_()))
 
     both = pairs.join(values.toDF("a", "__x"), "a").join(values.toDF("b", "__y"), "b")
-    return both.select(*columns, "__x", "__y").mapInArrow(kept, "a long, b long, na long, nb long")
+    return both.select(*columns, "__x", "__y").mapInArrow(kept, "a long, b long, na long, nb long, score long")
 
 
 def values_of(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame, repeated_ids: bool, sigs: DataFrame, column: str, pack) -> DataFrame:
@@ -260,7 +261,14 @@ def by_marks(x, y, nx, ny):
 
 def by_sets(x, y, nx, ny):
     both = int(member(from_six(x), from_six(y)).sum())
-    return 100 * both >= PERCENT * (nx + ny - both)
+    return both if 100 * both >= PERCENT * (nx + ny - both) else -1
+
+
+def between(likely: DataFrame, labels: DataFrame) -> DataFrame:
+    """Likely pairs between different components, with both as ca and cb, the lesser first."""
+    of = lambda df, c, name: df.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
+    named = of(of(likely, "a", "__ca"), "b", "__cb").filter("__ca <> __cb")
+    return named.withColumn("ca", F.least("__ca", "__cb")).withColumn("cb", F.greatest("__ca", "__cb")).drop("__ca", "__cb")
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -316,8 +324,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             break
         named = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
         likely = checkpointed(compared(pairs, values_of(docs, id_col, text_col, firsts, repeated_ids, named(pairs), "marks", order_marks), by_marks))
-        links = compared(likely, values_of(docs, id_col, text_col, firsts, repeated_ids, named(likely), "tokens", six_bytes), by_sets)
-        labels = checkpointed(contracted(labels, links.select("a", "b")))
+        # the likeliest pair of each two components comes first: where it links, the other pairs of the two need no look
+        for first in (True, False) if turn == ROUNDS else (False,):
+            chosen = between(likely, labels)
+            if first:
+                chosen = chosen.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("score", "a", "b")).alias("p")).select("p.*")
+            chosen = checkpointed(chosen.select("a", "b", "na", "nb"))
+            links = compared(chosen, values_of(docs, id_col, text_col, firsts, repeated_ids, named(chosen), "tokens", six_bytes), by_sets)
+            labels = checkpointed(contracted(labels, links.select("a", "b")))
         tried = tried.unionByName(pairs.select("a", "b"))
 
     named = firsts.join(labels, firsts["sig"] == labels["node"], "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
