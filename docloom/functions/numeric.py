@@ -77,7 +77,7 @@ def guess_unit(label: Column, table_name: Column, unit_cell: Column | None = Non
 def format_like(template: Column, value: Column) -> Column:
     """value with the template's decimals and thousands separators."""
     decimals = F.length(F.regexp_extract(template, r"\.([0-9]+)", 1))
-    grouped = F.format_number(value, F.concat(F.lit("#,##0."), F.repeat(F.lit("0"), decimals)))
+    grouped = F.call_function("format_number", value, F.concat(F.lit("#,##0."), F.repeat(F.lit("0"), decimals)))
     text = F.regexp_replace(grouped, r"\.$", "")
     return F.when(template.contains(","), text).otherwise(F.translate(text, ",", ""))
 

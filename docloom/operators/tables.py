@@ -37,7 +37,7 @@ def blank(c: Column) -> Column:
 def promoted(headers: Column, rows: Column) -> Column:
     """Whether the first row holds the years that generated headers lack."""
     generated = F.exists(headers, lambda h: h.rlike(r"^column_?[0-9]+$"))
-    return generated & ~F.exists(headers, numeric.is_year) & F.coalesce(F.exists(rows[0], numeric.is_year), F.lit(False)) & F.forall(F.slice(rows[0], 2, 1000), lambda x: blank(x) | numeric.is_year(numeric.strip(x)))
+    return generated & ~F.exists(headers, numeric.is_year) & F.coalesce(F.exists(F.get(rows, F.lit(0)), numeric.is_year), F.lit(False)) & F.forall(F.slice(F.get(rows, F.lit(0)), 2, 1000), lambda x: blank(x) | numeric.is_year(numeric.strip(x)))
 
 
 def normalized(tables: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def normalized(tables: DataFrame) -> DataFrame:
     out = out.withColumn("headers", filled_headers(fitted(F.transform("headers", lambda h: text.clean_cell(F.coalesce(h, F.lit("")), header=True)), width)))
     out = out.withColumn("rows", F.transform("rows", lambda r: F.transform(fitted(r, F.size("headers")), lambda x: text.clean_cell(F.coalesce(x, F.lit(""))))))
     out = out.withColumn("__up", F.coalesce(promoted(F.col("headers"), F.col("rows")), F.lit(False)))
-    years = F.zip_with("headers", F.col("rows")[0], lambda h, y: F.when(numeric.is_year(y), y).otherwise(h))
+    years = F.zip_with("headers", F.get("rows", F.lit(0)), lambda h, y: F.when(numeric.is_year(y), y).otherwise(h))
     return (
         out.withColumn("__h", F.when(F.col("__up"), filled_headers(years)).otherwise(F.col("headers")))
         .withColumn("rows", F.when(F.col("__up"), F.slice("rows", 2, 1 << 30)).otherwise(F.col("rows")))
@@ -65,9 +65,9 @@ def facts(tables: DataFrame, keys: list[str], impute_last_year: bool = True) ->
     A unit that slipped into a year's column is the row's unit, and the values
     after it move left; with impute_last_year the last year then keeps its cell.
     """
-    years = F.filter(F.transform("headers", lambda h, i: F.struct(h.alias("year"), i.alias("at"))), lambda x: numeric.is_year(x["year"]))
+    years = F.filter(F.transform("headers", lambda h, i: F.named_struct(F.lit("year"), h, F.lit("at"), i)), lambda x: numeric.is_year(x["year"]))
     rows = tables.filter(is_fact_table(F.col("headers"))).select(*keys, "headers", years.alias("__years"), F.posexplode("rows").alias("row_index", "__row"))
-    rows = rows.withColumn("row_label", numeric.strip(F.col("__row")[0])).filter(F.coalesce(F.col("row_label"), F.lit("")) != "")
+    rows = rows.withColumn("row_label", numeric.strip(F.get("__row", F.lit(0)))).filter(F.coalesce(F.col("row_label"), F.lit("")) != "")
     cells = F.transform("__years", lambda y: numeric.strip(F.coalesce(F.get("__row", y["at"]), F.lit(""))))
     rows = rows.withColumn("__cells", cells).withColumn("__slipped", F.filter("__cells", lambda x: numeric.unit_token(x).isNotNull()))
     values = F.filter("__cells", lambda x: numeric.unit_token(x).isNull())
@@ -77,7 +77,7 @@ def facts(tables: DataFrame, keys: list[str], impute_last_year: bool = True) ->
     unit_cell = F.when(F.array_contains("headers", numeric.UNIT_HEADER), named)
     name = F.col("table_name") if "table_name" in keys else F.lit("")
     unit = F.coalesce(numeric.unit_token(F.get("__slipped", F.lit(0))), numeric.guess_unit(F.col("row_label"), name, unit_cell))
-    long = rows.select(*keys, "row_index", "row_label", unit.alias("unit"), F.explode(F.arrays_zip(F.transform("__years", lambda y: y["year"]).alias("y"), F.col("__values").alias("v"))).alias("__c"))
+    long = rows.select(*keys, "row_index", "row_label", unit.alias("unit"), F.explode(F.zip_with("__years", "__values", lambda y, v: F.named_struct(F.lit("y"), y["year"], F.lit("v"), v))).alias("__c"))
     long = long.select(*keys, "row_index", "row_label", F.col("__c.y").alias("metric_year"), F.col("__c.v").alias("raw_value"), "unit")
     return long.filter(~blank(F.col("raw_value"))).withColumn("numeric_value", numeric.parse_numeric(F.col("raw_value")))
 
@@ -85,7 +85,7 @@ def facts(tables: DataFrame, keys: list[str], impute_last_year: bool = True) ->
 def attributes(tables: DataFrame, keys: list[str]) -> DataFrame:
     """keys, row_index, row_label, col_name, col_value, col_value_num: entity, attribute, value, blanks left out; a blank label is row_i."""
     rows = tables.filter(~is_fact_table(F.col("headers"))).select(*keys, "headers", F.posexplode("rows").alias("row_index", "__row"))
-    label = F.when(blank(F.col("__row")[0]), F.concat(F.lit("row_"), F.col("row_index").cast("string"))).otherwise(numeric.strip(F.col("__row")[0]))
+    label = F.when(blank(F.get("__row", F.lit(0))), F.concat(F.lit("row_"), F.col("row_index").cast("string"))).otherwise(numeric.strip(F.get("__row", F.lit(0))))
     cells = rows.select(*keys, "row_index", label.alias("row_label"), F.posexplode(F.arrays_zip(F.col("headers").alias("h"), F.col("__row").alias("v"))).alias("__i", "__c"))
     out = cells.filter("__i > 0").select(*keys, "row_index", "row_label", F.col("__c.h").alias("col_name"), numeric.strip(F.col("__c.v")).alias("col_value"))
     return out.filter(~blank(F.col("col_value"))).withColumn("col_value_num", numeric.parse_numeric(F.col("col_value")))
