@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import numeric, text
-from docloom.operators import retrieval, tables
+from docloom.operators import pages, retrieval, tables
 from docloom.streaming import counts
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
@@ -393,6 +393,40 @@ def stream_daily_counts(t):
     return counts.daily(t.spark, t.path("events"), t("events").schema)
 
 
+TITLE = "nullif(trim(regexp_extract(html, '{}', 1)), '')"
+TITLES = ['(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)"', "(?is)<title[^>]*>(.*?)</title>", "(?is)<h1[^>]*>(.*?)</h1>"]
+
+
+@query(f"SELECT page_id, coalesce({', '.join(TITLE.format(x) for x in TITLES)}) AS title FROM pages")
+def page_title(t):
+    return t("pages").select("page_id", pages.page_title(F.col("html")).alias("title"))
+
+
+@query("""
+SELECT page_id, link, min(pos) AS pos FROM (
+  SELECT page_id, pos, CASE WHEN h LIKE '/%' AND h NOT LIKE '//%' AND host <> '' THEN host || h ELSE h END AS link FROM (
+    SELECT page_id, pos - 1 AS pos, host, regexp_replace(hs[pos], '#.*$', '') AS h FROM (
+      SELECT page_id, host, hs, unnest(range(1, len(hs) + 1)) AS pos FROM (
+        SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages))))
+WHERE regexp_matches(link, '^https?://') GROUP BY 1, 2""")
+def page_links(t):
+    return pages.links(t("pages"), "page_id")
+
+
+@query("SELECT p_partkey, 'parts' AS title, 'name' AS h1, 'size' AS h2, trim(p_name) AS name, CAST(p_size AS VARCHAR) AS size, CAST(2 AS BIGINT) AS at FROM part WHERE p_name NOT LIKE '%|%'")
+def pipe_tables(t):
+    line = F.format_string("Intro.\n| parts |\n| name | size |\n|:--|--:|\n| %s | %d |\n\nEnd.", "p_name", "p_size")
+    found = pages.pipe_tables(t("part").filter(~F.col("p_name").contains("|")).select("p_partkey", line.alias("text")), "p_partkey")
+    return found.select("p_partkey", "title", F.col("headers")[0].alias("h1"), F.col("headers")[1].alias("h2"), F.explode("rows").alias("r"), long("at").alias("at")).select("p_partkey", "title", "h1", "h2", F.col("r")[0].alias("name"), F.col("r")[1].alias("size"), "at")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, 'Customer' AS h1, c_name AS v1, c_mktsegment AS v2 FROM customer")
+def html_tables(t):
+    made = F.concat(F.lit("<p>x</p><TABLE class='a'><tr><td> </td></tr><tr><th>Customer</th><th>Segment</th></tr>\n<tr><td><b>"), "c_name", F.lit("</b></td><td>\n"), "c_mktsegment", F.lit("</td></tr></TABLE>"))
+    found = pages.html_tables(t("customer").select(long("c_custkey").alias("c_custkey"), made.alias("html")), "c_custkey")
+    return found.select("c_custkey", F.col("headers")[0].alias("h1"), F.explode("rows").alias("r")).select("c_custkey", "h1", F.col("r")[0].alias("v1"), F.col("r")[1].alias("v2"))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
