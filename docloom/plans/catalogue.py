@@ -271,6 +271,11 @@ def normalize_lookup(t):
     return t("documents").filter(~start.rlike(r"^\s|\s$")).select("doc_id", F.md5(text.normalize_lookup(start).cast("binary")).alias("digest"))
 
 
+@query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(" + BARE.format(c="coalesce(text, '')") + r", '^[\s\x0B\p{Z}]+', ''), '[\s\x0B\p{Z}]+$', ''))) AS digest FROM documents")
+def normalize_lookup_whole(t):
+    return t("documents").select("doc_id", F.md5(text.normalize_lookup(F.col("text")).cast("binary")).alias("digest"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_name ELSE p_name || '-' || p_name END AS name FROM part")
 def dedup_title(t):
     doubled = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", "p_name")).when(F.col("p_size") % 3 == 1, F.concat_ws("_", "p_name", "p_name")).otherwise(F.concat_ws("-", "p_name", "p_name"))

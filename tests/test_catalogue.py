@@ -1,6 +1,8 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
+import hashlib
 import os
+import re
 
 import duckdb
 import pytest
@@ -37,3 +39,11 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert catalogue.entry(spark, DATA).count() == 4
+
+
+def test_lookup_digests_cover_every_row_and_the_whole_text(spark):
+    texts = ["a" * 250 + "B", "a" * 250 + "C", " Lead (x) ", "tail\n", "\u00a0A-b\u3000", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["digest"] for r in catalogue.normalize_lookup_whole({"documents": docs}.__getitem__).collect()}
+    plain = [re.sub(r"[ \n\r\t,:;(){}\[\]\"'`“”‘’%\-_/]", "", t or "").strip().lower() for t in texts]
+    assert got == {i: hashlib.md5(p.encode()).hexdigest() for i, p in enumerate(plain)}
