@@ -8,9 +8,11 @@ places are the keys of many tables, and a window that shares a key with an item
 is a candidate. Exact word edit distance between the item and the best part of
 the text around the window decides.
 
-Windows begin where a word trigram of any item stands after none: a passage with
-e edits of n words keeps n - 2 - 3e of its trigrams, so windows with fewer can't
-hold an item within the edits allowed and aren't embedded.
+Windows begin where one of an item's first 3e + 1 word trigrams stands, as many
+words before it as in the item, whatever stands before: an edit spoils three
+trigrams at most, so one of them is left in any passage with e edits. Such a
+passage of n words keeps n - 2 - 3e of its trigrams in all, so windows with fewer
+can't hold an item within the edits allowed and aren't embedded.
 
 Items of fewer than 3 words match nothing. Null and empty texts have no matches.
 Rows with equal ids, and equal items, are matched each.
@@ -30,7 +32,6 @@ from docloom.llm.wordarrays import RADIX, WordHasher, Words, mixed, slices
 
 BLOCK_WORDS = 2_000_000  # of items that are indexed and broadcast at once
 WALKS, TABLES, SAMPLES = 6, 8, 6
-SHIFTS = (0, 2, 5)  # words before the first trigram at which windows begin, too
 RATIO = 1.1  # between sizes of windows
 MIN_WORDS = 3
 MOST_WAITING = 2_000_000  # words of texts that are embedded together
@@ -73,6 +74,29 @@ def keys(h: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.
     return mixed(out + (np.arange(WALKS * TABLES, dtype=np.uint64) + np.uint64(1000 * size)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def top_words(size: int) -> int:
+    """The longest item of a size class, about."""
+    return math.ceil(size * RATIO)
+
+
+def most_edits(size: int, rate: float) -> int:
+    return int(allowed(top_words(size), rate))
+
+
+def leads(h: np.ndarray, first: np.ndarray, counts: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 3 * edits + 1 trigrams of sequences h[first:first + counts], ascending, and their places in them."""
+    gram, offset = [], []
+    for k in range(3 * edits + 1):
+        a = first[counts >= k + 3] + k
+        gram.append(mixed((h[a] * np.uint64(RADIX) + h[a + 1]) * np.uint64(RADIX) + h[a + 2]))
+        offset.append(np.full(len(a), k))
+    gram, offset = np.concatenate(gram), np.concatenate(offset)
+    order = np.lexsort((offset, gram))
+    gram, offset = gram[order], offset[order]
+    new = np.append(True, (gram[1:] != gram[:-1]) | (offset[1:] != offset[:-1]))
+    return gram[new], offset[new]
+
+
 class Items:
     """One block of items: words, trigrams and keys."""
 
@@ -86,10 +110,11 @@ class Items:
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.grams >> np.uint64(42)).astype(np.int64)] = True
         sizes = {i: size_class(int(n)) for i, n in enumerate(self.counts) if n >= MIN_WORDS}
-        found, who = [], []
+        found, who, self.leads = [], [], {}
         self.sizes = sorted(set(sizes.values()))
         for size in self.sizes:
             own = np.array([i for i, s in sizes.items() if s == size])
+            self.leads[size] = leads(self.hash, self.first[own], self.counts[own], most_edits(size, rate))
             k = keys(self.hash, self.first[own], np.minimum(self.counts[own], size), size)
             found.append(k.ravel())
             who.append(np.repeat(own, k.shape[1]))
@@ -102,23 +127,25 @@ class Items:
         at, grams = w.windows(3)
         maybe = np.flatnonzero(self.sieve[(grams >> np.uint64(42)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.grams, grams[maybe]), max(len(self.grams) - 1, 0))
-        hits = at[maybe[self.grams[place] == grams[maybe]]] if len(self.grams) else at[:0]
+        met = maybe[self.grams[place] == grams[maybe]] if len(self.grams) else maybe[:0]
+        hits, h = at[met], grams[met]
         if not len(hits):
             return []
-        doc = w.doc[hits]
-        fresh = np.ones(len(hits), bool)
-        fresh[1:] = (hits[1:] != hits[:-1] + 1) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(fresh)
         out = []
         for size in self.sizes:
-            top = math.ceil(size * RATIO)  # the longest item of the class, about
-            least = max(1, size - 2 - 3 * int(allowed(top, self.rate)))
-            last = begin + least - 1
-            ok = last < len(hits)
-            b, e = begin[ok], last[ok]
-            b = b[(doc[e] == doc[b]) & (hits[e] - hits[b] <= top + int(allowed(top, self.rate)) - 3)]
-            if len(b):
-                starts = np.unique(np.concatenate([np.maximum(hits[b] - s, w.first[doc[b]]) for s in SHIFTS]))
+            edits = most_edits(size, self.rate)
+            gram, offset = self.leads[size]
+            lo, hi = np.searchsorted(gram, h, "left"), np.searchsorted(gram, h, "right")
+            n = hi - lo
+            lead = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at_hit = np.repeat(hits, n)
+            doc = w.doc[at_hit]
+            key = np.unique(np.column_stack([doc, np.maximum(at_hit - offset[lead], w.first[doc])]), axis=0)
+            doc, starts = key[:, 0], key[:, 1]
+            # edits before the trigram move the window by as many words
+            within = np.searchsorted(hits, np.minimum(starts + top_words(size) + 2 * edits - 2, w.first[doc + 1])) - np.searchsorted(hits, np.maximum(starts - edits, w.first[doc]))
+            starts = starts[within >= max(1, size - 2 - 3 * edits)]
+            if len(starts):
                 out.append((size, starts))
         return out
 

@@ -178,6 +178,24 @@ def test_benchmark_items_are_found_with_edits_and_clean_texts_left(spark):
     assert decontaminate.find(documents(spark, texts), benchmark.filter("false")).count() == 0
 
 
+def test_items_that_follow_words_of_other_items_are_found(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 7)))
+    own = lambda n: [word() for _ in range(n)]
+    items, texts, want = [], [], set()
+    for early in (1, 2, 3, 5, 8, 13, 20):
+        outer = own(60)
+        nested, phrase, after = outer[30:50], outer[-early:], own(20)
+        k, i = len(items), len(texts)
+        items += [outer, nested, after, after[8:] + own(12)]
+        # a part of the outer item that begins before the nested one; a phrase of one item before another; two that overlap
+        texts += [own(50) + outer[30 - early : 50] + own(50), own(50) + phrase + after + own(50), own(50) + after + items[-1][12:] + own(50)]
+        want |= {(i, k + 1), (i + 1, k + 2), (i + 2, k + 2), (i + 2, k + 3)}
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(documents(spark, [" ".join(t) for t in texts]), benchmark).collect() if r["edits"] == 0}
+    assert got == want
+
+
 # quality rules
 
 
