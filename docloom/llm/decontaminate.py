@@ -8,6 +8,11 @@ places are the keys of many tables, and a window that shares a key with an item
 is a candidate. Exact word edit distance between the item and the best part of
 the text around the window decides.
 
+Long items are cut into pieces of PIECE words and more, any of which makes a
+candidate: the piece with the fewest edits has no more than its share. Each size
+of piece gets as many walks as made passages with the most edits allowed need to
+be met at the target recall.
+
 Windows begin where one of an item's first 3e + 1 word trigrams stands, as many
 words before it as in the item, whatever stands before: an edit spoils three
 trigrams at most, so one of them is left in any passage with e edits. Such a
@@ -21,6 +26,7 @@ Rows with equal ids, and equal items, are matched each.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,9 @@ from docloom.llm.toxicity import APART
 from docloom.llm.wordarrays import RADIX, WordHasher, Words, mixed, slices
 
 BLOCK_WORDS = 2_000_000  # of items that are indexed and broadcast at once
-WALKS, TABLES, SAMPLES = 6, 8, 6
+TARGET, TRIALS = 0.99, 400  # recall of passages with the most edits allowed; made passages that it is tried on
+STEP, TABLES, SAMPLES = 4, 8, 6  # walks that are added at once
+PIECE = 16  # words of an item's pieces, at least
 RATIO = 1.1  # between sizes of windows
 MIN_WORDS = 3
 MOST_WAITING = 2_000_000  # words of texts that are embedded together
@@ -50,7 +58,7 @@ def size_class(n: int) -> int:
     return size
 
 
-def keys(h: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+def keys(h: np.ndarray, start: np.ndarray, length: np.ndarray, size: int, walks: int) -> np.ndarray:
     """Table keys of sequences h[start:start + length], a row for each, a column for each table.
 
     The walk is 2 * size steps long, in which it passes size words on average;
@@ -58,10 +66,10 @@ def keys(h: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.
     """
     steps = 2 * size
     draws = np.random.default_rng(size)
-    out = np.zeros((len(start), WALKS * TABLES), np.uint64)
+    out = np.zeros((len(start), walks * TABLES), np.uint64)
     if not len(h):
         return out
-    for walk in range(WALKS):
+    for walk in range(walks):
         salt = draws.integers(0, 1 << 63, steps, dtype=np.uint64)
         wanted = np.array([draws.choice(steps, min(SAMPLES, steps), replace=False) for _ in range(TABLES)])
         tables = [np.flatnonzero((wanted == j).any(1)) + walk * TABLES for j in range(steps)]
@@ -71,7 +79,38 @@ def keys(h: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.
             for t in tables[j]:
                 out[:, t] = (out[:, t] + word + np.uint64(1)) * np.uint64(RADIX)
             at += (mixed(word ^ salt[j]) & np.uint64(1)).astype(np.int64)
-    return mixed(out + (np.arange(WALKS * TABLES, dtype=np.uint64) + np.uint64(1000 * size)) * np.uint64(0x9E3779B97F4A7C15))
+    return mixed(out + (np.arange(walks * TABLES, dtype=np.uint64) + np.uint64(1000 * size)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@cache
+def walks_for(size: int, rate: float) -> int:
+    """Walks in which TARGET of made passages, with the most edits allowed in a size class, share a key with their item."""
+    rng = np.random.default_rng(1000 + size)
+    edits, n = most_edits(size, rate), max(size, top_words(size) - 1)
+    words = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    items, texts, starts, trial, first = words(TRIALS * n), [], [], [], 0
+    for i in range(TRIALS):
+        own = passage = items[i * n : (i + 1) * n]
+        for _ in range(edits):
+            at, kind = rng.integers(len(passage)), rng.integers(3)  # a word goes, changes or comes
+            passage = np.concatenate([passage[:at], words(min(kind, 1)), passage[at + (kind < 2) :]])
+        texts.append(np.concatenate([words(n), passage, words(n)]))
+        where = {x: j for j, x in enumerate(texts[-1].tolist())}
+        begins = set()
+        for k in range(min(3 * edits + 1, n - 2)):
+            j = where.get(int(own[k]))
+            if j is not None and (texts[-1][j : j + 3] == own[k : k + 3]).all():
+                begins.add(first + j - k)
+        starts += begins
+        trial += [i] * len(begins)
+        first += len(texts[-1])
+    h, start, trial = np.concatenate(texts), np.array(starts), np.array(trial)
+    met, walks = np.zeros(TRIALS, bool), 0
+    while met.mean() < TARGET:
+        walks += STEP
+        same = keys(items, np.arange(TRIALS) * n, np.full(TRIALS, size), size, walks)[trial] == keys(h, start, np.full(len(start), size), size, walks)
+        met[trial[same.any(1)]] = True
+    return walks
 
 
 def top_words(size: int) -> int:
@@ -109,13 +148,22 @@ class Items:
         self.grams = np.unique(grams)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.grams >> np.uint64(42)).astype(np.int64)] = True
-        sizes = {i: size_class(int(n)) for i, n in enumerate(self.counts) if n >= MIN_WORDS}
-        found, who, self.leads = [], [], {}
-        self.sizes = sorted(set(sizes.values()))
+        own = np.flatnonzero(self.counts >= MIN_WORDS)
+        n_pieces = np.maximum(self.counts[own] // PIECE, 1)
+        # pieces of an item are as long as each other, to a word
+        item = np.repeat(own, n_pieces)
+        k = np.arange(len(item)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+        parts = np.repeat(n_pieces, n_pieces)
+        self.item, self.before = item, self.counts[item] * k // parts
+        begin, length = self.first[item] + self.before, self.counts[item] * (k + 1) // parts - self.before
+        classes = np.array([size_class(int(n)) for n in length], np.int64)
+        found, who, self.leads, self.walks = [], [], {}, {}
+        self.sizes = np.unique(classes).tolist()
         for size in self.sizes:
-            own = np.array([i for i, s in sizes.items() if s == size])
-            self.leads[size] = leads(self.hash, self.first[own], self.counts[own], most_edits(size, rate))
-            k = keys(self.hash, self.first[own], np.minimum(self.counts[own], size), size)
+            own = np.flatnonzero(classes == size)
+            self.walks[size] = walks_for(size, rate)
+            self.leads[size] = leads(self.hash, begin[own], length[own], most_edits(size, rate))
+            k = keys(self.hash, begin[own], np.minimum(length[own], size), size, self.walks[size])
             found.append(k.ravel())
             who.append(np.repeat(own, k.shape[1]))
         all_keys, all_who = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (found, who))
@@ -149,28 +197,28 @@ class Items:
                 out.append((size, starts))
         return out
 
-    def candidates(self, w) -> tuple[np.ndarray, np.ndarray]:
-        """(first word of a window, item) that share a key."""
+    def candidates(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first word, item) of places where a window shares a key with a piece of the item; the first word may lie before the row."""
         found = []
         for size, starts in self.windows(w):
             length = np.minimum(size, w.first[w.doc[starts] + 1] - starts)
-            k = keys(w.hash, starts, length, size)
+            k = keys(w.hash, starts, length, size, self.walks[size])
             lo, hi = np.searchsorted(self.keys, k.ravel(), "left"), np.searchsorted(self.keys, k.ravel(), "right")
             met = np.flatnonzero(hi > lo)
             n = hi[met] - lo[met]
-            item = self.who[np.repeat(lo[met] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            found.append(np.unique(np.column_stack([np.repeat(starts[met // k.shape[1]], n), item]), axis=0))
-        return tuple(np.concatenate(found).T) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            piece = self.who[np.repeat(lo[met] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            at = np.repeat(starts[met // k.shape[1]], n)
+            found.append(np.unique(np.column_stack([w.doc[at], at - self.before[piece], self.item[piece]]), axis=0))
+        return tuple(np.unique(np.concatenate(found), axis=0).T) if found else (np.zeros(0, np.int64),) * 3
 
     def matches(self, w) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, last word + 1, edits) of verified places, words counted within the row."""
-        starts, items = self.candidates(w)
+        rows, starts, items = self.candidates(w)
         out = []
-        order = np.lexsort((starts, items, w.doc[starts])) if len(starts) else []
+        order = np.lexsort((starts, items, rows)) if len(starts) else []
         done = (-1, -1, -1)
         for i in order:
-            start, item = int(starts[i]), int(items[i])
-            row = int(w.doc[start])
+            row, start, item = int(rows[i]), int(starts[i]), int(items[i])
             if (row, item) == done[:2] and start < done[2]:
                 continue
             n = int(self.counts[item])

@@ -196,6 +196,26 @@ def test_items_that_follow_words_of_other_items_are_found(spark):
     assert got == want
 
 
+def test_recall_at_the_edits_allowed(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 8)))
+    sizes = [7, 15, 27, 31, 34, 47, 59, 200, 600]
+    items, texts = [], []
+    for n in sizes * 60:
+        items.append([word() for _ in range(n)])
+        passage = list(items[-1])
+        for _ in range(int(0.15 * n)):
+            at = rng.randrange(len(passage))
+            passage[at : at + 1] = rng.choice([[], [word()], [passage[at], word()]])
+        texts.append(" ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)]))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.find(documents(spark, texts), benchmark).collect()
+    assert all(r["doc_id"] == r["item_id"] and r["edits"] <= 0.15 * r["item_words"] for r in rows)
+    found = Counter(len(items[i]) for i in {r["doc_id"] for r in rows})
+    assert sum(found.values()) >= 0.985 * len(texts), found
+    assert all(found[n] >= 57 for n in sizes), found
+
+
 # quality rules
 
 
