@@ -15,6 +15,11 @@ from docloom.llm import decontaminate, jaccard_join, mixing, pii, quality
 from docloom.llm.common import few, shared_dir, table
 
 
+def row_key():
+    """Of equal rows only the same: rows that share an id, or have none, are documents of their own."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text", "lang", "source", "n_chars").alias("row"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. Null and empty texts are scored like any other."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
@@ -26,8 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with equal ids and unlike texts are documents of their own. Texts with
     no words have no copies and stay.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text", "lang", "source", "n_chars").alias("row"))
-    keyed = docs.withColumn("__key", key)
+    keyed = docs.withColumn("__key", row_key())
     found = jaccard_join.join(keyed, "__key")
     goes = found.filter("__key <> component_id").select(F.col("__key").alias("__gone")).distinct()
     gone = F.broadcast(goes) if few(goes, 200_000) else goes
@@ -41,10 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with edits or without; rows that share an id are judged together."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__gone")).distinct()
+    """Documents that hold no benchmark item, with edits or without; rows with equal ids, or none, and unlike texts are judged each."""
+    keyed = docs.withColumn("__key", row_key())
+    found = decontaminate.find(keyed, table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("__key").alias("__gone")).distinct()
     gone = F.broadcast(found) if few(found, 1_000_000) else found
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return keyed.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").drop("__key")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,8 +260,8 @@ def gathered(hashes: list[np.ndarray]) -> Words:
     return Words(None, np.zeros(len(hashes) + 1, np.int64), None, None, np.repeat(np.arange(len(hashes)), sizes), np.concatenate(hashes))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15) -> DataFrame:
-    """doc_id, item_id, first_word, end_word, edits, item_words: each place of each item in each whole text.
+def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15, id_col: str = "doc_id") -> DataFrame:
+    """id_col, item_id, first_word, end_word, edits, item_words: each place of each item in each whole text.
 
     rate: edits allowed for each word of an item. Items are indexed in blocks of
     about BLOCK_WORDS words, so what is broadcast at once is bounded.
@@ -272,17 +272,17 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15) -> DataFrame
     parts = []
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        parts.append(matched(docs, Items([r["item_id"] for r in own], [r["text"] for r in own], rate), benchmark.schema["item_id"].dataType))
+        parts.append(matched(docs, Items([r["item_id"] for r in own], [r["text"] for r in own], rate), benchmark.schema["item_id"].dataType, id_col))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def matched(docs: DataFrame, index: Items, item_type) -> DataFrame:
+def matched(docs: DataFrame, index: Items, item_type, id_col: str) -> DataFrame:
     kept = docs.sparkSession.sparkContext.broadcast(index)
     names = ["first_word", "end_word", "edits", "item_words"]
-    schema = docs.select(F.col("doc_id").alias("id"), F.lit(None).cast(item_type).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in names]).schema
+    schema = docs.select(F.col(id_col).alias("id"), F.lit(None).cast(item_type).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in names]).schema
 
     def search(batches):
         ix, hasher = kept.value, WordHasher(APART)
@@ -310,4 +310,4 @@ def matched(docs: DataFrame, index: Items, item_type) -> DataFrame:
         if ids:
             yield from flush()
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(search, schema).withColumnRenamed("id", "doc_id")
+    return docs.select(F.col(id_col).alias("id"), "text").mapInArrow(search, schema).withColumnRenamed("id", id_col)

@@ -12,6 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docloom.llm import components, decontaminate, jaccard_join, licenses, mixing, pii, quality, quality_rules, tokencounts, toxicity, urlrules
 from docloom.llm.common import few, semi_join
 
@@ -143,6 +144,14 @@ def test_join_of_an_empty_table_and_of_null_ids(spark):
     assert sorted(r["component_id"] for r in jaccard_join.join(rows).collect()) == [3, 3, 3]
 
 
+def test_links_are_found_though_the_first_pivots_fit_no_member(spark):
+    # the short text is the pivot of both first buckets of the long ones, which meet in the third too late
+    own = [f"18.{i}" for i in range(14)]
+    texts = [" ".join(x) for x in (own, [*own[:-1], "18.other"], own[:9])]
+    out = collected(jaccard_join.join(documents(spark, texts)))
+    assert [out[i]["component_id"] for i in range(3)] == [c for _, c in groups(texts)] == [0, 0, 2]
+
+
 def test_chains_of_links_are_followed(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     out = {r["node"]: r["component"] for r in components.components(links, "a", "b").collect()}
@@ -216,6 +225,16 @@ def test_recall_at_the_edits_allowed(spark):
     assert all(found[n] >= 57 for n in sizes), found
 
 
+def test_pipeline_drops_only_the_contaminated_row_of_an_id(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(0, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(None, f"so {words} on"), (None, "clean"), (None, None), (5, words), (5, "clean too"), (6, "clean"), (7, f"{words} again")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], DOCS)
+    out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(None, "clean"), (None, None), (5, "clean too"), (6, "clean")])
+
+
 # quality rules
 
 
