@@ -319,7 +319,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             met = x.join(y, "token").filter("a < b and ca <> cb").filter(fit("na", "nb", "pa", "pb")).select("a", "b", "na", "nb")
         pairs = checkpointed(met.distinct().join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if turn < ROUNDS and turn:
+            if turn < ROUNDS:
                 continue
             break
         named = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
