@@ -1,13 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows. Terms are the words whose use
-differs between toxic and other examples (by the G2 statistic); each example and
-each document is a TF-IDF vector over them, of unit length. Examples are held in
-an inverted index cut into blocks that keep each term's largest weight; blocks
-are taken by falling bound until no block can reach the nearest k. Votes are
-weighted by distance; isotonic regression on the examples' own left-out votes
-calibrates them. A text without any of the terms, an empty or null one too, has
-the score of such examples. Rows with equal ids are scored each.
+Examples are a bounded sample of labelled rows. Each example and each document is
+a TF-IDF vector over all its words, of unit length; words whose use differs
+between toxic and other examples (by the G2 statistic) weigh more. Examples are
+held in an inverted index cut into blocks that keep each term's largest weight;
+blocks are taken by falling bound until no block can reach the nearest k. Votes
+are weighted by distance; isotonic regression on the examples' own left-out votes
+calibrates them. A text that shares no word with an example, an empty or null one
+too, has the score of such examples. Rows with equal ids are scored each.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from docloom.llm.wordarrays import WordHasher, mixed, slices
 
 #: ASCII bytes that aren't letters or digits.
 APART = bytes(c for c in range(128) if not chr(c).isalnum())
-BLOCK = 64
+BLOCK = 4096
+TELLING = 4.0  # times the weight of other words
 
 
 def term_counts(w, picked=None):
@@ -43,8 +44,8 @@ def term_counts(w, picked=None):
     return d[begin], t[begin], np.diff(np.append(begin, len(d)))
 
 
-def vocabulary(examples: DataFrame, least_docs: int, least_g2: float, most: int) -> DataFrame:
-    """term, n, toxic of the words that tell; examples: label, text."""
+def vocabulary(examples: DataFrame, least_docs: int, least_g2: float) -> DataFrame:
+    """term, n, docs of all words, and whether they tell; examples: label, text."""
 
     def counted(batches):
         hasher = WordHasher(APART)
@@ -56,11 +57,12 @@ def vocabulary(examples: DataFrame, least_docs: int, least_g2: float, most: int)
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.bincount(place, minlength=len(terms))), pa.array(np.bincount(place, label[doc], len(terms)).astype(np.int64))], ["term", "n", "toxic"])
 
     size = examples.agg(F.count("*").alias("docs"), F.sum("label").alias("bad"))
-    terms = examples.mapInArrow(counted, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= least_docs)
+    terms = examples.mapInArrow(counted, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     part = lambda seen, all_, total, share: F.when(seen > 0, seen * F.log(seen * total / (all_ * share))).otherwise(0.0)
     n, bad, docs, toxic = F.col("n"), F.col("bad"), F.col("docs"), F.col("toxic")
     g2 = 2 * (part(toxic, n, docs, bad) + part(n - toxic, n, docs, docs - bad) + part(bad - toxic, docs - n, docs, bad) + part(docs - n - bad + toxic, docs - n, docs, docs - bad))
-    return terms.join(F.broadcast(size)).filter("bad > 0 and bad < docs").withColumn("g2", g2).filter(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "term").limit(most)
+    tells = (n >= least_docs) & (bad > 0) & (bad < docs) & (g2 >= least_g2)
+    return terms.join(F.broadcast(size)).select("term", "n", "docs", F.coalesce(tells, F.lit(False)).alias("tells"))
 
 
 class Examples:
@@ -81,14 +83,16 @@ class Examples:
         self.n_blocks = len(ids) // BLOCK + 1
         doc, weight = place[doc], weight / np.maximum(norm[doc], 1e-12)
         order = np.lexsort((doc, term))
-        self.doc, self.weight, term = doc[order], weight[order], term[order]
-        edges = np.searchsorted(term * self.n_blocks + self.doc // BLOCK, np.arange(len(terms) * self.n_blocks + 1))
-        self.edge = edges
-        self.top = np.zeros(len(terms) * self.n_blocks)
-        np.maximum.at(self.top, term * self.n_blocks + self.doc // BLOCK, self.weight)
+        self.doc, self.weight, term = doc[order].astype(np.int32), weight[order], term[order]
+        cell = term * self.n_blocks + self.doc // BLOCK
+        self.edge = np.zeros(len(terms) * self.n_blocks + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=len(terms) * self.n_blocks), out=self.edge[1:])
+        self.top = np.zeros(len(terms) * self.n_blocks, np.float32)
+        np.maximum.at(self.top, cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
         self.top = self.top.reshape(len(terms), self.n_blocks)
         self.prior = float(self.labels[self.empty].mean()) if self.empty.any() else float(self.labels.mean()) if len(ids) else 0.0
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self.unseen = np.log(1 + len(ids)) + 1
 
     def nearest(self, term, weight, without: int = -1):
         """The k nearest examples by cosine, exact: blocks are left only when their bound is below the k-th."""
@@ -98,21 +102,25 @@ class Examples:
         for b in order:
             if bound[b] <= 0 or (len(best_s) == self.k and bound[b] < best_s[-1] - 1e-12):
                 break
-            score = np.zeros(BLOCK)
-            for t, q in zip(term, weight, strict=True):
-                i, j = self.edge[t * self.n_blocks + b], self.edge[t * self.n_blocks + b + 1]
-                score[self.doc[i:j] - b * BLOCK] += q * self.weight[i:j]
+            i, j = self.edge[term * self.n_blocks + b], self.edge[term * self.n_blocks + b + 1]
+            n = (j - i).astype(np.int64)
+            at = np.repeat(i - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score = np.bincount(self.doc[at] - b * BLOCK, self.weight[at] * np.repeat(weight, n), BLOCK)
             if 0 <= without - b * BLOCK < BLOCK:
                 score[without - b * BLOCK] = 0
             hit = np.flatnonzero(score > 0)
             s, d = np.append(best_s, score[hit]), np.append(best_d, hit + b * BLOCK)
+            if len(s) > 4 * self.k:
+                close = s >= np.partition(s, -self.k)[-self.k] - 1e-11
+                s, d = s[close], d[close]
             keep = np.lexsort((d, -np.round(s, 12)))[: self.k]
             best_s, best_d = s[keep], d[keep]
         return best_s, best_d
 
-    def vote(self, term, count, without: int = -1):
+    def vote(self, term, count, without: int = -1, others: float = 0.0):
+        """others: what words that no example has add to the text's squared length."""
         weight = (1 + np.log(count)) * self.idf[term]
-        weight = weight / np.sqrt((weight**2).sum())
+        weight = weight / np.sqrt((weight**2).sum() + others)
         s, d = self.nearest(term, weight, without)
         near = 1 / (1.02 - np.minimum(s, 1.0))
         return float((near @ self.labels[d] + self.prior) / (near.sum() + 1)), s, d
@@ -137,14 +145,18 @@ class Examples:
         return float(np.clip(np.interp(vote, *self.steps), 0, 1))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, least_docs: int = 5, least_g2: float = 20.0, most_terms: int = 4096) -> Examples:
-    """The index over at most `most` labelled rows; of their texts only counts of the chosen terms come to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, least_docs: int = 5, least_g2: float = 20.0) -> Examples:
+    """The index over at most `most` labelled rows; of their texts only counts of words come to the driver. least_docs, least_g2: of a word that tells."""
     chosen = F.broadcast(training_labels(labels, "toxic", most))
     examples = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select("__label", "text", "doc_id")
-    terms = vocabulary(examples.select(F.col("__label").alias("label"), "text"), least_docs, least_g2, most_terms).select("term", "n", "docs").toPandas()
-    terms["term"] = terms["term"].to_numpy().astype(np.int64).view(np.uint64)
-    terms = terms.sort_values("term")
-    picked = terms["term"].to_numpy()
+    # Arrow, not rows: the words of the sample are many for a small driver
+    terms = vocabulary(examples.select(F.col("__label").alias("label"), "text"), least_docs, least_g2).toArrow()
+    column = lambda c: terms[c].to_numpy()
+    order = np.argsort(column("term").view(np.uint64))
+    picked = column("term").view(np.uint64)[order]
+    idf = (np.log((1 + column("docs")) / (1 + column("n"))) + 1) * np.where(column("tells"), TELLING, 1.0)
+    idf = idf[order]
+    del terms
 
     def vectors(batches):
         hasher = WordHasher(APART)
@@ -152,16 +164,17 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, l
             for part in slices(batch):
                 doc, term, n = term_counts(hasher(part.column(1)), picked)
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(cut, term), pa.ListArray.from_arrays(cut, n.astype(np.int64))], ["label", "id", "terms", "counts"])
-
-    schema = examples.select(F.col("__label").alias("label"), F.col("doc_id").alias("id"), F.array(F.lit(0).cast("long")).alias("terms"), F.array(F.lit(0).cast("long")).alias("counts")).schema
-    rows = examples.mapInArrow(vectors, schema).limit(4 * most).toPandas().sort_values("id", kind="stable")
-    sizes = rows["terms"].map(len).to_numpy(dtype=np.int64)
-    flat = lambda c: np.concatenate([np.asarray(x, np.int64) for x in rows[c]]) if len(rows) else np.zeros(0, np.int64)
-    doc, term, count = np.repeat(np.arange(len(rows)), sizes), flat("terms"), flat("counts")
-    idf = np.log((1 + terms["docs"].to_numpy(dtype=float)) / (1 + terms["n"].to_numpy(dtype=float))) + 1
-    ids = rows["id"].to_numpy()
-    out = Examples(picked, idf, ids, rows["label"].to_numpy(), doc, term, count, k)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(cut, term.astype(np.int32)), pa.ListArray.from_arrays(cut, n.astype(np.int32))], ["label", "id", "terms", "counts"])
+
+    schema = examples.select(F.col("__label").alias("label"), F.col("doc_id").alias("id"), F.array(F.lit(0)).alias("terms"), F.array(F.lit(0)).alias("counts")).schema
+    rows = examples.mapInArrow(vectors, schema).limit(4 * most).toArrow()
+    rows = rows.take(pa.compute.sort_indices(rows, [("id", "ascending")])).combine_chunks()
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy().astype(np.int64)
+    ids, labelled = rows["id"].to_numpy(), rows["label"].to_numpy()
+    term, count = flat("terms"), flat("counts")
+    doc = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(rows["terms"]).to_numpy().astype(np.int64))
+    del rows
+    out = Examples(picked, idf, ids, labelled, doc, term, count, k)
     place = {i: p for p, i in enumerate(out.ids.tolist())}
     moved = np.array([place[i] for i in ids.tolist()], np.int64)
     order = np.lexsort((term, moved[doc])) if len(doc) else np.zeros(0, np.int64)
@@ -179,19 +192,24 @@ def score(docs: DataFrame, examples: Examples, evidence: int = 5) -> DataFrame:
         ex, hasher, seen = kept.value, WordHasher(APART), {}
         for batch in batches:
             for part in slices(batch):
-                doc, term, n = term_counts(hasher(part.column(1)), ex.terms)
+                w = hasher(part.column(1))
+                doc, term, n = term_counts(w, ex.terms)
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                row, _, times = term_counts(w)
+                length = lambda d, c: np.bincount(d, (1 + np.log(c)) ** 2, part.num_rows)  # noqa: B023, E731
+                others = np.maximum(length(row, times) - length(doc, n), 0) * ex.unseen**2
+                others[others < 1e-9] = 0
                 scores, ids, cosines = [], [], []
                 for i in range(part.num_rows):
                     a, b = cut[i], cut[i + 1]
                     if a == b:
                         found = (ex.prior, [], [])
                     else:
-                        key = (term[a:b].tobytes(), n[a:b].tobytes())
+                        key = (term[a:b].tobytes(), n[a:b].tobytes(), round(others[i], 9))
                         found = seen.get(key)
                         if found is None:
-                            vote, s, d = ex.vote(term[a:b], n[a:b])
-                            if len(seen) > 50_000:  # a memo of one task; what it has is found again as before
+                            vote, s, d = ex.vote(term[a:b], n[a:b], others=others[i])
+                            if len(seen) > 5_000:  # a memo of one task; what it has is found again as before
                                 seen.clear()
                             found = seen[key] = (ex.score(vote), ex.ids[d[:evidence]].tolist(), s[:evidence].tolist())
                     scores.append(found[0])

@@ -454,6 +454,19 @@ def test_nearest_examples_are_the_exact_nearest(spark):
         assert np.allclose(s, np.sort(full[:, term[own]] @ q)[::-1][: len(s)])
 
 
+def test_neighbours_are_found_by_words_that_do_not_tell(spark):
+    docs, labels, truth = labelled(spark, 400, 7)
+    copy = "nothing here is rude but these plain words stand in one example only"
+    toxic = next(i for i in range(10**7, 10**7 + 99) if zlib.crc32(str(i).encode()) % 5)
+    more = spark.createDataFrame([(toxic, copy, "en", "s", 0), (10**8, copy, "en", "s", 0), (10**8 + 1, f"{copy} unheard", "en", "s", 0)], DOCS)
+    known = labels.unionByName(spark.createDataFrame([(toxic, 1, 1)], labels.schema))
+    out = collected(toxicity.score(more, toxicity.learn(docs.unionByName(more), known)))
+    assert out[10**8]["near_ids"][0] == toxic
+    assert out[10**8]["near_cosines"][0] == pytest.approx(1)
+    assert out[10**8 + 1]["near_ids"][0] == toxic
+    assert 0.5 < out[10**8 + 1]["near_cosines"][0] < 0.99
+
+
 def test_few_and_semi_join(spark):
     big = spark.range(10).withColumnRenamed("id", "k")
     keys = big.filter("k > 6")
