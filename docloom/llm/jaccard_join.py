@@ -9,12 +9,15 @@ both sets. Other orders, by other hashes, then must
 agree, on short fingerprints of their prefixes; what passes all is verified on
 the whole sets.
 
-Only components are wanted, so buckets aren't expanded into pairs. Equal sets are
-one class from the start. In each round every member of a bucket meets one of
-them, its most central one at first and then one drawn by lot, and links contract the classes; rounds touch only
-buckets that still hold several components. What is left after the rounds meets
-in full, so every link between different components is found: the result is
-exact (with 64-bit hashes of shingles and classes).
+Only components are wanted, so large groups aren't expanded into pairs. Equal sets
+are one class from the start. A bucket of few members gives its pairs. A larger
+one has a pivot, the member with the largest share of frequent tokens; its members
+meet the pivot only, and buckets with one pivot make one star. Links found so far
+make components. A star that still lies in several has all its members outside the
+pivot's component compared with each other and with the rest, in blocks of bounded
+size, and a block returns no more links than it joins components. Every pair that
+may link is thus compared, or lies in one component already: the result is exact
+(with 64-bit hashes of shingles and classes, and 48 bits of shingles in comparisons).
 
 Null and empty texts, and those without words, have empty sets and stay alone.
 A text of fewer words than a shingle is one token. Rows with a null id take part
@@ -29,17 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACES, checkpointed, partitions, semi_join, small_batches, written
+from docloom.llm.common import SPACES, checkpointed, few, partitions, semi_join, small_batches, written
 from docloom.llm.components import components
 from docloom.llm.wordarrays import RADIX, WordHasher, mixed, slices
 
 WORDS = 5
 PERCENT = 80
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 64, 1_000_000  # documents with a token, in a part of a task and in all; tokens put last
-ROUNDS = 3
+BUCKET = 64  # members of a bucket whose pairs are taken as they are
+BLOCK_ROWS, BLOCK_TOKENS, BLOCKS = 1000, 1_000_000, 8  # of a star: the most in a block, and how many blocks of 100 it has before they grow
+PART_ROWS = 2_000_000  # prefix tokens that a task gathers
 WAITING = 2_000_000  # tokens that a task holds before it counts or sends them
+KNOWN = 100_000  # classes that a task remembers to have sent
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
-SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("central", "<i2")])
+MET = "token long, a long, b long, na long, nb long, pos long, central long"
 
 
 def prefix(n):
@@ -109,15 +116,13 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(counted, schema)
 
 
-def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """token, sig, n, pos, size (of the bucket, as far as one task sees it): the members of every bucket of the first order's prefixes that may have two.
+def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) -> DataFrame:
+    """Rows of MET: pairs (a, b) that fit in a bucket of the first order's prefixes, without a token; members a of larger buckets with it.
 
     Tasks send packed arrays, a row for each part of the token space; frequent
     tokens are dealt out by class too, so that no part holds all of one.
     """
-    spark = docs.sparkSession
-    last = spark.sparkContext.broadcast(frequent)
-    parts = partitions(spark)
+    last = docs.sparkSession.sparkContext.broadcast(frequent)
     deal = 4 * parts
 
     def sent(batches):
@@ -141,11 +146,14 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
                     sig = signature(s)
                     if sig in seen:  # a copy of a set that this task has sent
                         continue
+                    if len(seen) >= KNOWN:
+                        seen.clear()
                     seen.add(sig)
                     late = member(s, last.value)
                     first = np.concatenate([s[~late], s[late]])[: prefix(len(s))]
                     rows = np.empty(len(first), SENT)
                     rows["token"], rows["sig"], rows["n"], rows["pos"] = first.view(np.int64), sig, len(s), np.arange(len(first))
+                    rows["central"] = 10_000 * late.sum() // len(s)
                     waiting.append(rows)
                     size += len(rows)
                 if size >= WAITING // 4:
@@ -154,6 +162,12 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
         if size:
             yield flush()
 
+    def batch_of(**columns):
+        n = len(columns["a"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[c]).astype(np.int64)) if c in columns else pa.nulls(n, pa.int64()) for c in names], names)
+
+    names = [c.split()[0] for c in MET.split(", ")]
+
     def met(batches):
         rows = [np.frombuffer(x.as_buffer(), SENT) for batch in batches for x in batch.column(1)]
         if not rows:
@@ -161,17 +175,40 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
         rows = np.concatenate(rows)
         rows = rows[np.lexsort((rows["sig"], rows["token"]))]
         rows = rows[np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))]
-        same = rows["token"][1:] == rows["token"][:-1]
-        keep = np.append(same, False) | np.append(False, same) | member(rows["token"].view(np.uint64), last.value)
-        edge = np.append(np.flatnonzero(np.append(True, ~same)), len(rows))
-        size = np.repeat(np.diff(edge), np.diff(edge))[keep]
-        rows = rows[keep]
-        for i in range(0, len(rows), 100_000):
-            part = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(part[c]).astype(np.int64)) for c in SENT.names], pa.array(size[i : i + 100_000])], [*SENT.names, "size"])
+        edge = np.append(np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])), len(rows))
+        size = np.repeat(np.diff(edge), np.diff(edge))
+        large = (size > BUCKET) | member(rows["token"].view(np.uint64), last.value)
+        for i in range(0, len(hot := rows[large]), 100_000):
+            part = hot[i : i + 100_000]
+            yield batch_of(token=part["token"], a=part["sig"], na=part["n"], pos=part["pos"], central=part["central"])
+        keep = ~large & (size > 1)
+        rows, size = rows[keep], size[keep]
+        found, n = [], 0
+        for ahead in range(1, BUCKET):
+            rows, size = rows[size > ahead], size[size > ahead]
+            if not len(rows):
+                break
+            x, y = rows[:-ahead], rows[ahead:]
+            both = x["token"] == y["token"]
+            x, y = x[both], y[both]
+            c = overlap(x["n"].astype(np.int64), y["n"])
+            fits = (x["pos"] <= x["n"] - c) & (y["pos"] <= y["n"] - c)
+            found.append(np.column_stack([x["sig"][fits], y["sig"][fits], x["n"][fits], y["n"][fits]]))
+            n += len(found[-1])
+            if n >= 500_000:
+                yield distinct_pairs(found)
+                found, n = [], 0
+        if n:
+            yield distinct_pairs(found)
+
+    def distinct_pairs(found):
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
+        return batch_of(a=rows[:, 0], b=rows[:, 1], na=rows[:, 2], nb=rows[:, 3])
 
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(sent, "part int, rows binary")
-    return packed.repartition(parts, "part").mapInArrow(met, "token long, sig long, n long, pos long, size long")
+    return packed.repartition(parts, "part").mapInArrow(met, MET)
 
 
 def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -180,21 +217,18 @@ def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def packed_sets(docs: DataFrame, text_col: str, column: str, pack) -> DataFrame:
-    """sig, column: what pack makes of each text's set, as bytes."""
+def packed_sets(docs: DataFrame, text_col: str) -> DataFrame:
+    """sig, marks, tokens: the class of each text's set, the fingerprints of its prefixes and the set itself, as bytes."""
 
     def packed(batches):
         hasher = WordHasher(SPACES)
         for batch in batches:
             for part in slices(batch):
-                sigs, values = [], []
-                for s in sets(hasher, part.column(0)):
-                    if len(s):
-                        sigs.append(signature(s))
-                        values.append(pack(s))
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(values, pa.binary())], ["sig", column])
+                own = [s for s in sets(hasher, part.column(0)) if len(s)]
+                columns = [pa.array([signature(s) for s in own], pa.int64()), pa.array(map(order_marks, own), pa.binary()), pa.array(map(six_bytes, own), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "marks", "tokens"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(packed, f"sig long, {column} binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(packed, "sig long, marks binary, tokens binary")
 
 
 def six_bytes(s: np.ndarray) -> bytes:
@@ -223,59 +257,44 @@ def overlap(na, nb):
     return -(-PERCENT * (na + nb) // (100 + PERCENT))
 
 
-def meets(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
-    """The least number of fingerprints that prefixes share under any other order; -1 if it is less than the similarity asks for.
+def alike_prefixes(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+    """Whether prefixes share, under every other order, as many fingerprints as the similarity asks for.
 
     Sets that share c tokens share l of them in their first n - c + l ones, whatever the order.
     """
     c = overlap(nx, ny)
     i, j = len(x) // len(ORDERS), len(y) // len(ORDERS)
     least = min(i - nx, j - ny) + c
-    shared = min(int(np.isin(x[k * i : (k + 1) * i], y[k * j : (k + 1) * j]).sum()) for k in range(len(ORDERS)))
-    return shared if shared >= least else -1
+    return all(int(np.isin(x[k * i : (k + 1) * i], y[k * j : (k + 1) * j]).sum()) >= least for k in range(len(ORDERS)))
 
 
 def compared(pairs: DataFrame, values: DataFrame, alike) -> DataFrame:
-    """Pairs (a, b, na, nb) of which alike(value of a, value of b, na, nb) isn't negative, with it as score. Many a meet few b: a's values are dealt out by b."""
+    """Pairs (a, b, na, nb) for which alike(value of a, value of b, na, nb) holds; values: sig and value."""
     columns = ["a", "b", "na", "nb"]
 
     def kept(batches):
         for batch in batches:
-            score = [alike(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), i.as_py(), j.as_py()) for i, j, x, y in zip(*[batch.column(k) for k in range(2, 6)], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [pa.array(score, pa.int64())], [*columns, "score"]).filter(pa.array([x >= 0 for x in score], pa.bool_()))
+            yes = [alike(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), i.as_py(), j.as_py()) for i, j, x, y in zip(*[batch.column(k) for k in range(2, 6)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], columns).filter(pa.array(yes, pa.bool_()))
 
     both = pairs.join(values.toDF("a", "__x"), "a").join(values.toDF("b", "__y"), "b")
-    return both.select(*columns, "__x", "__y").mapInArrow(kept, "a long, b long, na long, nb long, score long")
+    return both.select(*columns, "__x", "__y").mapInArrow(kept, "a long, b long, na long, nb long")
 
 
-def values_of(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame, repeated_ids: bool, sigs: DataFrame, column: str, pack) -> DataFrame:
-    """sig, column of the sets named in sigs, from the text of the first document that has each."""
+def values_of(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame, repeated_ids: bool, sigs: DataFrame) -> DataFrame:
+    """packed_sets of the classes in sigs, from the text of the first document that has each; written, for they are read twice or more."""
     ids = checkpointed(sigs.join(firsts, "sig").select(F.col("first_id").alias(id_col)))
-    made = packed_sets(semi_join(docs, ids, id_col), text_col, column, pack)
-    return made.dropDuplicates(["sig"]) if repeated_ids else made
+    made = packed_sets(semi_join(docs, ids, id_col), text_col)
+    return written(made.dropDuplicates(["sig"]) if repeated_ids else made)
 
 
 def by_marks(x, y, nx, ny):
-    return meets(x.view("<u2"), y.view("<u2"), nx, ny)
+    return alike_prefixes(x.view("<u2"), y.view("<u2"), nx, ny)
 
 
 def by_sets(x, y, nx, ny):
     both = int(member(from_six(x), from_six(y)).sum())
-    return both if 100 * both >= PERCENT * (nx + ny - both) else -1
-
-
-def between(likely: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs between different components, with both as ca and cb, the lesser first."""
-    of = lambda df, c, name: df.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
-    named = of(of(likely, "a", "__ca"), "b", "__cb").filter("__ca <> __cb")
-    return named.withColumn("ca", F.least("__ca", "__cb")).withColumn("cb", F.greatest("__ca", "__cb")).drop("__ca", "__cb")
-
-
-def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their components, of the buckets that hold several components."""
-    named = members.drop("component").join(labels, members["sig"] == labels["node"], "left").select("token", "sig", "n", "pos", "central", F.coalesce("component", "sig").alias("component"))
-    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    return named.join(several, "token")
+    return 100 * both >= PERCENT * (nx + ny - both)
 
 
 def fit(na: str, nb: str, pa_: str, pb: str):
@@ -288,6 +307,77 @@ def fit(na: str, nb: str, pa_: str, pb: str):
     return (F.col(pa_) <= F.col(na) - c) & (F.col(pb) <= F.col(nb) - c)
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """p, a, np, na, near: each member a of a large bucket with the bucket's pivot p; near: whether the two fit in one of their buckets."""
+    first = F.min(F.struct(-F.col("central"), F.xxhash64("a"), F.col("a").alias("p"), F.col("na").alias("np"), F.col("pos").alias("pp"))).alias("first")
+    pivots = members.groupBy("token").agg(first, F.count("*").alias("size")).filter("size > 1").select("token", "first.p", "first.np", "first.pp")
+    met = members.join(F.broadcast(pivots) if few(pivots, 200_000) else pivots, "token")
+    return met.groupBy("p", "a").agg(F.first("np").alias("np"), F.first("na").alias("na"), F.max(fit("na", "np", "pos", "pp")).alias("near"))
+
+
+def blocks(rows: str, tokens: str):
+    """Into how many blocks so many members with so many tokens go."""
+    few_ = F.least(F.lit(BLOCKS), F.ceil(F.col(rows) / 100))
+    return F.greatest(few_, F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
+
+
+def star_links(star: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
+    """Links (a, b) between different components within stars, enough of them to join all that are linked.
+
+    A star's members outside its pivot's component meet each other and those in
+    it, block by block. A pair of blocks is a cell, read by one task.
+    """
+    of = lambda df, c, name: df.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
+    named = checkpointed(of(of(star, "a", "ca"), "p", "cp").select("p", "a", "na", "ca", (F.col("ca") == F.col("cp")).alias("inner")))
+    counts = [f(F.when(F.col("inner") == side, x)).alias(f"{name}_{side}".lower()) for side in (True, False) for name, f, x in (("rows", F.count, F.lit(1)), ("tokens", F.sum, F.col("na")))]
+    open_ = named.groupBy("p").agg(*counts).filter("rows_false > 0").select("p", blocks("rows_true", "tokens_true").alias("inside"), blocks("rows_false", "tokens_false").alias("outside"))
+    rows = named.join(F.broadcast(open_) if few(open_, 200_000) else open_, "p")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("a", F.lit(1)), F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("own")
+    across = F.transform(upto("outside"), lambda i: cell(1, i, own, F.lit(1)))
+    around = F.concat(
+        F.transform(upto("outside"), lambda j: cell(0, F.least(own, j), F.greatest(own, j), F.when(own <= j, 0).otherwise(1))),
+        F.transform(upto("inside"), lambda j: cell(1, own, j, F.lit(0))),
+    )
+    rows = rows.join(values.select(F.col("sig").alias("a"), "tokens"), "a")
+    rows = rows.select("p", "a", "na", "ca", "tokens", F.explode(F.when(F.col("inner"), across).otherwise(around)).alias("cell")).select("p", "cell.*", "a", "na", "ca", "tokens")
+    return rows.groupBy("p", "kind", "i", "j").applyInArrow(cell_links, "a long, b long")
+
+
+def cell_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Links that join the components of a cell's two sides, or of its one side; overlaps are counted from lists of who has a token."""
+    kind, i, j = (k.as_py() for k in key[1:])
+    a, n, c, side = (rows.column(x).to_numpy() for x in ("a", "na", "ca", "side"))
+    tokens = [from_six(np.frombuffer(x.as_buffer(), np.uint8)) for x in rows.column("tokens").combine_chunks()]
+    left = np.flatnonzero(side == 0)
+    right = left if kind == 0 and i == j else np.flatnonzero(side == 1)
+    found, root = [], {x: x for x in c.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    if len(left) and len(right):
+        token = np.concatenate([tokens[k] for k in right])
+        who = np.repeat(np.arange(len(right)), [len(tokens[k]) for k in right])
+        order = np.argsort(token, kind="stable")
+        token, who = token[order], who[order]
+        for x in left.tolist():
+            lo = np.searchsorted(token, tokens[x])
+            size = np.searchsorted(token, tokens[x], side="right") - lo
+            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            both = np.bincount(who[at], minlength=len(right))
+            linked = right[(100 * both >= PERCENT * (n[x] + n[right] - both)) & (c[right] != c[x])]
+            for y in linked[np.unique(c[linked], return_index=True)[1]].tolist():
+                if (u := find(c[x])) != (v := find(c[y])):
+                    root[u] = v
+                    found.append((a[x], a[y]))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
@@ -297,42 +387,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     own = rows.filter("n is not null").select("id", "n", "sig")
     counts = rows.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT)
     top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
-    members = written(buckets(docs, text_col, np.sort(top.view(np.uint64))))
+    prefixes = own.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
+    met = written(buckets(docs, text_col, np.sort(top.view(np.uint64)), max(partitions(spark), -(-int(prefixes) // PART_ROWS))))
     firsts = checkpointed(own.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first_id")))
-
     repeated_ids = not own.groupBy("id").count().filter("count > 1").isEmpty()
 
-    labels = spark.createDataFrame([], "node long, component long")
-    # a set whose tokens many others have lies in the middle of its group, and links most of it
-    central = members.groupBy("sig").agg((F.sum("size") / F.max("n")).alias("central"))
-    left = members.drop("size").join(central, "sig").withColumn("component", F.col("sig"))
-    tried = spark.createDataFrame([], "a long, b long")
-    for turn in range(ROUNDS + 1):
-        if turn:
-            left = checkpointed(open_buckets(left, labels))
-        if turn < ROUNDS:
-            lot = F.xxhash64("sig", F.lit(turn)) if turn else -F.col("central")
-            pivots = left.groupBy("token").agg(F.min(F.struct(lot, "sig", "n", "pos", "component")).alias("p"))
-            met = left.join(pivots, "token").filter("component <> p.component").filter(fit("n", "p.n", "pos", "p.pos")).select(F.col("sig").alias("a"), F.col("p.sig").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
-        else:
-            x, y = left.drop("central").toDF("token", "a", "na", "pa", "ca"), left.drop("central").toDF("token", "b", "nb", "pb", "cb")
-            met = x.join(y, "token").filter("a < b and ca <> cb").filter(fit("na", "nb", "pa", "pb")).select("a", "b", "na", "nb")
-        pairs = checkpointed(met.distinct().join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        named = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
-        likely = checkpointed(compared(pairs, values_of(docs, id_col, text_col, firsts, repeated_ids, named(pairs), "marks", order_marks), by_marks))
-        # the likeliest pair of each two components comes first: where it links, the other pairs of the two need no look
-        for first in (True, False) if turn == ROUNDS else (False,):
-            chosen = between(likely, labels)
-            if first:
-                chosen = chosen.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("score", "a", "b")).alias("p")).select("p.*")
-            chosen = checkpointed(chosen.select("a", "b", "na", "nb"))
-            links = compared(chosen, values_of(docs, id_col, text_col, firsts, repeated_ids, named(chosen), "tokens", six_bytes), by_sets)
-            labels = checkpointed(contracted(labels, links.select("a", "b")))
-        tried = tried.unionByName(pairs.select("a", "b"))
+    star = checkpointed(stars(met.filter("token is not null").select("token", "a", "na", "pos", "central")))
+    rays = star.filter("near and a <> p").select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b"), F.when(F.col("a") < F.col("p"), F.col("na")).otherwise(F.col("np")).alias("na"), F.when(F.col("a") < F.col("p"), F.col("np")).otherwise(F.col("na")).alias("nb"))
+    pairs = checkpointed(met.filter("token is null").select("a", "b", "na", "nb").unionByName(rays).distinct())
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(star.select(F.col("a").alias("sig"))).distinct()
+    values = values_of(docs, id_col, text_col, firsts, repeated_ids, sigs)
+    likely = compared(pairs, values.select("sig", "marks"), by_marks)
+    labels = components(compared(likely, values.select("sig", "tokens"), by_sets), "a", "b")
+    more = checkpointed(star_links(star, labels, values))
+    if not more.isEmpty():
+        labels = checkpointed(contracted(labels, more))
 
     named = firsts.join(labels, firsts["sig"] == labels["node"], "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
