@@ -395,6 +395,29 @@ def test_token_totals_match_for_every_limit(spark):
     assert tokencounts.histogram(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_tokens_at_limits_that_no_document_has(spark):
+    n = [0, 3, 3, 8, 20, 1000]
+    hist = tokencounts.histogram(spark.createDataFrame([(i, x) for i, x in enumerate(n)], "doc_id long, n_tokens long"))
+    out = collected(tokencounts.at_limits(hist, [0, 5, 8, 10**6]), "limit")
+    for k, r in out.items():
+        assert (r["docs_upto"], r["docs_over"], r["total_truncated"]) == (sum(x <= k for x in n), sum(x > k for x in n), sum(min(x, k) for x in n))
+    assert len(out) == 4
+
+
+def test_long_white_space_is_cut_as_the_pattern_cuts_it(spark, monkeypatch):
+    import tiktoken
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    coder = tiktoken.Encoding("ranks", pat_str=tokencounts.PATTERN, mergeable_ranks=tokencounts.read_ranks(path), special_tokens={})
+    monkeypatch.setattr(tokencounts, "LONG_RUN", 4)
+    texts = ["a" + run + b for run in (" " * 4, "\n" * 5, " \n \t  ", "\u3000" * 6, "\u00a0\u2003 \n\n ", "\x1c" * 9) for b in ("", "b", ".", "\u00e9 d")] + [" " * 7, "a    b     c\n\n\n\n\n\nd 's    's"]
+    out = collected(tokencounts.lengths(documents(spark, texts), path))
+    assert [out[i]["n_tokens"] for i in range(len(texts))] == [len(coder.encode_ordinary(t)) for t in texts]
+    monkeypatch.undo()
+    out = collected(tokencounts.lengths(documents(spark, ["x " + " " * 2_000_000 + "y", "\n" * 1_500_000, "x" * 1_500_000]), path))
+    assert out[0]["n_tokens"] > 1_000_000 and out[1]["n_tokens"] > 100_000 and out[2]["n_tokens"] > 0
+
+
 def test_tokens_give_texts_back(spark):
     import tiktoken
 
