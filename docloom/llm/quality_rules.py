@@ -1,13 +1,16 @@
 """Quality rules: counts of a text, and how far its histograms are from language references.
 
-Each language's reference is the mean histogram of character classes and of
-common words over its documents that pass the base rules. A document's distance
-is the Jensen-Shannon distance (base 2, 0 to 1) to the closest language; texts
+A language's reference is the mean histogram of character classes and of its most
+common words over its documents that pass the base rules. A document's distance is
+the Jensen-Shannon distance (base 2, 0 to 1) to its own language's reference; texts
 under a minimum length are not judged by it, since short histograms are noise.
 
-A null or empty text has no words and fails the base rule. A null lang belongs to
-no reference. Rows with equal ids are judged each. With no reference (an empty
-table, or no text that passes) the verdict is the base rules'.
+Counts are sums over all documents, the same however the table is cut. A null or
+empty text has no words and fails the base rule. Where lang is null, or a language
+has fewer than LEAST_DOCS documents to make a reference of, distances are null and
+the verdict is the base rules'. Rows with equal ids, or none, are judged each. An
+empty table gives an empty result. Columns other than doc_id, lang and text are
+not read.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACES, written
-from docloom.llm.wordarrays import WordHasher, per_doc, repeated, slices
+from docloom.llm.common import SPACES, checkpointed, written
+from docloom.llm.wordarrays import WordHasher, mixed, per_doc, repeated, slices
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -27,42 +31,70 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 CLASSES = [bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)), SPACES, b".,;:", b"!?", b"'\"()-", SYMBOLS, b"+/=@[]\\^_`{}~", bytes(range(0xC0, 256))]
 LEAST_WORDS = 50  # of a text that is judged by its histograms
 LEAST_DOCS = 20  # of a language that has a reference
-MOST_LANGUAGES = 64
 COMMON = 40  # words of a language
+MOST_LANGUAGES = 10_000  # with a reference; more is an error, since references are broadcast
+WAITING = 500_000  # words with their counts that a task holds
+UNIT = 1_000_000_000  # shares are summed as whole numbers of this part, so that their order doesn't matter
 
 
-def common_words(docs: DataFrame, least_share: float = 1e-3) -> DataFrame:
-    """lang, term: the most used words of each of the largest languages.
-
-    Within each part of the table words under a share of a language's words are
-    left out of the candidates; a common word exceeds it in nearly every part.
-    """
+def common_words(docs: DataFrame) -> dict[str, list[int]]:
+    """The most used words (hashes) of each language with LEAST_DOCS documents, of equal counts the least hash; all words are counted."""
 
     def counted(batches):
-        hasher = WordHasher(SPACES)
+        hasher, waiting, size = WordHasher(SPACES), {}, 0
+
+        def summed(name):
+            terms, n = (np.concatenate(x) for x in zip(*waiting[name], strict=True))
+            terms, place = np.unique(terms, return_inverse=True)
+            return terms, np.bincount(place, n, len(terms)).astype(np.int64)
+
+        def sent():
+            for name in waiting:
+                terms, n = summed(name)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(terms), pa.string()), pa.array(terms.view(np.int64)), pa.array(n)], ["lang", "term", "n"])
+
         for batch in batches:
             for part in slices(batch):
                 w = hasher(part.column(1))
                 lang = part.column(0).dictionary_encode()
                 code = np.asarray(lang.indices.fill_null(-1), dtype=np.int64)
+                of_word = code[w.doc]
                 for k, name in enumerate(lang.dictionary.to_pylist()):
-                    terms, n = np.unique(w.hash[code[w.doc] == k], return_counts=True)
-                    keep = n >= max(2, least_share * n.sum())
-                    docs_here = int((code == k).sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * (keep.sum() + 1), pa.string()), pa.array(np.append(terms[keep].view(np.int64), 0)), pa.array(np.append(n[keep], 0).astype(np.int64)), pa.array(np.append(np.zeros(keep.sum(), np.int64), docs_here))], ["lang", "term", "n", "docs"])
-
-    counts = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(counted, "lang string, term long, n long, docs long")
-    counts = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    largest = counts.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "lang").limit(MOST_LANGUAGES)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("n", "term")), asc=False), 1, COMMON)
-    # a language's candidates number 1 / least_share for each part at most, and few after summing
-    top = counts.filter("n > 0").join(F.broadcast(largest.select("lang")), "lang")
-    return top.groupBy("lang").agg(best.alias("best")).select("lang", F.col("best.term").alias("terms"))
-
-
-def measured(docs: DataFrame, terms: list[int]) -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms: code points by class, words by term with the rest at the end."""
-    picked = np.sort(np.array(terms, np.int64).view(np.uint64)) if terms else np.zeros(0, np.uint64)
+                    waiting.setdefault(name, []).append(np.unique(w.hash[of_word == k], return_counts=True))
+                    size += len(waiting[name][-1][0])
+                rows = [(name, int((code == k).sum())) for k, name in enumerate(lang.dictionary.to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.nulls(len(rows), pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["lang", "term", "n"])
+                if size > WAITING:
+                    waiting = {name: [summed(name)] for name in waiting}
+                    size = sum(len(x[0][0]) for x in waiting.values())
+                    if size > WAITING // 2:
+                        yield from sent()
+                        waiting, size = {}, 0
+        yield from sent()
+
+    counts = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(counted, "lang string, term long, n long")
+    counts = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    # the row without a term has the number of documents; each task keeps so many rows of a language before they meet
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.col("term").isNotNull(), F.desc("n"), "term"))
+    rows = checkpointed(counts.withColumn("k", place).filter(F.col("k") <= COMMON + 1).select("lang", "term", "n"))
+    large = rows.filter(F.col("term").isNull() & (F.col("n") >= LEAST_DOCS)).select("lang").limit(MOST_LANGUAGES + 1)
+    found = rows.join(large, "lang", "left_semi").filter("term is not null").collect()
+    out = {}
+    for r in sorted(found, key=lambda r: (r["lang"], -r["n"], r["term"])):
+        out.setdefault(r["lang"], []).append(r["term"])
+    if len(out) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang have {LEAST_DOCS} documents each: not a column of languages")
+    return out
+
+
+def measured(docs: DataFrame, terms: dict[str, list[int]]) -> DataFrame:
+    """doc_id, lang, the base counts, and the histograms: code points by class, words by their place in the language's list with the rest at the end."""
+    number_of = {name: k for k, name in enumerate(sorted(terms))}
+    salt = mixed(np.arange(len(terms) + 1, dtype=np.uint64))  # the last is of documents without a language known here
+    pairs = [(term, k, place) for name, k in number_of.items() for place, term in enumerate(terms[name])]
+    key = mixed(np.array([t for t, _, _ in pairs], np.int64).view(np.uint64) ^ salt[[k for _, k, _ in pairs]]) if pairs else np.zeros(0, np.uint64)
+    order = np.argsort(key)
+    key, slot = key[order], np.array([p for _, _, p in pairs], np.int64)[order]
     base = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), *[F.lit(0).cast("long").alias(c) for c in BASE], F.array(F.lit(0)).alias("classes"), F.array(F.lit(0)).alias("common"))
     schema = base.schema
 
@@ -88,35 +120,37 @@ def measured(docs: DataFrame, terms: list[int]) -> DataFrame:
                 values = [w.counts, per_doc(points & ~space[w.data], w.at), per_doc(symbol[w.data], w.at), per_doc(again, lines.first), per_doc(np.cumsum(edge[:-1]) > 0, w.first)]
                 classes = np.column_stack([per_doc(t[w.data], w.at) for t in tables]).astype(np.int32)
                 term = folded.spans(w.data, w.start, w.end)
-                number = np.minimum(np.searchsorted(picked, term), max(len(picked) - 1, 0))
-                number = np.where(picked[number] == term, number, len(picked)) if len(picked) else np.zeros(len(term), np.int64)
-                common = np.bincount(w.doc * (len(picked) + 1) + number, minlength=w.n_docs * (len(picked) + 1)).astype(np.int32)
+                own = np.array([number_of.get(x, len(number_of)) for x in part.column(1).to_pylist()], np.int64)
+                wanted = mixed(term ^ salt[own[w.doc]])
+                at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+                number = np.where(key[at] == wanted, slot[at], COMMON) if len(key) else np.full(len(term), COMMON)
+                common = np.bincount(w.doc * (COMMON + 1) + number, minlength=w.n_docs * (COMMON + 1)).astype(np.int32)
                 lists = lambda a, width: pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * width, a.ravel())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(v.astype(np.int64)) for v in values], lists(classes, len(CLASSES)), lists(common, len(picked) + 1)], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(v.astype(np.int64)) for v in values], lists(classes, len(CLASSES)), lists(common, COMMON + 1)], schema.names)
 
     return docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(count, schema)
 
 
-def references(counts: DataFrame) -> list[tuple]:
-    """lang and its mean histograms; one row a language."""
+def references(counts: DataFrame, languages: list[str]) -> dict[str, tuple]:
+    """A language's mean histograms, of those in languages; at most MOST_LANGUAGES rows come to the driver."""
     own = counts.filter(~F.col("base_failed") & (F.col("n_words") >= LEAST_WORDS) & F.col("lang").isNotNull())
 
-    def mean(batches):
+    def summed(batches):
         for batch in batches:
             lang = batch.column(0).dictionary_encode()
             code = np.asarray(lang.indices, dtype=np.int64)
-            shares = [s / np.maximum(s.sum(1, keepdims=True), 1) for s in (matrix(batch.column(1)), matrix(batch.column(2)))]
+            shares = [np.rint(s * UNIT / np.maximum(s.sum(1, keepdims=True), 1)).astype(np.int64) for s in (matrix(batch.column(1)), matrix(batch.column(2)))]
             for k, name in enumerate(lang.dictionary.to_pylist()):
-                rows = code == k
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(rows.sum())]), *[pa.array([s[rows].sum(0)]) for s in shares]], ["lang", "docs", "classes", "common"])
+                if name in wanted:
+                    rows = code == k
+                    cells = np.concatenate([[rows.sum()], *[s[rows].sum(0) for s in shares]])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells)), pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells.astype(np.int64))], ["lang", "k", "v"])
 
-    sums = own.select("lang", "classes", "common").mapInArrow(mean, "lang string, docs long, classes array<double>, common array<double>")
-    cells = lambda c: sums.select("lang", "docs", F.posexplode(c).alias("k", "v"))
-    total = {c: cells(c).groupBy("lang", "k").agg(F.sum("v").alias("v")) for c in ("classes", "common")}
-    sizes = sums.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "lang").limit(MOST_LANGUAGES)
-    lists = [t.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias(c)) for c, t in total.items()]
-    rows = sizes.join(lists[0], "lang").join(lists[1], "lang").collect()
-    return [(r["lang"], np.array(r["classes"]) / r["docs"], np.array(r["common"]) / r["docs"]) for r in sorted(rows, key=lambda r: r["lang"])]
+    wanted = set(languages)
+    cells = own.select("lang", "classes", "common").mapInArrow(summed, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))
+    lists = cells.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("v")).collect()
+    size = len(CLASSES) + 1
+    return {r["lang"]: (np.array(r["v"][1:size]) / (UNIT * r["v"][0]), np.array(r["v"][size:]) / (UNIT * r["v"][0])) for r in lists if r["v"][0] >= LEAST_DOCS}
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -132,24 +166,29 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def judge(docs: DataFrame, most_classes: float = 0.3, most_words: float = 0.45) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance, kept. Counts are checkpointed as Parquet."""
-    lists = common_words(docs).collect()  # COMMON words of MOST_LANGUAGES languages at most
-    terms = sorted({t for row in lists for t in row["terms"]})
+    terms = common_words(docs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counts = written(measured(docs, terms).withColumn("base_failed", failed))
-    known = references(counts)
+    known = references(counts, list(terms))
 
     def compared(batches):
         for batch in batches:
             names = batch.schema.names
-            classes, common = (matrix(batch.column(names.index(c))) for c in ("classes", "common"))
-            least = []
-            for counts, k in ((classes, 1), (common, 2)):
-                shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-                least.append(np.min([distance(shares, ref[k]) for ref in known], axis=0) if known else np.zeros(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i, n in enumerate(names) if n not in ("classes", "common")], *map(pa.array, least)], [*[n for n in names if n not in ("classes", "common")], "class_distance", "word_distance"])
-
-    narrow = counts.drop("lang")
-    schema = narrow.drop("classes", "common").withColumns({"class_distance": F.lit(0.0), "word_distance": F.lit(0.0)}).schema
-    near = narrow.mapInArrow(compared, schema)
-    like = (F.col("n_words") < LEAST_WORDS) | ((F.col("class_distance") <= most_classes) & (F.col("word_distance") <= most_words))
+            lang = batch.column(names.index("lang")).dictionary_encode()
+            code = np.asarray(lang.indices.fill_null(-1), dtype=np.int64)
+            out = []
+            for k, column in enumerate(("classes", "common")):
+                found = matrix(batch.column(names.index(column)))
+                shares, far = found / np.maximum(found.sum(1, keepdims=True), 1), np.full(batch.num_rows, np.nan)
+                for i, name in enumerate(lang.dictionary.to_pylist()):
+                    if name in known:
+                        far[code == i] = distance(shares[code == i], known[name][k])
+                out.append(pa.array(far, mask=np.isnan(far)))
+            kept = [n for n in names if n not in ("classes", "common", "lang")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(n)) for n in kept], *out], [*kept, "class_distance", "word_distance"])
+
+    unknown = F.lit(None).cast("double")
+    schema = counts.drop("classes", "common", "lang").withColumns({"class_distance": unknown, "word_distance": unknown}).schema
+    near = counts.mapInArrow(compared, schema)
+    like = (F.col("n_words") < LEAST_WORDS) | F.col("class_distance").isNull() | ((F.col("class_distance") <= most_classes) & (F.col("word_distance") <= most_words))
     return near.withColumnRenamed("id", "doc_id").withColumn("kept", ~F.col("base_failed") & like)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -185,7 +186,7 @@ def test_benchmark_items_are_found_with_edits_and_clean_texts_left(spark):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
     items = [[word() for _ in range(rng.randint(12, 45))] for _ in range(40)]
     texts, want = [], set()
-    for i in range(160):
+    for i in range(300):
         own = [word() for _ in range(rng.randint(0, 200))]
         if i % 2:
             k = rng.randrange(40)
@@ -282,6 +283,60 @@ def test_quality_counts_match(spark):
     assert quality_rules.judge(documents(spark, [])).count() == 0
 
 
+def jensen_shannon(p, q):
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    return sum(sum(x * math.log2(x / z) for x, z in zip(side, m, strict=True) if x) / 2 for side in (p, q)) ** 0.5
+
+
+def histograms(text, common):
+    classes = [sum(b in c for b in (text or "").encode()) for c in quality_rules.CLASSES]
+    w = Counter(map(lower, words_of(text)))
+    words = [w[x] for x in common]
+    words += [0] * (quality_rules.COMMON - len(words)) + [w.total() - sum(words)]
+    return [[x / max(1, sum(h)) for x in h] for h in (classes, words)]
+
+
+def test_distances_match_brute_force_however_the_table_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "COMMON", 6)
+    monkeypatch.setattr(quality_rules, "WAITING", 500)
+    rng = random.Random(31)
+    vocabulary = {lang: ["".join(rng.choice("abcdefghijké") for _ in range(rng.randint(2, 7))) for _ in range(60)] for lang in ("aa", "bb", "cc")}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(["aa", "bb", "bb", None]) if i > 6 else "cc"
+        words = rng.choices(vocabulary[lang or "aa"], [1 / (k + 1) for k in range(60)], k=rng.choice([5, 30, 60, 120]))
+        if i % 9 == 0:
+            words = [x.upper() + "!?9" for x in words]
+        rows.append((i if i % 7 else 3, " ".join(words), lang, i))
+    rows += [(400, None, "aa", 400), (401, "", "bb", 401), (None, "x", None, 402)]
+    texts = {n: t for _, t, _, n in rows}
+    counts = {lang: Counter(lower(w) for _, t, x, _ in rows if x == lang for w in words_of(t)) for lang in ("aa", "bb")}
+    common = {lang: [w for w, _ in c.most_common(6)] for lang, c in counts.items()}
+    assert all(c.most_common(7)[5][1] > c.most_common(7)[6][1] for c in counts.values())
+    passed = lambda t: len(words_of(t)) >= 50 and 100 * base_counts(t)[-1] <= 30 * len(words_of(t))
+    reference = {}
+    for lang in common:
+        own = [histograms(t, common[lang]) for _, t, x, _ in rows if x == lang and passed(t)]
+        assert len(own) >= 20
+        reference[lang] = [[sum(h[k][j] for h in own) / len(own) for j in range(len(own[0][k]))] for k in (0, 1)]
+    results = []
+    for parts in (1, 16):
+        # the place in the list goes as a clashing extra column, and as the id
+        docs = spark.createDataFrame([(n, t, x, "s") for _, t, x, n in rows], "doc_id long, text string, lang string, n_words string").repartition(parts)
+        out = collected(quality_rules.judge(docs))
+        results.append(out)
+        assert len(out) == len(rows)
+        for _, t, lang, n in rows:
+            r = out[n]
+            if lang not in common:
+                assert r["class_distance"] is None and r["word_distance"] is None and r["kept"] == (not r["base_failed"])
+                continue
+            far = [jensen_shannon(h, q) for h, q in zip(histograms(texts[n], common[lang]), reference[lang], strict=True)]
+            assert [r["class_distance"], r["word_distance"]] == pytest.approx(far, abs=1e-6)
+            assert r["kept"] == (not r["base_failed"] and (len(words_of(t)) < 50 or (far[0] <= 0.3 and far[1] <= 0.45)))
+    assert results[0] == results[1]
+
+
 # licenses
 
 
