@@ -45,7 +45,7 @@ PART_ROWS = 2_000_000  # prefix tokens that a task gathers
 WAITING = 2_000_000  # tokens that a task holds before it counts or sends them
 KNOWN = 100_000  # classes that a task remembers to have sent
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
-SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("central", "<i2")])
+SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<u2"), ("central", "<i2")])
 MET = "token long, a long, b long, na long, nb long, pos long, central long"
 
 
@@ -152,7 +152,7 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
                     late = member(s, last.value)
                     first = np.concatenate([s[~late], s[late]])[: prefix(len(s))]
                     rows = np.empty(len(first), SENT)
-                    rows["token"], rows["sig"], rows["n"], rows["pos"] = first.view(np.int64), sig, len(s), np.arange(len(first))
+                    rows["token"], rows["sig"], rows["n"], rows["pos"] = first.view(np.int64), sig, len(s), np.minimum(np.arange(len(first)), (1 << 16) - 1)  # a lower bound does
                     rows["central"] = 10_000 * late.sum() // len(s)
                     waiting.append(rows)
                     size += len(rows)
@@ -321,38 +321,90 @@ def blocks(rows: str, tokens: str):
     return F.greatest(few_, F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
 
-def star_links(star: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
-    """Links (a, b) between different components within stars, enough of them to join all that are linked.
+def cells(rows: DataFrame) -> DataFrame:
+    """rows (p, a, na, ca, inner, value) dealt to cells: p, kind, i, j, side, a, na, ca, value.
 
-    A star's members outside its pivot's component meet each other and those in
-    it, block by block. A pair of blocks is a cell, read by one task.
+    Members outside the pivot's component meet each other (kind 0) and those in it
+    (kind 1), block by block. A pair of blocks is a cell, which one task reads.
     """
-    of = lambda df, c, name: df.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
-    named = checkpointed(of(of(star, "a", "ca"), "p", "cp").select("p", "a", "na", "ca", (F.col("ca") == F.col("cp")).alias("inner")))
     counts = [f(F.when(F.col("inner") == side, x)).alias(f"{name}_{side}".lower()) for side in (True, False) for name, f, x in (("rows", F.count, F.lit(1)), ("tokens", F.sum, F.col("na")))]
-    open_ = named.groupBy("p").agg(*counts).filter("rows_false > 0").select("p", blocks("rows_true", "tokens_true").alias("inside"), blocks("rows_false", "tokens_false").alias("outside"))
-    rows = named.join(F.broadcast(open_) if few(open_, 200_000) else open_, "p")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("a", F.lit(1)), F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    open_ = rows.groupBy("p").agg(*counts).filter("rows_false > 0 and rows_true + rows_false > 1")
+    open_ = open_.select("p", blocks("rows_true", "tokens_true").alias("inside"), blocks("rows_false", "tokens_false").alias("outside"))
+    own, upto = F.col("own"), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.col(n), F.lit(1))), lambda i: i - 1)
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = F.col("own")
     across = F.transform(upto("outside"), lambda i: cell(1, i, own, F.lit(1)))
     around = F.concat(
         F.transform(upto("outside"), lambda j: cell(0, F.least(own, j), F.greatest(own, j), F.when(own <= j, 0).otherwise(1))),
         F.transform(upto("inside"), lambda j: cell(1, own, j, F.lit(0))),
     )
-    rows = rows.join(values.select(F.col("sig").alias("a"), "tokens"), "a")
-    rows = rows.select("p", "a", "na", "ca", "tokens", F.explode(F.when(F.col("inner"), across).otherwise(around)).alias("cell")).select("p", "cell.*", "a", "na", "ca", "tokens")
-    return rows.groupBy("p", "kind", "i", "j").applyInArrow(cell_links, "a long, b long")
+    dealt = rows.join(F.broadcast(open_) if few(open_, 200_000) else open_, "p")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("a", F.lit(1)), F.greatest(F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outside")), F.lit(1))).cast("int"))
+    return dealt.select("p", "a", "na", "ca", "value", F.explode(F.when(F.col("inner"), across).otherwise(around)).alias("cell")).select("p", "cell.*", "a", "na", "ca", "value")
 
 
-def cell_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Links that join the components of a cell's two sides, or of its one side; overlaps are counted from lists of who has a token."""
+def star_links(star: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
+    """Links (a, b) between different components within stars, enough of them to join all that are linked.
+
+    A first pass over fingerprints finds the members that may link; sets of only these are compared.
+    """
+    of = lambda df, c, name: df.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
+    named = of(of(star, "a", "ca"), "p", "cp").select("p", "a", "na", "ca", (F.col("ca") == F.col("cp")).alias("inner"))
+    rows = named.join(named.filter("not inner").select("p").distinct(), "p", "left_semi").join(values.select(F.col("sig").alias("a"), F.col("marks").alias("value")), "a")
+    maybe = checkpointed(cells(rows).groupBy("p", "kind", "i", "j").applyInArrow(cell_members, "p long, a long, na long, ca long, inner boolean").distinct())
+    sets_ = semi_join(values.select("sig", "tokens"), maybe.select(F.col("a").alias("sig")).distinct(), "sig")
+    rows = maybe.join(sets_.toDF("a", "value"), "a")
+    return cells(rows).groupBy("p", "kind", "i", "j").applyInArrow(cell_links, "a long, b long")
+
+
+class Postings:
+    """Who of several lists has a number: counts of what a list shares with each of them."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        number, who = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(number, kind="stable")
+        self.number, self.who, self.size = number[order], who[order], len(lists)
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        lo = np.searchsorted(self.number, own)
+        n = np.searchsorted(self.number, own, side="right") - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.who[at], minlength=self.size)
+
+
+def cell_of(key, rows: pa.Table, dtype: str):
+    """a, n, c, values, and the places of a cell's two sides; a cell of one block has it on both."""
     kind, i, j = (k.as_py() for k in key[1:])
     a, n, c, side = (rows.column(x).to_numpy() for x in ("a", "na", "ca", "side"))
-    tokens = [from_six(np.frombuffer(x.as_buffer(), np.uint8)) for x in rows.column("tokens").combine_chunks()]
     left = np.flatnonzero(side == 0)
     right = left if kind == 0 and i == j else np.flatnonzero(side == 1)
+    values = [np.frombuffer(x.as_buffer(), dtype) for x in rows.column("value").combine_chunks()] if len(left) and len(right) else []
+    return a, n, c, values, left, right
+
+
+def cell_members(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """The members of a cell that may link to one on its other side, by fingerprints: p, a, na, ca, inner."""
+    a, n, c, values, left, right = cell_of(key, rows, "<u2")
+    hit = np.zeros(len(a), bool)
+    if values:
+        cut = lambda x, k: x[k * len(x) // len(ORDERS) : (k + 1) * len(x) // len(ORDERS)]
+        posted = [Postings([np.unique(cut(values[y], k)) for y in right]) for k in range(len(ORDERS))]
+        length = np.array([len(x) // len(ORDERS) for x in values])
+        for x in left.tolist():
+            both = overlap(n[x], n[right])
+            least = np.minimum(length[x] - n[x], length[right] - n[right]) + both
+            maybe = (c[right] != c[x]) & (both <= np.minimum(n[x], n[right]))
+            for k, lists in enumerate(posted):
+                if maybe.any():
+                    maybe &= lists.shared(cut(values[x], k)) >= least
+            hit[right[maybe]] = True
+            hit[x] |= maybe.any()
+    inner = (rows.column("side").to_numpy() == 1) & (key[1].as_py() == 1)
+    return pa.table({"p": pa.array([key[0].as_py()] * int(hit.sum()), pa.int64()), "a": pa.array(a[hit]), "na": pa.array(n[hit]), "ca": pa.array(c[hit]), "inner": pa.array(inner[hit])})
+
+
+def cell_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Links that join the components of a cell's two sides, no more than join them."""
+    a, n, c, values, left, right = cell_of(key, rows, "u1")
     found, root = [], {x: x for x in c.tolist()}
 
     def find(x):
@@ -360,16 +412,11 @@ def cell_links(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
             root[x] = x = root[root[x]]
         return x
 
-    if len(left) and len(right):
-        token = np.concatenate([tokens[k] for k in right])
-        who = np.repeat(np.arange(len(right)), [len(tokens[k]) for k in right])
-        order = np.argsort(token, kind="stable")
-        token, who = token[order], who[order]
+    if values:
+        tokens = list(map(from_six, values))
+        posted = Postings([tokens[y] for y in right])
         for x in left.tolist():
-            lo = np.searchsorted(token, tokens[x])
-            size = np.searchsorted(token, tokens[x], side="right") - lo
-            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            both = np.bincount(who[at], minlength=len(right))
+            both = posted.shared(tokens[x])
             linked = right[(100 * both >= PERCENT * (n[x] + n[right] - both)) & (c[right] != c[x])]
             for y in linked[np.unique(c[linked], return_index=True)[1]].tolist():
                 if (u := find(c[x])) != (v := find(c[y])):
@@ -397,8 +444,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = checkpointed(met.filter("token is null").select("a", "b", "na", "nb").unionByName(rays).distinct())
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(star.select(F.col("a").alias("sig"))).distinct()
     values = values_of(docs, id_col, text_col, firsts, repeated_ids, sigs)
-    likely = compared(pairs, values.select("sig", "marks"), by_marks)
-    labels = components(compared(likely, values.select("sig", "tokens"), by_sets), "a", "b")
+    likely = checkpointed(compared(pairs, values.select("sig", "marks"), by_marks))
+    sets_ = semi_join(values.select("sig", "tokens"), likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig")
+    labels = components(compared(likely, sets_, by_sets), "a", "b")
     more = checkpointed(star_links(star, labels, values))
     if not more.isEmpty():
         labels = checkpointed(contracted(labels, more))
