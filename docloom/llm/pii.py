@@ -11,7 +11,8 @@ expression. Spans that pass the base rules are always kept; the classifier adds
 others, where they overlap no base span.
 
 All of it is DataFrame functions: positions come from the pieces of a text
-between its matches. Places are code points, ends exclusive.
+between its matches, added up in blocks, so work grows with the text and not with
+its square. Places are code points, ends exclusive.
 
 A null text counts as empty and has no spans. Rows with equal ids are scanned
 each; a null id stays null. An empty table gives an empty result.
@@ -58,6 +59,38 @@ MOST_EIGHTS = 4
 SPAN = "array<struct<start:int,end:int,kind:int,base:boolean,regex:int,form:int,gazetteer:int,context:int,edges:int,size:int,digits:int>>"
 
 
+BLOCK = 256  # elements of an array that are folded into one list
+CHUNK = 1024  # code points
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body or a function within it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def before_each(values: Column, zero: Column, fold) -> Column:
+    """For each whole number of an array the fold of those before it; fold is associative, as a sum or a maximum.
+
+    A list that grows by one is copied each time, so lists grow within blocks, and the blocks' own folds in one list more.
+    """
+    listed = lambda x, first: F.aggregate(
+        x, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, v: F.struct(fold(a["at"], v).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+    )["out"]
+
+    def of(x):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(BLOCK))
+        block = lambda b: F.slice(x, b + 1, BLOCK)
+        carried = listed(F.transform(starts, lambda b: F.aggregate(block(b), zero, fold)), zero)
+        return F.flatten(F.zip_with(starts, carried, lambda b, first: listed(block(b), first)))
+
+    return bound(values, of)
+
+
+def sorted_once(spans: Column) -> Column:
+    """Sorted, each once; array_distinct would compare every two structs."""
+    return bound(F.sort_array(spans), lambda x: F.filter(x, lambda s, i: (i == 0) | (s != F.get(x, i - 1))))
+
+
 def by_kind(kind: str, email: Column, ip: Column, card: Column, phone: Column) -> Column:
     return dict(zip(KINDS, (email, ip, card, phone), strict=True))[kind]
 
@@ -104,12 +137,9 @@ def candidates(docs: DataFrame, text_col: str = "text", name: str = "candidates"
     lists = []
     for i, (kind, base, _) in enumerate(PATTERNS):
         m, p = F.col(f"__m{i}"), F.col(f"__p{i}")
-        ahead = lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.array_append(a["starts"], a["at"] + F.length(x["p"])).alias("starts"),
-        )
-        pairs = F.zip_with(F.slice(p, 1, F.size(m)), m, lambda a, b: F.struct(a.alias("p"), b.alias("m")))
-        starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), ahead)["starts"]
+        before = F.slice(p, 1, F.size(m))
+        through = F.zip_with(before, m, lambda a, b: F.length(a) + F.length(b))
+        starts = F.zip_with(before_each(through, F.lit(0), lambda a, b: a + b), before, lambda a, b: a + F.length(b))
         each = F.transform(
             F.arrays_zip(m.alias("m"), F.slice(p, 1, F.size(m)).alias("p"), F.slice(p, 2, F.size(m)).alias("q"), starts.alias("s")),
             lambda x: judged(kind, base, x["m"], F.substring(x["p"], -32, 32), F.substring(x["q"], 1, 1), x["s"]),
@@ -182,13 +212,22 @@ def probability(span: Column, weights: list[float]) -> Column:
 
 def decided(found: DataFrame, weights: list[float], threshold: float = 0.5) -> DataFrame:
     """found with base and spans, arrays of (start, kind, end) in order: what passes the base rules, and with what the classifier adds."""
-    short = lambda a: F.array_distinct(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    base = F.sort_array(short(F.filter("candidates", lambda s: s["base"])))
-    likely = F.filter("candidates", lambda s: ~s["base"] & (probability(s, weights) >= threshold))
-    out = found.withColumn("base", F.when(F.size("candidates") > 0, base).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    out = out.withColumn("__likely", F.when(F.size("candidates") > 0, short(likely)).otherwise(F.col("base")))
-    free = F.filter("__likely", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return out.withColumn("spans", F.sort_array(F.concat("base", free))).drop("__likely")
+    span = lambda s: [s[c].alias(c) for c in ("start", "kind", "end")]
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    base = sorted_once(F.transform(F.filter("candidates", lambda s: s["base"]), lambda s: F.struct(*span(s))))
+    likely = sorted_once(F.transform(F.filter("candidates", lambda s: ~s["base"] & (probability(s, weights) >= threshold)), lambda s: F.struct(*span(s))))
+    any_ = F.size("candidates") > 0
+    out = found.withColumn("base", F.when(any_, base).otherwise(none)).withColumn("__likely", F.when(any_, likely).otherwise(none))
+    # a likely span is free if the base spans that begin before it end by its start, and those after it begin by its end
+    marked = lambda c, flag: F.transform(c, lambda s: F.struct(*span(s), F.lit(flag).alias("base")))
+    out = out.withColumn("__all", F.when((F.size("base") > 0) & (F.size("__likely") > 0), F.sort_array(F.concat(marked("base", True), marked("__likely", False)))))
+    far = F.lit((1 << 31) - 1)
+    reached = before_each(F.transform("__all", lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    ahead = F.reverse(before_each(F.reverse(F.transform("__all", lambda s: F.when(s["base"], s["start"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+    places = F.arrays_zip(F.col("__all").alias("s"), reached.alias("reached"), ahead.alias("ahead"))
+    free = F.transform(F.filter(places, lambda x: ~x["s"]["base"] & (x["reached"] <= x["s"]["start"]) & (x["ahead"] >= x["s"]["end"])), lambda x: F.struct(*span(x["s"])))
+    free = F.when(F.col("__all").isNotNull(), free).otherwise(F.col("__likely"))
+    return out.withColumn("spans", F.sort_array(F.concat("base", free))).drop("__likely", "__all")
 
 
 def joined(spans: str) -> Column:
@@ -212,24 +251,30 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def part(chunks: str, a: Column, b: Column) -> Column:
+    """Code points a to b, b exclusive, of a text in chunks; empty if there are none."""
+    i, j = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+    first = F.substring(F.get(chunks, i), F.pmod(a, F.lit(CHUNK)) + 1, F.least(b - a, F.lit(CHUNK)))
+    rest = F.concat(F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(chunks, j), F.lit(1), F.pmod(b - 1, F.lit(CHUNK)) + 1))
+    return F.when(b <= a, "").when(i == j, first).otherwise(F.concat(first, rest))
+
+
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans go as one."""
+    """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans go as one.
+
+    Rows are written with their candidates, so texts are scanned once. Null texts stay null.
+    """
     columns = docs.columns
     packed = docs.select(F.struct(*columns).alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    weights = train(votes_counted(candidates(packed.select("__text"), "__text")))
-    found = decided(candidates(packed, "__text"), weights)
+    scanned = written(candidates(packed, "__text").drop("__text"))
+    found = decided(scanned, train(votes_counted(scanned)))
+    text = F.col("__row")[text_col]
     name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-        F.struct(
-            s["end"].alias("at"),
-            F.array_append(
-                F.array_append(a["out"], F.substring(F.col("__text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))),
-                F.when(s["start"] >= a["at"], F.concat(F.lit("<"), name(s), F.lit(">"))).otherwise(""),
-            ).alias("out"),
-        )
-    )
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    out = found.withColumn("__cut", F.when(F.size("spans") > 0, cut))
-    rest = F.expr("substring(__text, __cut.at + 1)")
-    text = F.when(F.size("spans") > 0, F.concat(F.array_join("__cut.out", ""), rest)).otherwise(F.col("__row")[text_col])
-    return out.select(*[text.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in columns])
+    any_ = F.size("spans") > 0
+    cut = found.withColumn("__chunks", F.when(any_, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    cut = cut.withColumn("__ends", F.when(any_, before_each(F.transform("spans", lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))))
+    pieces = F.zip_with("spans", "__ends", lambda s, at: F.concat(part("__chunks", at, s["start"]), F.when(s["start"] >= at, F.concat(F.lit("<"), name(s), F.lit(">"))).otherwise("")))
+    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    whole = F.concat(F.array_join(pieces, ""), part("__chunks", last, F.length(text)))
+    out = F.when(any_, whole).otherwise(text)
+    return cut.select(*[out.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in columns])

@@ -7,9 +7,11 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,105 @@ def test_masking_takes_spans_out_and_keeps_the_rest(spark):
     assert pii.masked(documents(spark, texts)).columns == documents(spark, texts).columns
 
 
+def test_folds_before_each_element(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    rng = random.Random(8)
+    lists = [[rng.randint(0, 50) for _ in range(n)] for n in (0, 1, 2, 3, 4, 9, 10, 31)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    sums = pii.before_each(F.col("x"), F.lit(0), lambda a, b: a + b)
+    tops = pii.before_each(F.col("x"), F.lit(0), lambda a, b: F.greatest(a, b))
+    for r in df.select("x", sums.alias("sums"), tops.alias("tops")).collect():
+        assert r["sums"] == [sum(r["x"][:i]) for i in range(len(r["x"]))]
+        assert r["tops"] == [max([0, *r["x"][:i]]) for i in range(len(r["x"]))]
+
+
+def mixed_texts(seed, n):
+    rng = random.Random(seed)
+    bits = ["1.2.3.4", "1.2.3.4.5", "a@b.co", "4111 1111 1111 1111", "4111-1111-1111-1112", "(269) 555-3296", "+1 (269) 555-3296", "user [at] host [dot] com", "tel", "card", "version", "\u00e9t\u00e9", "\n", "x"]
+    return [rng.choice(["", " ", ", "]).join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(n)]
+
+
+def test_added_spans_are_the_likely_ones_that_touch_no_base_span(spark):
+    texts = PERSONAL + mixed_texts(12, 200)
+    found = pii.candidates(documents(spark, texts))
+    weights = pii.train(pii.votes_counted(found))
+    added = 0
+    for r in pii.decided(found, weights).collect():
+        base = sorted({(c["start"], c["kind"], c["end"]) for c in r["candidates"] if c["base"]})
+        assert [tuple(x) for x in r["base"]] == base
+        chance = lambda c: 1 / (1 + math.exp(-sum(w for (name, k), w in zip(pii.feature_names(), weights, strict=True) if c[name] == k)))
+        likely = {(c["start"], c["kind"], c["end"]) for c in r["candidates"] if not c["base"] and chance(c) >= 0.5}
+        free = {s for s in likely if not any(s[0] < b[2] and b[0] < s[2] for b in base)}
+        assert [tuple(x) for x in r["spans"]] == sorted([*base, *free])
+        added += len(free)
+    assert added
+
+
+def test_masks_are_spans_cut_out_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 7)
+    texts = PERSONAL + mixed_texts(13, 150)
+    docs = documents(spark, texts).withColumn("__text", F.lit("clashes")).withColumn("spans", F.lit(1))
+    found = collected(pii.scan(documents(spark, texts)))
+    out = collected(pii.masked(docs))
+    for i, t in enumerate(texts):
+        at, pieces = 0, []
+        for start, kind, end in found[i]["spans"]:
+            if end > at:
+                pieces += [t[at : max(start, at)], f"<{pii.KINDS[kind]}>" if start >= at else ""]
+                at = end
+        assert out[i]["text"] == (None if t is None else "".join(pieces) + t[at:])
+        assert out[i]["__text"] == "clashes" and out[i]["spans"] == 1
+
+
+def test_many_spans_in_one_text(spark):
+    texts = ["1.2.3.4 " * 60_000, "1." * 60_000, "(269) 555-3296 a@b.co " * 15_000]
+    began = time.monotonic()
+    out = collected(pii.digest(pii.scan(documents(spark, texts))))
+    masks = collected(pii.masked(documents(spark, texts)))
+    assert out[0]["n_ip"] == 60_000 and out[1]["n_ip"] == 15_000 and out[2]["n_email"] == 15_000
+    assert masks[0]["text"] == "<ip> " * 60_000
+    assert time.monotonic() - began < 90
+
+
+def test_reliabilities_are_those_of_plain_expectation_maximisation():
+    rng = random.Random(6)
+    rows = [{"kind": 0, **{x: rng.choice([-1, 0, 1]) for x in pii.LABELERS}, "size": 1, "digits": 1, "n": rng.randint(1, 30)} for _ in range(40)]
+    share, yes = 0.5, {side: [start] * 5 for side, start in ((True, 0.9), (False, 0.2))}
+    for _ in range(60):
+        chances = []
+        for r in rows:
+            both = []
+            for side, prior in ((True, share), (False, 1 - share)):
+                for x, y in zip(pii.LABELERS, yes[side], strict=True):
+                    prior *= y if r[x] == 1 else 1 - y if r[x] == 0 else 1
+                both.append(prior)
+            chances.append(both[0] / sum(both))
+        total = sum(r["n"] for r in rows)
+        share = (sum(r["n"] * p for r, p in zip(rows, chances, strict=True)) + 1) / (total + 2)
+        for side, start in ((True, 0.9), (False, 0.2)):
+            weight = [r["n"] * (p if side else 1 - p) for r, p in zip(rows, chances, strict=True)]
+            yes[side] = [(sum(w for w, r in zip(weight, rows, strict=True) if r[x] == 1) + 10 * start) / (sum(w for w, r in zip(weight, rows, strict=True) if r[x] >= 0) + 10) for x in pii.LABELERS]
+    got_share, got_yes = pii.reliabilities(rows)[0]
+    assert got_share == pytest.approx(share, abs=1e-9)
+    assert got_yes[0].tolist() == pytest.approx(yes[True], abs=1e-9) and got_yes[1].tolist() == pytest.approx(yes[False], abs=1e-9)
+
+
+def test_span_weights_are_where_the_penalised_likelihood_is_flat():
+    rng = random.Random(7)
+    rows = [{"kind": rng.randrange(4), **{x: rng.choice([-1, 0, 1]) for x in pii.LABELERS}, "size": rng.randrange(5), "digits": rng.randrange(5), "n": rng.randint(1, 9)} for _ in range(80)]
+    weights, names = pii.train(rows), pii.feature_names()
+    known = pii.reliabilities(rows)
+    total = sum(r["n"] for r in rows)
+    slope = [-0.1 * w for w in weights]
+    for r in rows:
+        on = [i for i, (c, k) in enumerate(names) if r[c] == k]
+        target = float(pii.posterior(np.array([[r[x] for x in pii.LABELERS]], float), *known[r["kind"]])[0])
+        p = 1 / (1 + math.exp(-sum(weights[i] for i in on)))
+        for i in on:
+            slope[i] += r["n"] * min(1, 1000 / total) * (target - p)
+    assert max(map(abs, slope)) < 1e-6
+
+
 # Jaccard join
 
 
