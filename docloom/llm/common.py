@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one, but on a cluster an error: its machines share no temporary folder."""
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docloom-")
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            known = tempfile.mkdtemp(prefix="spark-docloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known
 

@@ -19,8 +19,11 @@ trigrams at most, so one of them is left in any passage with e edits. Such a
 passage of n words keeps n - 2 - 3e of its trigrams in all, so windows with fewer
 can't hold an item within the edits allowed and aren't embedded.
 
-Items of fewer than 3 words match nothing. Null and empty texts have no matches.
-Rows with equal ids, and equal items, are matched each.
+Items of one or two words allow no edits and are looked up as they stand; items
+without words match nothing. Null and empty texts have no matches.
+Rows with equal ids, or none, and equal items are matched each; an empty table, of
+texts or of items, gives an empty result. Columns other than the id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -148,6 +151,13 @@ class Items:
         self.grams = np.unique(grams)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.grams >> np.uint64(42)).astype(np.int64)] = True
+        self.short = {}
+        for n in range(1, MIN_WORDS):
+            own = np.flatnonzero(self.counts == n)
+            at, h = w.windows(n)
+            h = h[np.searchsorted(at, self.first[own])]
+            order = np.argsort(h, kind="stable")
+            self.short[n] = (h[order], own[order])
         own = np.flatnonzero(self.counts >= MIN_WORDS)
         n_pieces = np.maximum(self.counts[own] // PIECE, 1)
         # pieces of an item are as long as each other, to a word
@@ -170,6 +180,12 @@ class Items:
         order = np.argsort(all_keys, kind="stable")
         self.keys, self.who = all_keys[order], all_who[order].astype(np.int64)
 
+    @classmethod
+    def of(cls, fields: dict) -> Items:
+        out = cls.__new__(cls)
+        out.__dict__.update(fields)
+        return out
+
     def windows(self, w) -> list[tuple[int, np.ndarray]]:
         """size, first words of the windows to embed."""
         at, grams = w.windows(3)
@@ -197,6 +213,17 @@ class Items:
                 out.append((size, starts))
         return out
 
+    def short_places(self, w) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item) of places of items of fewer than MIN_WORDS words."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for n, (known, item) in self.short.items():
+            if len(known):
+                at, h = w.windows(n)
+                lo = np.searchsorted(known, h)
+                times = np.searchsorted(known, h, "right") - lo
+                found.append((np.repeat(at, times), item[np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def candidates(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word, item) of places where a window shares a key with a piece of the item; the first word may lie before the row."""
         found = []
@@ -214,7 +241,7 @@ class Items:
     def matches(self, w) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, last word + 1, edits) of verified places, words counted within the row."""
         rows, starts, items = self.candidates(w)
-        out = []
+        out = [(int(w.doc[at]), int(item), int(at - w.first[w.doc[at]]), int(at - w.first[w.doc[at]] + self.counts[item]), 0) for at, item in zip(*self.short_places(w), strict=True)]
         order = np.lexsort((starts, items, rows)) if len(starts) else []
         done = (-1, -1, -1)
         for i in order:
@@ -280,12 +307,12 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15, id_col: str
 
 
 def matched(docs: DataFrame, index: Items, item_type, id_col: str) -> DataFrame:
-    kept = docs.sparkSession.sparkContext.broadcast(index)
+    kept = docs.sparkSession.sparkContext.broadcast(index.__dict__)  # plain arrays: workers may lack this package
     names = ["first_word", "end_word", "edits", "item_words"]
     schema = docs.select(F.col(id_col).alias("id"), F.lit(None).cast(item_type).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in names]).schema
 
     def search(batches):
-        ix, hasher = kept.value, WordHasher(APART)
+        ix, hasher = Items.of(kept.value), WordHasher(APART)
         ids, hashes = [], []
 
         def flush():
@@ -300,7 +327,7 @@ def matched(docs: DataFrame, index: Items, item_type, id_col: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 w = hasher(part.column(1))
-                rows = np.unique(np.concatenate([w.doc[starts] for _, starts in ix.windows(w)] or [w.doc[:0]]))
+                rows = np.unique(np.concatenate([w.doc[ix.short_places(w)[0]], *[w.doc[starts] for _, starts in ix.windows(w)]]))
                 if len(rows):
                     # embedding is cheap for many windows at once: texts that have any wait for each other
                     ids.append(part.column(0).take(pa.array(rows)))

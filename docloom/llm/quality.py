@@ -166,6 +166,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty:
     return [([(STATISTICS[f], float(bounds[f][k]), above) for f, k, above in c], float(v)) for c, v in zip(rules, w, strict=True) if abs(v) > 1e-4], b
 
 
+def one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with equal keys that with the least hash of its text."""
+    columns = [c for c in rows.columns if c != key]
+    first = F.min(F.struct(F.xxhash64("text").alias("__h"), *columns)).alias("__r")
+    return rows.groupBy(key).agg(first).select(*[F.col(f"__r.{c}") if c != key else F.col(key) for c in rows.columns])
+
+
 def holds(bins: np.ndarray, conditions) -> np.ndarray:
     return np.logical_and.reduce([(bins[:, f] > k) == above for f, k, above in conditions])
 
@@ -184,8 +191,8 @@ def compiled(rules: list, intercept: float) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000) -> tuple[list, float]:
     """Rules from at most `most` labelled rows; only their statistics come to the driver."""
     chosen = F.broadcast(training_labels(labels, label, most))
-    own = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select(F.struct("doc_id", "__label").alias("doc_id"), "text")
-    rows = statistics(own).select("doc_id.__label", *STATISTICS).limit(4 * most).toPandas()
+    own = one_of_each(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")), "doc_id").select(F.struct("doc_id", "__label").alias("doc_id"), "text")
+    rows = statistics(own).select("doc_id.__label", *STATISTICS).toPandas()
     rows = rows.sort_values(list(rows.columns))  # so that reruns agree
     return fit(rows[STATISTICS].to_numpy(), rows["__label"].to_numpy())
 

@@ -7,7 +7,9 @@ held in an inverted index cut into blocks that keep each term's largest weight;
 blocks are taken by falling bound until no block can reach the nearest k. Votes
 are weighted by distance; isotonic regression on the examples' own left-out votes
 calibrates them. A text that shares no word with an example, an empty or null one
-too, has the score of such examples. Rows with equal ids are scored each.
+too, has the score of such examples. Rows with equal ids, or none, are scored each;
+of examples with equal ids one is kept. With no labelled row the score is 0, and an
+empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import held_out
-from docloom.llm.quality import training_labels
+from docloom.llm.quality import one_of_each, training_labels
 from docloom.llm.wordarrays import WordHasher, mixed, slices
 
 #: ASCII bytes that aren't letters or digits.
@@ -94,6 +96,12 @@ class Examples:
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.unseen = np.log(1 + len(ids)) + 1
 
+    @classmethod
+    def of(cls, fields: dict) -> Examples:
+        out = cls.__new__(cls)
+        out.__dict__.update(fields)
+        return out
+
     def nearest(self, term, weight, without: int = -1):
         """The k nearest examples by cosine, exact: blocks are left only when their bound is below the k-th."""
         bound = weight @ self.top[term]
@@ -148,7 +156,7 @@ class Examples:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, least_docs: int = 5, least_g2: float = 20.0) -> Examples:
     """The index over at most `most` labelled rows; of their texts only counts of words come to the driver. least_docs, least_g2: of a word that tells."""
     chosen = F.broadcast(training_labels(labels, "toxic", most))
-    examples = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select("__label", "text", "doc_id")
+    examples = one_of_each(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select("__label", "text", "doc_id"), "doc_id")
     # Arrow, not rows: the words of the sample are many for a small driver
     terms = vocabulary(examples.select(F.col("__label").alias("label"), "text"), least_docs, least_g2).toArrow()
     column = lambda c: terms[c].to_numpy()
@@ -167,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, l
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(cut, term.astype(np.int32)), pa.ListArray.from_arrays(cut, n.astype(np.int32))], ["label", "id", "terms", "counts"])
 
     schema = examples.select(F.col("__label").alias("label"), F.col("doc_id").alias("id"), F.array(F.lit(0)).alias("terms"), F.array(F.lit(0)).alias("counts")).schema
-    rows = examples.mapInArrow(vectors, schema).limit(4 * most).toArrow()
+    rows = examples.mapInArrow(vectors, schema).toArrow()
     rows = rows.take(pa.compute.sort_indices(rows, [("id", "ascending")])).combine_chunks()
     flat = lambda c: rows[c].combine_chunks().flatten().to_numpy().astype(np.int64)
     ids, labelled = rows["id"].to_numpy(), rows["label"].to_numpy()
@@ -184,12 +192,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, l
 
 def score(docs: DataFrame, examples: Examples, evidence: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence the ids and cosines of the nearest examples."""
-    kept = docs.sparkSession.sparkContext.broadcast(examples)
+    kept = docs.sparkSession.sparkContext.broadcast(examples.__dict__)  # plain arrays: workers may lack this package
     id_type = docs.schema["doc_id"].dataType
     schema = docs.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score"), F.array(F.lit(None).cast(id_type)).alias("near_ids"), F.array(F.lit(0.0)).alias("near_cosines")).schema
 
     def scored(batches):
-        ex, hasher, seen = kept.value, WordHasher(APART), {}
+        ex, hasher, seen = Examples.of(kept.value), WordHasher(APART), {}
         for batch in batches:
             for part in slices(batch):
                 w = hasher(part.column(1))
