@@ -59,8 +59,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: how many words of each document it takes, repeats counted; documents that it takes nothing of go."""
-    return mixing.mix_counts(docs).filter("taken > 0")
+    """The mix: documents with text, how many of their words it takes, repeats counted, and as parts which words in which slots.
+
+    Documents that it takes nothing of go, those without words among them. mixing.mixed_texts lays the parts out as texts.
+    """
+    keyed = docs.withColumn("__key", row_key())
+    taken = mixing.mix_parts(keyed, "__key").filter("taken > 0").withColumnRenamed("__key", "__taken_key")
+    return keyed.join(taken, F.col("__key").eqNullSafe(F.col("__taken_key"))).drop("__key", "__taken_key")
 
 
 STAGES = [

@@ -123,10 +123,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return laid, schedule(sources).join(pieces(laid), ["source_no", "block"])
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words of each document that the mix takes, repeats counted."""
+def mix_parts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id_col, size, source_size, target, taken, parts: what the mix takes of each document.
+
+    taken: its words, repeats counted; parts: (slot, from_word, to_word) in the
+    order of slots, to_word exclusive. A document has no more parts than its blocks have slots.
+    """
     laid, mixed = mix(docs, id_col)
-    taken = mixed.groupBy("source_no", "start").agg(F.sum(F.col("piece_to") - F.col("piece_from")).alias("__taken"))
-    taken = taken.select(F.col("source_no").alias("__no"), F.col("start").alias("__start"), "__taken")
+    part = F.struct("slot", (F.col("piece_from") - F.col("start")).alias("from_word"), (F.col("piece_to") - F.col("start")).alias("to_word"))
+    taken = mixed.groupBy("source_no", "start").agg(F.sum(F.col("piece_to") - F.col("piece_from")).alias("__taken"), F.sort_array(F.collect_list(part)).alias("parts"))
+    taken = taken.select(F.col("source_no").alias("__no"), F.col("start").alias("__start"), "__taken", "parts")
     out = laid.join(taken, (F.col("source_no") == F.col("__no")) & (F.col("start") == F.col("__start")) & (F.col("size") > 0), "left")
-    return out.select(id_col, "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(id_col, "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"), "parts")
+
+
+def mix_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id_col, size, source_size, target, taken: the words of each document that the mix takes, repeats counted."""
+    return mix_parts(docs, id_col).drop("parts")
+
+
+def mixed_texts(mixed: DataFrame, text_col: str = "text", parts: str = "parts") -> DataFrame:
+    """Documents with parts -> a row for each part, in the mix's order when sorted by slot and from_word: slot, from_word, to_word and the document's columns, text_col cut to the part's words as they stand."""
+    rows = mixed.select("*", F.explode(parts).alias("__part"))
+    words_ = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    first, last = F.col("__part.from_word").cast("int"), F.col("__part.to_word").cast("int")
+    cut = F.regexp_replace(F.array_join(F.slice(words_, first + 1, last - first), ""), r"^[\x20\x09-\x0D]+", "")
+    whole = (first == 0) & (last == F.size(words_))
+    return rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select("__part.*", *[c for c in mixed.columns if c != parts])

@@ -698,3 +698,47 @@ def test_few_and_semi_join(spark):
     for limit in (1, 10):
         assert {r["k"] for r in semi_join(big, keys, "k", limit).collect()} == {7, 8, 9}
     assert big.agg(F.count("*")).first()[0] == 10
+
+
+# the pipeline as a whole
+
+
+def test_mixed_texts_are_the_words_taken(spark):
+    texts = [" ".join(f"d{i}w{k}" for k in range(n)) for i, n in enumerate([1, 5, 40, 300, 900, 0, 7])] + [None, " a\tb \n c "]
+    docs = documents(spark, texts)
+    mixed = docs.join(mixing.mix_parts(docs), "doc_id")
+    rows = mixing.mixed_texts(mixed).collect()
+    taken = collected(mixed)
+    for r in rows:
+        assert words_of(r["text"]) == words_of(texts[r["doc_id"]])[r["from_word"] : r["to_word"]]
+    for i, t in taken.items():
+        assert t["taken"] == sum(len(words_of(r["text"])) for r in rows if r["doc_id"] == i)
+
+
+def test_the_pipeline_on_odd_rows(spark, tmp_path):
+    rng = random.Random(17)
+    good = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) + ("." if k % 11 == 10 else "") for k in range(120))
+    item = good()
+    copied = good()
+    texts = [(i, good()) for i in range(60)] + [(100 + i, copied + f" tail{i}") for i in range(5)]
+    texts += [(200, f"so {item} on"), (201, "mail jo.doe@site.org now " + good()), (None, good()), (None, copied), (5, good()), (5, None), (300, ""), (301, None), (302, "x" * 100_000), (59, copied + " tail1")]
+    rows = [(i, t, "en" if k % 5 else None, None, None) for k, (i, t) in enumerate(texts)]  # one source: the mix takes all
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r["taken"] > 0 and r["text"] for r in out)
+    # one of the copies stays, the least id; the contaminated row goes; the mail is masked; clean rows of repeated and null ids are judged by themselves
+    stay = {(i, t) for i, t in texts[:60]} | {(None, texts[67][1]), (5, texts[69][1]), (59, copied + " tail1"), (302, "x" * 100_000)}
+    left = {(r["doc_id"], r["text"]) for r in out if r["doc_id"] != 201}
+    assert left == stay
+    assert {r["doc_id"] for r in out} >= {59, 201} and not {100, 101, 102, 103, 104, 200} & {r["doc_id"] for r in out}
+    assert [r["text"].startswith("mail <email> now") for r in out if r["doc_id"] == 201] == [True]
+    assert out[0].asDict().keys() >= {"doc_id", "text", "lang", "source", "n_chars", "taken", "parts"}
+
+
+def test_the_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
