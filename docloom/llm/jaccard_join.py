@@ -40,12 +40,14 @@ WORDS = 5
 PERCENT = 80
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 64, 1_000_000  # documents with a token, in a part of a task and in all; tokens put last
 BUCKET = 64  # members of a bucket whose pairs are taken as they are
-BLOCK_ROWS, BLOCK_TOKENS, BLOCKS = 1000, 1_000_000, 8  # of a star: the most in a block, and how many blocks of 100 it has before they grow
+BLOCK_ROWS, BLOCK_TOKENS = 400, 1_000_000  # of a star: the most in a block
 PART_ROWS = 2_000_000  # prefix tokens that a task gathers
 WAITING = 2_000_000  # tokens that a task holds before it counts or sends them
+CUT = np.uint64(16)
 KNOWN = 100_000  # classes that a task remembers to have sent
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
-SENT = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<u2"), ("central", "<i2")])
+#: A prefix token as sent: 48 bits of it, for a chance meeting only makes a candidate more; its class, the set's size and share of frequent tokens, its place.
+SENT = np.dtype([("high", "<u4"), ("low", "<u2"), ("pos", "<u2"), ("sig", "<i8"), ("n", "<i4"), ("central", "<i2")])
 MET = "token long, a long, b long, na long, nb long, pos long, central long"
 
 
@@ -127,11 +129,12 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
 
     def sent(batches):
         hasher, seen, waiting, size = WordHasher(SPACES), set(), [], 0
+        short = np.unique(last.value >> CUT)
 
         def flush():
             rows = np.concatenate(waiting)
-            token, sig = rows["token"].view(np.uint64), rows["sig"].view(np.uint64)
-            to = (mixed(np.where(member(token, last.value), token ^ mixed(sig), token)) % np.uint64(deal)).astype(np.int32)
+            token, sig = token_of(rows), rows["sig"].astype(np.int64).view(np.uint64)
+            to = (mixed(np.where(member(token, short), token ^ mixed(sig), token)) % np.uint64(deal)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             rows, to = rows[order], to[order]
             begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
@@ -152,7 +155,8 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
                     late = member(s, last.value)
                     first = np.concatenate([s[~late], s[late]])[: prefix(len(s))]
                     rows = np.empty(len(first), SENT)
-                    rows["token"], rows["sig"], rows["n"], rows["pos"] = first.view(np.int64), sig, len(s), np.minimum(np.arange(len(first)), (1 << 16) - 1)  # a lower bound does
+                    rows["high"], rows["low"] = first >> np.uint64(32), (first >> CUT) & np.uint64(0xFFFF)
+                    rows["sig"], rows["n"], rows["pos"] = sig, len(s), np.minimum(np.arange(len(first)), (1 << 16) - 1)  # a lower bound does
                     rows["central"] = 10_000 * late.sum() // len(s)
                     waiting.append(rows)
                     size += len(rows)
@@ -173,27 +177,30 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
         if not rows:
             return
         rows = np.concatenate(rows)
-        rows = rows[np.lexsort((rows["sig"], rows["token"]))]
-        rows = rows[np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))]
-        edge = np.append(np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])), len(rows))
+        token = token_of(rows)
+        order = np.lexsort((rows["sig"], token))
+        rows, token = rows[order], token[order]
+        once = np.append(True, (token[1:] != token[:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))
+        rows, token = rows[once], token[once]
+        edge = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(rows))
         size = np.repeat(np.diff(edge), np.diff(edge))
-        large = (size > BUCKET) | member(rows["token"].view(np.uint64), last.value)
-        for i in range(0, len(hot := rows[large]), 100_000):
-            part = hot[i : i + 100_000]
-            yield batch_of(token=part["token"], a=part["sig"], na=part["n"], pos=part["pos"], central=part["central"])
-        keep = ~large & (size > 1)
-        rows, size = rows[keep], size[keep]
+        large = np.flatnonzero((size > BUCKET) | member(token, np.unique(last.value >> CUT)))
+        for i in range(0, len(large), 100_000):
+            part = rows[large[i : i + 100_000]]
+            yield batch_of(token=token[large[i : i + 100_000]].view(np.int64), a=part["sig"], na=part["n"], pos=part["pos"], central=part["central"])
+        keep = size > 1
+        keep[large] = False
+        rows, token, size = rows[keep], token[keep], size[keep]
         found, n = [], 0
         for ahead in range(1, BUCKET):
-            rows, size = rows[size > ahead], size[size > ahead]
+            rows, token, size = (x[size > ahead] for x in (rows, token, size))
             if not len(rows):
                 break
-            x, y = rows[:-ahead], rows[ahead:]
-            both = x["token"] == y["token"]
-            x, y = x[both], y[both]
+            both = token[:-ahead] == token[ahead:]
+            x, y = rows[:-ahead][both], rows[ahead:][both]
             c = overlap(x["n"].astype(np.int64), y["n"])
             fits = (x["pos"] <= x["n"] - c) & (y["pos"] <= y["n"] - c)
-            found.append(np.column_stack([x["sig"][fits], y["sig"][fits], x["n"][fits], y["n"][fits]]))
+            found.append(np.column_stack([z[f][fits] for f in ("sig", "n") for z in (x, y)]))
             n += len(found[-1])
             if n >= 500_000:
                 yield distinct_pairs(found)
@@ -205,12 +212,18 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
         rows = np.concatenate(found)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
+        turned = rows[:, 2] > rows[:, 3]  # the smaller set is a, of equal ones that of the lesser class: its values travel
+        rows[turned] = rows[turned][:, [1, 0, 3, 2]]
         return batch_of(a=rows[:, 0], b=rows[:, 1], na=rows[:, 2], nb=rows[:, 3])
 
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(sent, "part int, rows binary")
     return packed.repartition(parts, "part").mapInArrow(met, MET)
 
 
+def token_of(rows: np.ndarray) -> np.ndarray:
+    return (rows["high"].astype(np.uint64) << CUT) | rows["low"].astype(np.uint64)
+
+
 def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(x), bool)
@@ -317,19 +330,20 @@ def stars(members: DataFrame) -> DataFrame:
 
 def blocks(rows: str, tokens: str):
     """Into how many blocks so many members with so many tokens go."""
-    few_ = F.least(F.lit(BLOCKS), F.ceil(F.col(rows) / 100))
-    return F.greatest(few_, F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.coalesce(tokens, F.lit(0)) / BLOCK_TOKENS)).cast("int")
 
 
 def cells(rows: DataFrame) -> DataFrame:
     """rows (p, a, na, ca, inner, value) dealt to cells: p, kind, i, j, side, a, na, ca, value.
 
     Members outside the pivot's component meet each other (kind 0) and those in it
-    (kind 1), block by block. A pair of blocks is a cell, which one task reads.
+    (kind 1), block by block. A pair of blocks is a cell, which one task reads. A
+    star that fits in a block is one cell, with those in the component as side 2.
     """
     counts = [f(F.when(F.col("inner") == side, x)).alias(f"{name}_{side}".lower()) for side in (True, False) for name, f, x in (("rows", F.count, F.lit(1)), ("tokens", F.sum, F.col("na")))]
     open_ = rows.groupBy("p").agg(*counts).filter("rows_false > 0 and rows_true + rows_false > 1")
-    open_ = open_.select("p", blocks("rows_true", "tokens_true").alias("inside"), blocks("rows_false", "tokens_false").alias("outside"))
+    small = (F.col("rows_true") + F.col("rows_false") <= BLOCK_ROWS) & (F.coalesce("tokens_true", F.lit(0)) + F.col("tokens_false") <= BLOCK_TOKENS)
+    open_ = open_.select("p", small.alias("small"), blocks("rows_true", "tokens_true").alias("inside"), blocks("rows_false", "tokens_false").alias("outside"))
     own, upto = F.col("own"), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.col(n), F.lit(1))), lambda i: i - 1)
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     across = F.transform(upto("outside"), lambda i: cell(1, i, own, F.lit(1)))
@@ -339,7 +353,8 @@ def cells(rows: DataFrame) -> DataFrame:
     )
     dealt = rows.join(F.broadcast(open_) if few(open_, 200_000) else open_, "p")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("a", F.lit(1)), F.greatest(F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outside")), F.lit(1))).cast("int"))
-    return dealt.select("p", "a", "na", "ca", "value", F.explode(F.when(F.col("inner"), across).otherwise(around)).alias("cell")).select("p", "cell.*", "a", "na", "ca", "value")
+    one = F.array(cell(0, F.lit(0), F.lit(0), F.when(F.col("inner"), 2).otherwise(0)))
+    return dealt.select("p", "a", "na", "ca", "value", F.explode(F.when(F.col("small"), one).when(F.col("inner"), across).otherwise(around)).alias("cell")).select("p", "cell.*", "a", "na", "ca", "value")
 
 
 def star_links(star: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
@@ -349,7 +364,9 @@ def star_links(star: DataFrame, labels: DataFrame, values: DataFrame) -> DataFra
     """
     of = lambda df, c, name: df.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
     named = of(of(star, "a", "ca"), "p", "cp").select("p", "a", "na", "ca", (F.col("ca") == F.col("cp")).alias("inner"))
-    rows = named.join(named.filter("not inner").select("p").distinct(), "p", "left_semi").join(values.select(F.col("sig").alias("a"), F.col("marks").alias("value")), "a")
+    named = checkpointed(named.join(named.filter("not inner").select("p").distinct(), "p", "left_semi"))
+    marks = semi_join(values.select("sig", "marks"), named.select(F.col("a").alias("sig")).distinct(), "sig")
+    rows = named.join(marks.toDF("a", "value"), "a")
     maybe = checkpointed(cells(rows).groupBy("p", "kind", "i", "j").applyInArrow(cell_members, "p long, a long, na long, ca long, inner boolean").distinct())
     sets_ = semi_join(values.select("sig", "tokens"), maybe.select(F.col("a").alias("sig")).distinct(), "sig")
     rows = maybe.join(sets_.toDF("a", "value"), "a")
@@ -376,7 +393,7 @@ def cell_of(key, rows: pa.Table, dtype: str):
     kind, i, j = (k.as_py() for k in key[1:])
     a, n, c, side = (rows.column(x).to_numpy() for x in ("a", "na", "ca", "side"))
     left = np.flatnonzero(side == 0)
-    right = left if kind == 0 and i == j else np.flatnonzero(side == 1)
+    right = np.flatnonzero(side != 1 if kind == 0 and i == j else side == 1)
     values = [np.frombuffer(x.as_buffer(), dtype) for x in rows.column("value").combine_chunks()] if len(left) and len(right) else []
     return a, n, c, values, left, right
 
@@ -398,7 +415,8 @@ def cell_members(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
                     maybe &= lists.shared(cut(values[x], k)) >= least
             hit[right[maybe]] = True
             hit[x] |= maybe.any()
-    inner = (rows.column("side").to_numpy() == 1) & (key[1].as_py() == 1)
+    side = rows.column("side").to_numpy()
+    inner = (side == 2) | ((side == 1) & (key[1].as_py() == 1))
     return pa.table({"p": pa.array([key[0].as_py()] * int(hit.sum()), pa.int64()), "a": pa.array(a[hit]), "na": pa.array(n[hit]), "ca": pa.array(c[hit]), "inner": pa.array(inner[hit])})
 
 
@@ -440,7 +458,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     repeated_ids = not own.groupBy("id").count().filter("count > 1").isEmpty()
 
     star = checkpointed(stars(met.filter("token is not null").select("token", "a", "na", "pos", "central")))
-    rays = star.filter("near and a <> p").select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b"), F.when(F.col("a") < F.col("p"), F.col("na")).otherwise(F.col("np")).alias("na"), F.when(F.col("a") < F.col("p"), F.col("np")).otherwise(F.col("na")).alias("nb"))
+    ends = F.sort_array(F.array(F.struct(F.col("na").alias("n"), F.col("a").alias("sig")), F.struct(F.col("np").alias("n"), F.col("p").alias("sig"))))
+    rays = star.filter("near and a <> p").select(ends.alias("e")).select(F.col("e")[0]["sig"].alias("a"), F.col("e")[1]["sig"].alias("b"), F.col("e")[0]["n"].alias("na"), F.col("e")[1]["n"].alias("nb"))
     pairs = checkpointed(met.filter("token is null").select("a", "b", "na", "nb").unionByName(rays).distinct())
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(star.select(F.col("a").alias("sig"))).distinct()
     values = values_of(docs, id_col, text_col, firsts, repeated_ids, sigs)

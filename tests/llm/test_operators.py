@@ -232,12 +232,11 @@ def test_components_match_all_pairs(spark, seed):
     assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == groups(texts)
 
 
-@pytest.mark.parametrize(("frequent", "bucket", "rows", "least"), [(2, 64, 1000, 8), (64, 2, 1000, 8), (2, 2, 7, 1), (10**9, 3, 30, 3)])
-def test_components_by_stars_and_cells(spark, monkeypatch, frequent, bucket, rows, least):
+@pytest.mark.parametrize(("frequent", "bucket", "rows"), [(2, 64, 400), (64, 2, 11), (2, 2, 5)])
+def test_components_by_stars_and_cells(spark, monkeypatch, frequent, bucket, rows):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", rows)
-    monkeypatch.setattr(jaccard_join, "BLOCKS", least)
     texts = near_copies(5 + frequent % 7, 150)
     out = collected(jaccard_join.join(documents(spark, texts)))
     assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == groups(texts)
@@ -247,6 +246,7 @@ def test_a_large_group_whose_members_link_by_others(spark, monkeypatch):
     # copies of one text with one to four words changed: those with many changes link to no pivot, if to any member
     monkeypatch.setattr(jaccard_join, "BUCKET", 8)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 60)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(90)]
     texts = []
