@@ -12,8 +12,10 @@ from docloom.functions.numeric import THAI_DIGITS, strip
 # Characters that OCR takes for digits, in order.
 CONFUSED, MEANT = "OolISBZG", "00115826"
 # Unit abbreviations of headers, in the order in which they are replaced.
-ABBREVIATIONS = [("ลบ.", "ล้านบาท"), ("พบ.", "พันบาท"), ("ล.บ.", "ล้านบาท"), ("พ.บ.", "พันบาท")]
-ZERO_WIDTH = "​‌‍⁠﻿"
+ABBREVIATIONS = [("ลบ.", "ล้านบาท"), ("ล.บ.", "ล้านบาท"), ("ลบ", "ล้านบาท"), ("พบ.", "พันบาท"), ("พ.บ.", "พันบาท")]
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+#: White space of any script but line ends.
+BLANKS = r"[\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Words of a question that aren't searched for.
 STOP_WORDS = ["อะไร", "เท่าไร", "เท่าไหร่", "เท่า", "ใด", "บ้าง", "ของ", "ใน", "ปี", "และ", "กับ", "ที่", "เป็น", "ได้", "หรือ", "how", "what", "which", "does", "did", "the", "for", "from", "and"]
 YEAR_IN_TEXT = r"(?<![\p{L}\p{N}_])(?:25|20)\p{Nd}{2}(?![\p{L}\p{N}_])"
@@ -21,12 +23,24 @@ MONTHS = "ม.ค.|ก.พ.|มี.ค.|เม.ย.|พ.ค.|มิ.ย.|ก.ค
 THAI_DATE = rf"^\d{{1,2}}\s*(?:{MONTHS.replace('.', '[.]')})\s*(?:\d{{4}}|\d{{2}})$"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often a function within body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_of_each(items: Column, key) -> Column:
+    """Of items with equal keys the first, in order; by sorting, so that long texts stay cheap."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    once = bound(keyed, lambda s: F.filter(s, lambda e, j: (j == 0) | (F.get(s, j - 1)["k"] != e["k"])))
+    return F.transform(F.sort_array(F.transform(once, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+
+
 def clean_text(c: Column) -> Column:
-    """Control characters go, runs of blanks become one, of newlines two at most; lines are stripped."""
-    text = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    """Control characters go, runs of blanks become one, of line ends two at most; lines are stripped. Null is empty."""
+    text = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    text = F.regexp_replace(text, BLANKS + "+", " ")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    text = F.regexp_replace(text, r"(?m)^ +| +$", "")
+    text = F.regexp_replace(text, r"(?<=\n) | (?=\n)", "")
     return strip(text)
 
 
@@ -35,43 +49,84 @@ def thai_digits(c: Column) -> Column:
 
 
 def fix_digits(c: Column) -> Column:
-    """Letters that OCR takes for digits, in cells that are digits but for them."""
-    almost = c.rlike(r"^[0-9OolISBZG.,%()+\-\s]+$") & c.rlike("[0-9]") & c.rlike("[OolISBZG]")
+    """Letters that OCR takes for digits, in cells that are a number but for them, brackets aside."""
+    inner = strip(F.regexp_replace(F.regexp_replace(strip(c), r"^\(+", ""), r"\)+$", ""))
+    almost = inner.rlike(r"^[+-]?[0-9OolISBZG][0-9OolISBZG,]*\.?[0-9OolISBZG]*$")
     return F.when(almost, F.translate(c, CONFUSED, MEANT)).otherwise(c)
 
 
-def clean_cell(c: Column, header: bool = False) -> Column:
-    """A cell as shown: zero-width characters out, doubled marks merged, Thai digits and misread digits mended."""
-    text = strip(F.regexp_replace(F.translate(c, ZERO_WIDTH, ""), r"\s+", " "))
-    text = F.regexp_replace(text, "ะม(?=[ก-ฮ]|$)", "ำ")
-    text = F.regexp_replace(text, "ํา", "ำ")
+def mended_marks(c: Column) -> Column:
+    """Thai vowels and tone marks that OCR parts, doubles or leaves at the start of a cell."""
+    text = F.regexp_replace(c, "ะม|ํ", "ำ")
     text = F.regexp_replace(text, "[่-๋]+([่-๋])", "$1")
-    text = F.regexp_replace(text, "^[ัิ-ฺ็-๎]+", "")
-    text = fix_digits(thai_digits(text))
-    return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), ABBREVIATIONS, text) if header else text
+    return F.regexp_replace(text, "^[ัิ-ฺ็-๎]+", "")
+
+
+def clean_cell(c: Column, header: bool = False) -> Column:
+    """A cell as shown: marks mended, Thai digits and, but in headers, misread digits; in headers units written out. Null is empty."""
+    text = thai_digits(mended_marks(strip(F.coalesce(c, F.lit("")))))
+    text = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), ABBREVIATIONS, text) if header else fix_digits(text)
+    return strip(F.regexp_replace(F.translate(text, ZERO_WIDTH, ""), r"[ \t]+", " "))
 
 
 def strip_markdown(c: Column) -> Column:
-    """Without asterisks, underscores, backticks and hashes; white space in one."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[*_`#]", ""), r"\s+", " "))
+    """Without asterisks, underscores, backticks and hashes; white space in one. Null is empty."""
+    return strip(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[*_`#]+", ""), r"(?U)\s+", " "))
 
 
-def safe_name(c: Column, most: int = 240) -> Column:
-    """A name of letters, digits, Thai and _ - . only; long ones are cut and get ten digits of a SHA-1."""
-    text = strip_markdown(c)
-    name = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\-.฀-๿]+", "_"), "^_+|_+$", "")
-    digest = F.substring(F.sha1(text.cast("binary")), 1, 10)
+def safe_name(c: Column, fallback: Column | None = None, most: int = 240) -> Column:
+    """A name of letters, digits, Thai and _ - . ( ) only, the fallback's where it is blank; long ones are cut and get ten digits of a SHA-1."""
+    text = F.coalesce(*[F.nullif(strip_markdown(x), F.lit("")) for x in (c, *([fallback] if fallback is not None else []))], F.lit("table"))
+    name = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", "_"), r"(?U)[^\w\x{0E00}-\x{0E7F}\-.()]", "_")
+    name = F.regexp_replace(F.regexp_replace(name, "_+", "_"), "^_+|_+$", "")
+    digest = F.substring(F.sha1(name.cast("binary")), 1, 10)
     cut = F.concat(F.regexp_replace(F.substring(name, 1, most - 11), "_+$", ""), F.lit("_"), digest)
-    return F.when(F.length(name) <= most, name).otherwise(cut)
+    return F.when(name == "", "table").when(F.length(name) <= most, name).otherwise(cut)
+
+
+def first_half(c: Column) -> Column:
+    return c.substr(F.lit(1), F.floor(F.length(c) / 2).cast("int"))
 
 
 def halved(c: Column) -> Column:
-    """A name that is its half twice over, with or without _ between, becomes the half."""
-    n = F.length(c)
-    half = c.substr(F.lit(1), F.floor(n / 2).cast("int"))
-    plain = (n > 0) & (n % 2 == 0) & (F.concat(half, half) == c)
-    joined = (n > 2) & (n % 2 == 1) & (F.concat(half, F.lit("_"), half) == c)
-    return F.when(plain | joined, half).otherwise(c)
+    """A name of four characters or more that is its half twice over becomes the half; so does one whose parts between _ are, an odd last part aside."""
+    half = first_half(c)
+    plain = (F.length(c) % 2 == 0) & (F.concat(half, half) == c)
+    parts = F.split(c, "_", -1)
+    mid = F.floor(F.size(parts) / 2).cast("int")
+    head = F.slice(parts, F.lit(1), mid)
+    doubled = (mid > 0) & (head == F.slice(parts, mid + 1, mid))
+    return F.when(F.length(c) < 4, c).when(plain, half).when(doubled, F.array_join(head, "_")).otherwise(c)
+
+
+def sanitized(c: Column) -> Column:
+    """For loading: valid UTF-8, doubled names halved; null is empty."""
+    return halved(F.call_function("make_valid_utf8", F.coalesce(c, F.lit(""))))
+
+
+def repeated_title(c: Column) -> Column:
+    """A title without mark-up that is its half twice over, or twice the same around the first _, - or blank, becomes the half."""
+    text = strip_markdown(c)
+    half = first_half(text)
+    out = F.when((text != "") & (F.length(text) % 2 == 0) & (F.concat(half, half) == text), half)
+    for sep in ("_", "-", " "):
+        at = F.locate(sep, text)
+        one, two = strip(text.substr(F.lit(1), at - 1)), strip(text.substr(at + 1, F.length(text)))
+        out = out.when((at > 0) & (one != "") & (one == two), one)
+    return out.otherwise(text)
+
+
+def file_name(c: Column, most: int = 60) -> Column:
+    """A file name without characters that file systems refuse; site if nothing is left."""
+    text = strip(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/*?"<>|:]', ""), r"(?U)\s+", " "))
+    text = strip(F.regexp_replace(F.substring(text, 1, most), "[ .]+$", ""))
+    return F.when(text == "", "site").otherwise(text)
+
+
+def folder_name(c: Column, most: int = 40) -> Column:
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/*?"<>|:]', ""), r"(?U)\s+", "_")
+    text = F.substring(F.regexp_replace(text, "^_+|_+$", ""), 1, most)
+    return F.when(text == "", "site").otherwise(text)
 
 
 def normalize_lookup(c: Column) -> Column:
@@ -86,15 +141,73 @@ def years_in(c: Column) -> Column:
 def keyword_terms(c: Column) -> Column:
     """The terms of a question, in order, each once whatever its case, without stop words."""
     found = F.regexp_extract_all(c, F.lit(r"[A-Za-z]{2,}|[0-9]{4}|[ก-๙]{2,}"), F.lit(0))
-    kept = F.filter(found, lambda t: ~F.lower(t).isin(STOP_WORDS))
-    return F.filter(kept, lambda t, i: F.array_position(F.transform(kept, lambda x: F.lower(x)), F.lower(t)) == i + 1)
+    return first_of_each(F.filter(found, lambda t: ~F.lower(t).isin(STOP_WORDS)), lambda t: F.lower(t))
 
 
 def sentences(c: Column) -> Column:
-    """Pieces after . ! ? or line ends; where those give fewer than three, pieces between runs of blanks."""
-    cut = lambda rx: F.filter(F.transform(F.split(c, rx), strip), lambda s: s != "")
-    first = cut(r"(?<=[.!?])\s*|\n+")
-    return F.when(F.size(first) >= 3, first).otherwise(cut(r"\s{2,}"))
+    """Pieces after . ! ? or 。 and at line ends; where those give fewer than three, each is cut at runs of blanks too."""
+    kept = lambda x: F.filter(F.transform(x, strip), lambda s: s != "")
+    first = kept(F.split(F.coalesce(c, F.lit("")), r"(?U)(?<=[。.!?\n])\s*"))
+    return F.when(F.size(first) >= 3, first).otherwise(F.flatten(F.transform(first, lambda s: kept(F.split(s, r"(?U)\s{2,}")))))
+
+
+def line_filtered(c: Column, least: int = 3) -> Column:
+    """Lines of a page, stripped, of so many characters and more, each once whatever its case and blanks."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS + "+", " "), "\n"), strip), lambda x: F.length(x) >= least)
+    return F.array_join(first_of_each(lines, lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", " "))), "\n")
+
+
+def layout_cleaned(c: Column) -> Column:
+    """A page's text without tags and images, of line ends two at most."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", ""), r"!\[[^\]]*\]\([^)]+\)", "")
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+
+
+def text_blocks(c: Column) -> Column:
+    """Paragraphs between blank lines, stripped, each once whatever its white space."""
+    blocks = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?U)\n\s*\n"), strip), lambda b: b != "")
+    return first_of_each(blocks, lambda b: F.regexp_replace(b, r"(?U)\s+", " "))
+
+
+def table_group(c: Column) -> Column:
+    """What a table's parts have in common: their name up to _table_ and its number."""
+    name = F.coalesce(F.nullif(c, F.lit("")), F.lit("untitled_table"))
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(.*?_table_[0-9]+)_.*$", 1), F.lit("")), name)
+
+
+def longer_text(page_text: Column, content: Column, rule: str = "=" * 60) -> Column:
+    """Of a page's text and its file's body, what follows a line of = where there is one, the longer; of equal ones the page's."""
+    own, body = strip(F.coalesce(page_text, F.lit(""))), strip(F.coalesce(content, F.lit("")))
+    body = F.when(body.contains(rule), strip(body.substr(F.locate(rule, body) + len(rule), F.length(body)))).otherwise(body)
+    return F.when(F.length(body) > F.length(own), body).otherwise(own)
+
+
+def label_candidates(cells: Column) -> Column:
+    """The cells of a row, a map, that may label it: not blank, and not under a year or a generated header."""
+    return F.map_filter(cells, lambda k, v: ~F.coalesce(k, F.lit("")).rlike(r"^(25[0-9]{2}|20[0-9]{2}|column_[0-9]+)$") & (strip(F.coalesce(v, F.lit(""))) != ""))
+
+
+def answer_method(tools: Column) -> Column:
+    """How an answer was found, from the tools that gave it data."""
+    has = lambda t: F.array_contains(tools, t)
+    return (
+        F.when(has("tavily_search"), "web_search").when(has("multi_hop"), "multi_hop").when(has("graph_search") & has("sql_query"), "graph_sql_hybrid")
+        .when(has("graph_search"), "graph").when(has("sql_query") & has("vector_search"), "hybrid").when(has("sql_query"), "sql").when(has("vector_search"), "vector").otherwise("agent")
+    )
+
+
+def first_array(c: Column) -> Column:
+    """The text from the first square bracket to the last."""
+    return F.nullif(F.regexp_extract(c, r"(?s)\[.*\]", 0), F.lit(""))
+
+
+def only_select(sql: str) -> bool:
+    """Whether a statement, comments before it aside, reads and nothing else: one SELECT or WITH ... SELECT."""
+    import re
+
+    body = re.sub(r"(?s)/\*.*?\*/|--[^\n]*", " ", sql).strip().rstrip(";").strip()
+    plain = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`", "''", body)
+    return bool(re.match(r"(?is)(select|with)\b", plain)) and ";" not in plain and not re.search(r"(?i)\b(insert\s+into|insert\s+overwrite|update|delete\s+from|drop|alter|create|truncate|merge\s+into|copy|attach|pragma|set)\b", plain)
 
 
 def token_count(c: Column) -> Column:

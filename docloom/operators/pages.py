@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.functions import numeric, text
+
+# Short lines that begin what follows an article, and ones that belong to a page's frame.
+STOP_LINES = [
+    "เรื่องที่เกี่ยวข้อง", "บทความที่เกี่ยวข้อง", "อ่านเพิ่มเติม", "ข่าวล่าสุด", "เรื่องเด่น", "แท็กที่เกี่ยวข้อง", "แสดงความคิดเห็น", "tags:", "credit:", "ที่มา:", "คุณอาจสนใจ", "ข่าวที่คุณอาจสนใจ", "บทความยอดนิยม",
+    "ข่าวน่าสนใจ", "ข่าวแนะนำ", "sponsored", "บทความต่อไป", "แชร์ข่าว", "ติดตามเรา", "คลิกอ่านเพิ่มเติม", "ข่าวต่างประเทศ", "ข่าวสังคม", "ข่าวการเมือง", "ประเด็นฮิต",
+]
+SKIPPED_LINES = ["หน้าแรก", "สมัครสมาชิก", "เข้าสู่ระบบ", "แชร์เรื่องนี้", "แชร์บทความ", "อ่านข่าวต่อ"]
+# What characters of mark-up stand for.
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
 
 def first_group(c: Column, pattern: str) -> Column:
     """The pattern's first group, trimmed; null if nothing matches or it is blank."""
@@ -62,3 +75,85 @@ def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     rows = F.filter(F.transform(F.regexp_extract_all("__table", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), cells), lambda r: F.exists(r, lambda c: c != ""))
     out = found.withColumn("__rows", rows).filter(F.size("__rows") > 1)
     return out.select(key, "at", first_group(F.col("__table"), r"(?is)<caption[^>]*>(.*?)</caption>").alias("title"), F.col("__rows")[0].alias("headers"), F.slice("__rows", 2, F.size("__rows")).alias("rows"))
+
+
+def filtered_lines(c: Column, most: int = 300) -> Column:
+    """Lines of an article: what follows a stop line goes once more than `most` characters stand before it; lines of the frame, single short words and repeats go too."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), numeric.strip), lambda x: x != "")
+    holds = lambda x, words: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in words])
+    stop = lambda x: (F.length(x) < 60) & holds(x, STOP_LINES)
+    framed = lambda x: (F.length(x) < 40) & holds(x, SKIPPED_LINES)
+    word = lambda x: (F.length(x) < 10) & ~x.contains(" ") & ~x.rlike("[0-9]")
+    kept = text.first_of_each(F.filter(lines, lambda x: ~framed(x) & ~word(x)), lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", " ")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("open"))
+
+    def step(a, x):
+        goes_on = a["open"] & ~(stop(x) & (a["size"] > most))
+        return F.struct(F.when(goes_on, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(goes_on, a["size"] + F.length(x)).otherwise(a["size"]).alias("size"), goes_on.alias("open"))
+
+    return text.bound(kept, lambda k: F.array_join(F.slice(k, F.lit(1), F.aggregate(k, start, step)["n"]), "\n"))
+
+
+def main_text(html: Column) -> Column:
+    """A page's main text: its article, else main, else body, without scripts, menus, forms, heads and feet, a line for each block, lines filtered. Null is empty.
+
+    The container is found by its name; pages without one give their whole body.
+    """
+    own = F.coalesce(html, F.lit(""))
+    for junk in ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg", "iframe"):
+        own = F.regexp_replace(own, rf"(?is)<{junk}\b[^>]*>.*?</{junk}\s*>", " ")
+    inside = lambda tag: F.nullif(F.regexp_extract(own, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1), F.lit(""))
+    block = F.coalesce(inside("article"), inside("main"), inside("body"), own)
+    block = F.regexp_replace(F.regexp_replace(block, r"(?s)<!--.*?-->", " "), r"\s+", " ")
+    lines = F.regexp_replace(block, r"(?i)</?(?:p|div|section|article|h[1-6]|li|ul|ol|tr|table|blockquote|br|figure|figcaption|dd|dt)\b[^>]*>", "\n")
+    plain = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.regexp_replace(lines, r"<[^>]+>", ""))
+    return filtered_lines(F.regexp_replace(plain, r"[ \t]+", " "))
+
+
+def result_links(pages: DataFrame, key: str, own_host: str, most: int, html: str = "html") -> DataFrame:
+    """key, link, pos: the first `most` http links of each result page that don't lead to the search host, each once, fragments cut."""
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)).alias("pos", "__href"))
+    own = found.filter(F.col("__href").rlike("^https?://") & ~F.col("__href").contains(own_host)).withColumn("link", F.regexp_replace("__href", "#.*$", ""))
+    once = own.groupBy(key, "link").agg(F.min("pos").alias("pos"))
+    return once.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("pos"))).filter(F.col("__n") <= most).drop("__n")
+
+
+def raw_page_chunks(pages: DataFrame, most_pages: int | None = None, name: str = "filename", page: str = "page", body: str = "markdown") -> DataFrame:
+    """pages, a row each, with the text and kind of their raw chunks; blank pages and those from number most_pages on, from 0, have none."""
+    own = pages.filter(numeric.strip(F.coalesce(body, F.lit(""))) != "")
+    own = own.filter(F.col(page) < most_pages) if most_pages is not None else own
+    head = F.concat(F.lit("RAW_OCR_PAGE: "), F.col(name), F.lit(" page "), F.col(page).cast("string"), F.lit("\n"))
+    return own.withColumn("text", F.concat(head, numeric.strip(F.col(body)))).withColumn("source_kind", F.lit("raw_ocr_page"))
+
+
+def raw_table_chunks(tables: DataFrame) -> DataFrame:
+    """tables (title, page, headers, rows) with the text and kind of their raw chunks; those without headers and rows have none."""
+    cells = lambda r: F.transform(r, lambda x: numeric.strip(F.coalesce(x, F.lit(""))))
+    own = tables.withColumn("headers", cells(F.col("headers"))).withColumn("rows", F.transform("rows", cells))
+    own = own.withColumn("csv_text", numeric.strip(text.table_csv(F.col("headers"), F.col("rows")))).filter("csv_text <> ''")
+    head = F.concat(F.lit("RAW_OCR_TABLE: "), "title", F.lit("\nRAW_PAGE: "), F.col("page").cast("string"), F.lit("\nRAW_HEADERS: "), F.array_join("headers", ", "), F.lit("\nRAW_CSV:\n"), "csv_text")
+    return own.withColumn("text", head).withColumn("source_kind", F.lit("raw_ocr_table"))
+
+
+def appended(parts: DataFrame, key: str, order: str, body: str, most: int = 250_000) -> DataFrame:
+    """key, raw_text: a document's parts in order with a blank line between, at most so many characters of it, which is what the store takes."""
+    own = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("t")))).alias("p"))
+    return own.select(key, F.substring(F.array_join(F.transform("p", lambda x: x["t"]), "\n\n"), 1, most).alias("raw_text"))
+
+
+def is_block(c: Column, keywords: list[str], most: int = 250) -> Column:
+    """Whether a line is a block of its own: short, or with one of the keywords."""
+    return (F.length(c) < most) | reduce(lambda a, b: a | b, [F.lower(c).contains(k.lower()) for k in keywords], F.lit(False))
+
+
+def container_score(text_length: Column, link_length: Column, blocks: Column) -> Column:
+    """How much a container looks like the main one: text without links, less where links are dense, more for blocks up to sixty."""
+    share = F.least(link_length / F.greatest(text_length, F.lit(1)), F.lit(0.95))
+    score = (text_length - link_length) * (1 - share) * (1 + F.least(blocks, F.lit(60)) / 12)
+    return F.when(link_length / F.greatest(text_length, F.lit(1)) > 0.55, score * 0.25).otherwise(score)
+
+
+def mostly_short_words(c: Column, most: float = 0.65) -> Column:
+    """Whether so large a share of a line's words has three characters at most, as in menus."""
+    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.coalesce(F.size(F.filter(words, lambda w: F.length(w) <= 3)) / F.nullif(F.size(words), F.lit(0)) >= most, F.lit(False))

@@ -1,7 +1,7 @@
 """The queries over the driver's tables, each with SQL for the same rows where SQL can say it.
 
-QUERIES maps a name to (function of (tables), SQL or None); tables("orders") reads a
-table. Integers are cast to long on both sides, so that results compare equal.
+A query is a function of tables; tables("orders") reads a table. Integers are cast to
+long on both sides, so that results compare equal.
 """
 
 from __future__ import annotations
@@ -15,22 +15,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numeric, text
 from docloom.operators import pages, retrieval, tables
+from docloom.plans import rules, warehouse  # noqa: F401  they register queries of their own
+from docloom.plans.registry import QUERIES, long, query
 from docloom.streaming import counts
 
-QUERIES: dict[str, tuple[Callable, str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return register
-
-
-def long(c):
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
-
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -221,15 +209,35 @@ s AS (SELECT doc_id, CASE WHEN contains(p, 'the') OR contains(b, 'the') OR conta
   + (CASE WHEN contains(p, 'license') THEN 28 ELSE 0 END) + (CASE WHEN contains(b, 'license') THEN 21 ELSE 0 END)
   + (CASE WHEN contains(p, '2020') THEN 14 ELSE 0 END) + (CASE WHEN contains(b, '2020') THEN 3 ELSE 0 END)
   + (CASE WHEN contains(b, 'thelicense2020') THEN 40 ELSE 0 END) ELSE 0 END AS score FROM n)
-SELECT doc_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0""")
+SELECT doc_id, CAST(score AS DOUBLE) AS score FROM s JOIN n USING (doc_id) WHERE score > 0 AND (contains(p, 'the') OR contains(p, 'license') OR contains(p, '2020'))""")
 def keyword_score(t):
-    return t("documents").select("doc_id", retrieval.keyword_score(F.col("text"), "the license 2020", TERMS).alias("score")).filter("score > 0")
+    found = retrieval.keyword_scored(t("documents").select("doc_id", "text"), "the license 2020", TERMS, "text")
+    return found.select("doc_id", "score")
 
 
-@query()
+HYBRID = f"""
+WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'raw_ocr_page' ELSE 'semantic' END AS kind, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+n AS (SELECT doc_id, kind, lower(text) AS p, lower({BARE.format(c='text')}) AS b FROM (
+  SELECT * FROM c WHERE contains(lower(text), 'the') OR contains(lower(text), 'license') OR contains(lower(text), '2020') ORDER BY doc_id LIMIT 200)),
+s AS (SELECT doc_id, kind, CASE WHEN contains(p, 'the') OR contains(b, 'the') OR contains(p, 'license') OR contains(b, 'license') THEN
+  (CASE WHEN contains(p, 'the') THEN 12 ELSE 0 END) + (CASE WHEN contains(b, 'the') THEN 9 ELSE 0 END)
+  + (CASE WHEN contains(p, 'license') THEN 28 ELSE 0 END) + (CASE WHEN contains(b, 'license') THEN 21 ELSE 0 END)
+  + (CASE WHEN contains(p, '2020') THEN 14 ELSE 0 END) + (CASE WHEN contains(b, '2020') THEN 3 ELSE 0 END)
+  + (CASE WHEN contains(b, 'thelicense2020') THEN 40 ELSE 0 END) - (CASE WHEN kind = 'raw_ocr_page' THEN 20 ELSE 0 END) ELSE 0 END AS score FROM n),
+f AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, least(0.999, score / 200) AS similarity, 'keyword' AS method, kind FROM s WHERE score > 0),
+v AS (SELECT c.doc_id, c.kind, {{cosine}} AS sim FROM c, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) z ORDER BY sim DESC, c.doc_id LIMIT 75),
+w AS (SELECT doc_id, row_number() OVER (ORDER BY sim - (CASE WHEN kind = 'raw_ocr_page' THEN 0.08 ELSE 0 END) DESC, doc_id) AS rank,
+  sim - (CASE WHEN kind = 'raw_ocr_page' THEN 0.08 ELSE 0 END) AS similarity, 'semantic' AS method, kind FROM v),
+u AS (SELECT *, 0 AS l FROM f UNION ALL SELECT *, 1 AS l FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l, rank) AS k FROM u)
+SELECT doc_id, rank, round(similarity, 3) AS similarity, method, kind AS source_kind FROM o WHERE k = 1 ORDER BY l, rank LIMIT 25"""
+
+
+@query(HYBRID.replace("{cosine}", COSINE("c.embedding", "z.q")))
 def hybrid_search(t):
-    chunks = t("documents").select("doc_id", "text").join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return retrieval.hybrid(chunks, "the license 2020", TERMS, query_vector(t), 5, "doc_id", "text")
+    chunks = t("documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "raw_ocr_page").alias("kind")).join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    found = retrieval.hybrid(chunks, "the license 2020", TERMS, query_vector(t), 25, "doc_id", "text", kind="kind")
+    return found.select("doc_id", long("rank").alias("rank"), F.round("similarity", 3).alias("similarity"), "method", "source_kind")
 
 
 def routed_sql() -> str:
@@ -251,10 +259,11 @@ def route_questions(t):
     return retrieval.routed(t("conversations"), "text").select("conv_id", "turn", long(F.greatest(*scores)).alias("best"), "suggested_tool", "confidence")
 
 
-@query(r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)^ +| +$', '', 'g'),
-  '^[\s\x0B\p{Z}]+', ''), '[\s\x0B\p{Z}]+$', '')) AS digest FROM documents""")
+BLANK = r"[\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+STRIP = r"regexp_replace(regexp_replace({c}, '^[\s\x0B\p{{Z}}]+', ''), '[\s\x0B\p{{Z}}]+$', '')"
+
+
+@query("SELECT doc_id, md5(" + STRIP.format(c=r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + STRIP.format(c="coalesce(text, '')") + rf", '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '{BLANK}+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^ | $', '', 'g')") + ") AS digest FROM documents")
 def clean_text(t):
     return t("documents").select("doc_id", F.md5(text.clean_text(F.col("text")).cast("binary")).alias("digest"))
 
@@ -265,27 +274,23 @@ def thai_digits(t):
     return t("events").select("event_id", text.thai_digits(shown).alias("digits"))
 
 
-@query("SELECT doc_id, md5(lower(" + BARE.format(c="substr(text, 1, 200)") + ")) AS digest FROM documents WHERE NOT regexp_matches(substr(text, 1, 200), '^[\\s]|[\\s]$')")
-def normalize_lookup(t):
-    start = F.substring("text", 1, 200)
-    return t("documents").filter(~start.rlike(r"^\s|\s$")).select("doc_id", F.md5(text.normalize_lookup(start).cast("binary")).alias("digest"))
-
-
 @query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(" + BARE.format(c="coalesce(text, '')") + r", '^[\s\x0B\p{Z}]+', ''), '[\s\x0B\p{Z}]+$', ''))) AS digest FROM documents")
-def normalize_lookup_whole(t):
+def normalize_lookup(t):
     return t("documents").select("doc_id", F.md5(text.normalize_lookup(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_name ELSE p_name || '-' || p_name END AS name FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_name ELSE p_name || '-' || p_name END AS name FROM part WHERE length(p_name) > 2 AND NOT contains(p_name, '_') AND substr(p_name, 1, length(p_name) // 2) || substr(p_name, 1, length(p_name) // 2) <> p_name")
 def dedup_title(t):
     doubled = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", "p_name")).when(F.col("p_size") % 3 == 1, F.concat_ws("_", "p_name", "p_name")).otherwise(F.concat_ws("-", "p_name", "p_name"))
-    return t("part").select("p_partkey", text.halved(doubled).alias("name"))
+    half = text.first_half(F.col("p_name"))
+    own = t("part").filter((F.length("p_name") > 2) & ~F.col("p_name").contains("_") & (F.concat(half, half) != F.col("p_name")))
+    return own.select("p_partkey", text.halved(doubled).alias("name"))
 
 
-@query(r"""SELECT p_partkey, CASE WHEN length(n) <= 12 THEN n ELSE regexp_replace(substr(n, 1, 1), '_+$', '') || '_' || substr(sha1(p_name), 1, 10) END AS name
-FROM (SELECT p_partkey, p_name, regexp_replace(p_name, '[^a-zA-Z0-9_.\-]+', '_', 'g') AS n FROM part)""")
+@query(r"""SELECT p_partkey, CASE WHEN length(n) <= 12 THEN n ELSE regexp_replace(substr(n, 1, 1), '_+$', '') || '_' || substr(sha1(n), 1, 10) END AS name
+FROM (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(p_name, '[*_`#]+', '', 'g')), '\s+', '_', 'g'), '[^a-zA-Z0-9_.()\-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS n FROM part)""")
 def safe_name(t):
-    return t("part").select("p_partkey", text.safe_name(F.col("p_name"), 12).alias("name"))
+    return t("part").select("p_partkey", text.safe_name(F.col("p_name"), F.lit("part"), 12).alias("name"))
 
 
 @query("""
@@ -297,9 +302,16 @@ def line_dedup(t):
     return t("documents").filter("text IS NOT NULL").select("doc_id", long(F.size(lines)).alias("n"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"))
 
 
-@query()
+MARKED = "string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]*\\n[\\s\\p{Z}]*', chr(1), 'g'), '([。.!?])[\\s\\p{Z}]*', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform({MARKED}, lambda s: regexp_replace(regexp_replace(s, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '')), lambda s: s <> '') AS p FROM documents),
+q AS (SELECT doc_id, CASE WHEN len(p) >= 3 THEN p ELSE flatten(list_transform(p, lambda s: regexp_split_to_array(s, '[\\s\\p{{Z}}]{{2,}}'))) END AS p FROM p)
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n_sentences, md5(array_to_string(p, '|')) AS digest FROM q""")
 def sentence_split(t):
-    return t("documents").select("doc_id", long(F.size(text.sentences(F.col("text")))).alias("n_sentences"))
+    cut = t("documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return cut.select("doc_id", long(F.size("s")).alias("n_sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
 @query()
@@ -345,21 +357,21 @@ def html_outline(t):
 
 @query("""
 SELECT document_id, part, text FROM (
-  SELECT CAST(n_regionkey AS BIGINT) AS document_id, 'node' AS part, 'key=' || n_nationkey || ', name=' || n_name AS text FROM nation
-  UNION ALL SELECT CAST(n_regionkey AS BIGINT), 'edge', 'from=' || n_name || ', to=' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
-WHERE contains(lower(text), 'nation_1')""")
+  SELECT CAST(n_regionkey AS BIGINT) AS document_id, 'node' AS part, 'key: ' || n_nationkey || ', name: ' || n_name AS text FROM nation
+  UNION ALL SELECT CAST(n_regionkey AS BIGINT), 'edge', 'from: ' || n_name || ', to: ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+WHERE contains(lower(text), 'name: nation_1')""")
 def graph_search(t):
     attrs = lambda **c: F.create_map(*[x for k, v in c.items() for x in (F.lit(k.strip("_")), v.cast("string"))])
     nodes = t("nation").select(long("n_regionkey").alias("document_id"), long("n_nationkey").alias("item_id"), attrs(key=F.col("n_nationkey"), name=F.col("n_name")).alias("attrs"))
     edges = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     edges = edges.select(long("n_regionkey").alias("document_id"), long("n_nationkey").alias("item_id"), attrs(from_=F.col("n_name"), to=F.col("r_name")).alias("attrs"))
-    return retrieval.graph_hits(nodes, edges, "NATION_1").select("document_id", "part", "text")
+    return retrieval.graph_hits(nodes, edges, "name: NATION_1").select("document_id", "part", "text")
 
 
-@query(f"""
-SELECT l_orderkey, sum(CASE WHEN l_linenumber % 4 = 2 THEN 0 ELSE 1 END) AS n_numeric, count(*) AS n_cells FROM lineitem GROUP BY 1""".replace("sum(CASE", "CAST(sum(CASE").replace("END) AS n_numeric", "END) AS BIGINT) AS n_numeric"))
+@query("SELECT l_orderkey, CAST(sum(CASE WHEN l_linenumber % 4 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_numeric, CAST(sum(1) AS BIGINT) AS n_valid, count(*) AS n_cells FROM lineitem GROUP BY 1")
 def validate_cells(t):
-    return t("lineitem").groupBy("l_orderkey").agg(F.count_if(numeric.looks_numeric(F.expr(SHOWN.format(s="string")))).alias("n_numeric"), F.count("*").alias("n_cells"))
+    own = t("lineitem").select("l_orderkey", F.expr(SHOWN.format(s="string")).alias("cell"))
+    return own.groupBy("l_orderkey").agg(F.count_if(numeric.looks_numeric(F.col("cell"))).alias("n_numeric"), F.count_if(numeric.valid_cell(F.col("cell"))).alias("n_valid"), F.count("*").alias("n_cells"))
 
 
 @query("SELECT run, score, round(score - lag(score) OVER (ORDER BY run), 4) AS delta FROM (SELECT doc_id % 10 AS run, round(avg(quality), 4) AS score FROM labels GROUP BY 1)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import text
+
 QUESTIONS = "question string, ground_truth string, note string"
 LOGGED = "question string, answer string, contexts array<string>, ground_truth string"
 
@@ -36,3 +38,34 @@ def graphs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """document (the name of the folder that holds data.json), and the file's columns."""
     document = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/data\.json$", 1)
     return spark.read.schema(schema).json(f"{path}/*/data.json", multiLine=True).select(document.alias("document"), "*")
+
+
+def select(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of one SELECT, which may name the given tables or the session's views; any other statement is an error before it runs."""
+    if not text.only_select(sql):
+        raise ValueError("only a single SELECT is allowed")
+    for name, df in (tables or {}).items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(sql)
+
+
+def shown(df: DataFrame, most: int = 50) -> dict:
+    """columns, rows as objects and row_count, for a screen; rows stop at `most`, the count doesn't."""
+    rows = [r.asDict(recursive=True) for r in df.limit(most).collect()]
+    return {"columns": df.columns, "rows": rows, "row_count": df.count() if len(rows) == most else len(rows)}
+
+
+def uploads(spark: SparkSession, path: str, kinds: tuple = ("pdf", "png", "jpg", "jpeg")) -> DataFrame:
+    """Files with their bytes, of these kinds by name."""
+    return spark.read.format("binaryFile").load(path).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*kinds))
+
+
+def scraped(pages: DataFrame, contents: DataFrame, key: str) -> DataFrame:
+    """key, text: of a page's text and its saved file's body the longer. pages: key, page_text; contents: key, content."""
+    return pages.join(contents, key, "left").select(key, text.longer_text(F.col("page_text"), F.col("content")).alias("text"))
+
+
+def downloads(files: DataFrame, status: str = "status", kind: str = "content_type", size: str = "length", name: str = "path") -> DataFrame:
+    """Fetched files that are worth keeping: found, not pages, and 5000 bytes or more, of images 1000."""
+    least = F.when(F.lower(F.coalesce(kind, F.lit(""))).startswith("image/"), 1000).otherwise(5000)
+    return files.filter((F.col(status) == 200) & ~F.lower(F.coalesce(kind, F.lit(""))).contains("text/html") & (F.col(size) >= least)).withColumn("filename", text.file_name(F.element_at(F.split(F.regexp_replace(name, r"[?#].*$", ""), "/"), -1)))

@@ -5,6 +5,7 @@ import os
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 from docloom.plans import catalogue
@@ -20,9 +21,16 @@ def db():
     return con
 
 
+def shown(v):
+    """Numbers alike whatever their type; nulls in one form."""
+    if isinstance(v, bool | str):
+        return str(v)
+    return "NULL" if pd.isna(v) else f"{v:.6f}" if isinstance(v, int | float) else str(v)
+
+
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df.astype(object).itertuples(index=False))
+    return sorted(tuple(map(shown, r)) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))
@@ -44,6 +52,6 @@ def test_entry(spark):
 def test_lookup_digests_cover_every_row_and_the_whole_text(spark):
     texts = ["a" * 250 + "B", "a" * 250 + "C", " Lead (x) ", "tail\n", "\u00a0A-b\u3000", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["digest"] for r in catalogue.normalize_lookup_whole({"documents": docs}.__getitem__).collect()}
+    got = {r["doc_id"]: r["digest"] for r in catalogue.normalize_lookup({"documents": docs}.__getitem__).collect()}
     plain = [re.sub(r"[ \n\r\t,:;(){}\[\]\"'`“”‘’%\-_/]", "", t or "").strip().lower() for t in texts]
     assert got == {i: hashlib.md5(p.encode()).hexdigest() for i, p in enumerate(plain)}
