@@ -9,6 +9,7 @@ from docloom.functions import text
 from docloom.operators import pages, retrieval, tables
 from docloom.plans.registry import long, query, values
 from docloom.sources import files
+from docloom.streaming import counts
 
 TABLE = "document_id long, table_name string, title string, headers array<string>, rows array<array<string>>"
 
@@ -336,3 +337,20 @@ def main_text(t):
     return t.spark.createDataFrame(rows, "id long, html string").select("id", pages.main_text(F.col("html")).alias("text"))
 
 
+
+
+@query("""
+SELECT strftime(date_trunc('day', ts) - to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total
+FROM events, (VALUES (0), (1)) AS k(k) GROUP BY 1, 2""")
+def stream_sliding_counts(t):
+    rows = counts.streamed(t.spark, t.path("events"), t("events").schema, lambda e: counts.windowed(e, "2 days", slide="1 day"))
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, k""")
+def stream_sessions(t):
+    rows = counts.streamed(t.spark, t.path("events"), t("events").schema, lambda e: counts.sessions(e, "6 hours"))
+    return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("total", 2).alias("total"))

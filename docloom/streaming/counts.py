@@ -1,31 +1,59 @@
-"""Windowed counts over a stream of files, with a watermark for late rows."""
+"""Windowed counts over a stream of files: tumbling, sliding and session windows, with a watermark for late rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def windowed(events: DataFrame, length: str = "1 day", late: str = "3650 days", tz_free: str = "ts") -> DataFrame:
-    """Streamed or static events -> start, event_type, n, total for each window and type; rows later than `late` are dropped."""
-    timed = events.withColumn("__at", F.col(tz_free).cast("timestamp")).withWatermark("__at", late)
-    return timed.groupBy(F.window("__at", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+def timed(events: DataFrame, late: str, tz_free: str = "ts") -> DataFrame:
+    return events.withColumn("__at", F.col(tz_free).cast("timestamp")).withWatermark("__at", late)
 
 
-def daily(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Everything that lies in path now, as one available-now stream of daily counts; written as Parquet in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-docloom-")
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+def windowed(events: DataFrame, length: str = "1 day", late: str = "3650 days", slide: str | None = None) -> DataFrame:
+    """Streamed or static events -> start, event_type, n, total for each window and type; with slide windows overlap.
+
+    A stream in append or update mode drops rows later than `late` and forgets
+    windows older than that; in complete mode it keeps all windows and rows.
+    """
+    window = F.window("__at", length, slide) if slide else F.window("__at", length)
+    sums = timed(events, late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return sums.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "3650 days") -> DataFrame:
+    """user_id, start, end, n, total: a user's events that follow each other within the gap; end is the last one's time and the gap. Late rows as in windowed."""
+    sums = timed(events, late).groupBy(F.session_window("__at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return sums.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; unset, a temporary one on this machine, but on a cluster an error."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return known or tempfile.mkdtemp(prefix="spark-docloom-")
+
+
+def streamed(spark: SparkSession, path: str, schema: StructType, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """shape of everything that lies in path now, as one available-now stream; its rows, written as Parquet in the shared folder."""
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
     def kept(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows")
 
-    windowed(stream).writeStream.outputMode("complete").foreachBatch(kept).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows")
+    shape(stream).writeStream.outputMode("complete").foreachBatch(kept).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def daily(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Counts of a day and type."""
+    rows = streamed(spark, path, schema, windowed)
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
