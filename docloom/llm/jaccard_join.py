@@ -321,11 +321,22 @@ def fit(na: str, nb: str, pa_: str, pb: str):
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """p, a, np, na, near: each member a of a large bucket with the bucket's pivot p; near: whether the two fit in one of their buckets."""
-    first = F.min(F.struct(-F.col("central"), F.xxhash64("a"), F.col("a").alias("p"), F.col("na").alias("np"), F.col("pos").alias("pp"))).alias("first")
-    pivots = members.groupBy("token").agg(first, F.count("*").alias("size")).filter("size > 1").select("token", "first.p", "first.np", "first.pp")
+    """p, a, np, na, near: the members a of large buckets by the pivot p of their star; near: whether the two fit in a bucket of p's.
+
+    A bucket's pivot is its most central member. One that is a member of buckets
+    with more central pivots hands its own over to the first of these, so that a
+    group of near copies, which shares many tokens, makes few stars.
+    """
+    rank = [-F.col("central"), F.xxhash64("a"), F.col("a").alias("p"), F.col("na").alias("np"), F.col("pos").alias("pp")]
+    pivots = members.groupBy("token").agg(F.min(F.struct(*rank)).alias("first"), F.count("*").alias("size")).filter("size > 1").select("token", "first")
     met = members.join(F.broadcast(pivots) if few(pivots, 200_000) else pivots, "token")
-    return met.groupBy("p", "a").agg(F.first("np").alias("np"), F.first("na").alias("na"), F.max(fit("na", "np", "pos", "pp")).alias("near"))
+    own = pivots.select(F.col("first.p").alias("a")).distinct()
+    heads = met.join(F.broadcast(own) if few(own, 1_000_000) else own, "a", "left_semi").groupBy("a").agg(F.min("first").alias("head"))
+    heads = checkpointed(heads.select(F.col("a").alias("__p"), F.col("head.p").alias("p"), F.col("head.np").alias("np")))
+    near = fit("na", "first.np", "pos", "first.pp")
+    rows = met.select("a", "na", F.col("first.p").alias("__p"), near.alias("near")).groupBy("__p", "a").agg(F.first("na").alias("na"), F.max("near").alias("near"))
+    rows = rows.join(F.broadcast(heads) if few(heads, 1_000_000) else heads, "__p")
+    return rows.groupBy("p", "a").agg(F.first("np").alias("np"), F.first("na").alias("na"), F.max(F.col("near") & (F.col("p") == F.col("__p"))).alias("near"))
 
 
 def blocks(rows: str, tokens: str):
