@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import pages, retrieval, tables
+from docloom.operators import pages, repairs, retrieval, tables
 from docloom.plans.registry import long, query, values
 from docloom.sources import files
 from docloom.streaming import counts
@@ -69,6 +69,84 @@ def header_shapes(t):
     return own.select("document_id", long(tables.leading_descriptors(F.col("headers"))).alias("lead"), long(tables.trimmed(F.col("headers"), F.col("rows"))).alias("kept"), tables.first_extra(F.col("headers"), first).alias("extra"))
 
 
+Y2 = ["รายการ", "2566", "2565"]
+SHEET = [
+    (1, "t", "", Y2, [["สินทรัพย์", "9", "9"], [repairs.BOTH_SIDES, "", ""], [repairs.OTHER, "1", "2"], [repairs.LIABILITIES, "0", "7"], [repairs.EQUITY, "400", "(5)"], [repairs.GRAND, "1,000", "20"]]),
+    (2, "t", "", Y2, [[repairs.BOTH_SIDES, "", ""], [repairs.LIABILITIES, "0", "7"], [repairs.OTHER, "1", "2"], ["x", "", ""], [repairs.EQUITY, "400", "5"], [repairs.GRAND, "1,000", "20"]]),
+]
+
+
+@query(values(FLAT, [
+    (1, "รายการ|2566|2565", f"สินทรัพย์|9|9/{repairs.BOTH_SIDES}||/{repairs.OTHER}|1|2/{repairs.LIABILITIES}|600|25/{repairs.EQUITY}|400|(5)/{repairs.GRAND}|1,000|20"),
+    (2, "รายการ|2566|2565", f"{repairs.BOTH_SIDES}||/{repairs.LIABILITIES}|0|7/{repairs.OTHER}|1|2/x||/{repairs.EQUITY}|400|5/{repairs.GRAND}|1,000|20"),
+]))
+def balance_totals(t):
+    return flat(repairs.balance_totals(given(t, SHEET)))
+
+
+@query(values(FLAT, [
+    (1, "รายการ|2566|2565", f"a|100,000,000|200,000,000/b|1|1/{repairs.OTHER}|50,000,000|70,000,000/{repairs.LIABILITIES}|150,000,001|270,000,001"),
+    (2, "รายการ|2566|2565", f"a|1|2/b|1|1/{repairs.OTHER}|5|7/{repairs.LIABILITIES}|9|9"),
+]))
+def derived_totals(t):
+    return flat(repairs.derived_from_total(given(t, [
+        (1, "t", "", Y2, [["a", "100,000,000", "200,000,000"], ["b", "1", "1"], [repairs.OTHER, "50,000", "70,000"], [repairs.LIABILITIES, "150,000,001", "270,000,001"]]),
+        (2, "t", "", Y2, [["a", "1", "2"], ["b", "1", "1"], [repairs.OTHER, "5", "7"], [repairs.LIABILITIES, "9", "9"]]),
+    ])))
+
+
+@query(values(FLAT, [
+    (1, "รายการ|2566|2565", f"{repairs.DEBT}|10|20/{repairs.PROVISIONS}|1|2/{repairs.DEFERRED_TAX}|3|4/{repairs.OTHER}|86|74/{repairs.LIABILITIES}|100|100/z|1|1"),
+    (2, "รายการ|2566|2565", f"{repairs.DEBT}{repairs.PROVISIONS}|10|20/{repairs.DEFERRED_TAX}|1|2/{repairs.OTHER}|3|4/{repairs.LIABILITIES}|10|10"),
+]))
+def shifted_liabilities(t):
+    both = repairs.DEBT + repairs.PROVISIONS
+    return flat(repairs.shifted_liabilities(given(t, [
+        (1, "t", "", Y2, [[both, "10", "20"], [repairs.DEFERRED_TAX, "1", "2"], [repairs.OTHER, "3", "4"], [repairs.LIABILITIES, "100", "100"], ["z", "1", "1"]]),
+        (2, "t", "", Y2, [[both, "10", "20"], [repairs.DEFERRED_TAX, "1", "2"], [repairs.OTHER, "3", "4"], [repairs.LIABILITIES, "10", "10"]]),
+    ])))
+
+
+PARTED = [
+    (1, "t", "T", Y2, [["a", "1", "2"], ["Part", "", ""], ["Empty", " ", ""], ["b", "3", "4"], ["c", "5", "6"]]),
+    (2, "t", "T", ["รายการ", "2566", "2565", "x"], [["a", "(%)", "2", "3"], ["b", "3", "4", ""], ["Part", "", "", ""], ["c", "5", "6", ""]]),
+    (3, "t", "T", ["k", "v"], [["only", ""]]),
+    (4, "t", "T", ["k", "v"], [["a", "1"]]),
+]
+
+
+@query(values("document_id BIGINT, section BIGINT, title VARCHAR, headers VARCHAR, rows VARCHAR", [
+    (1, 0, "T", "รายการ|2566|2565", "a|1|2"), (1, 1, "Empty", "รายการ|2566|2565", "b|3|4/c|5|6"),
+    (2, 0, "T", "รายการ|หน่วย|2566|2565", "a|(%)|2|3/b||3|4"), (2, 1, "Part", "รายการ|2566|2565", "c|5|6"), (4, 0, "T", "k|v", "a|1"),
+]))
+def table_sections(t):
+    out = repairs.sections(given(t, PARTED), ["document_id"])
+    return flat(out.withColumn("document_id", F.struct("document_id", "section", "title"))).select("document_id.document_id", long("document_id.section").alias("section"), "document_id.title", "headers", "rows")
+
+
+@query(values("document_id BIGINT, section BIGINT, title VARCHAR, headers VARCHAR, rows VARCHAR", [
+    (1, 0, "T", "รายการ|2566|2565", "a|1|2/Empty||/b|3|4/c|5|6"), (2, 0, "T", "รายการ|หน่วย|2566|2565", "a|(%)|2|3/b||3|4"), (2, 1, "Part", "รายการ|2566|2565", "c|5|6"),
+    (3, 0, "T", "k|v", "only|"), (4, 0, "T", "k|v", "a|1"),
+]))
+def rebuilt_tables(t):
+    out = repairs.rebuilt(given(t, PARTED), ["document_id"])
+    return flat(out.withColumn("document_id", F.struct("document_id", "section", "title"))).select("document_id.document_id", long("document_id.section").alias("section"), "document_id.title", "headers", "rows")
+
+
+@query(values("document_id BIGINT, page BIGINT, headers VARCHAR, rows VARCHAR", [
+    (2, 1, "รายการ|2566|2565", "a|1|2"), (3, 1, "k|v", "x|y"), (5, 2, "ก|2566|2565", "x|2566|2565"), (6, 2, "ก|column_2|column_3", "b|3|4"),
+]))
+def header_fragments(t):
+    rows = [
+        (1, "1", "", ["รายการ", "column_2", "(%)"], [["", "2566", "2565"]]), (2, "1", "", ["", "column_2", "column_3"], [["a", "1", "2"]]), (3, "1", "", ["k", "v"], [["x", "y"]]),
+        (4, "2", "", ["ก", "column_2", "column_3"], [["x", "2566", "2565"]]), (5, "2", "", ["ก", "column_2", "column_3"], [["x", "2566", "2565"]]), (6, "2", "", ["ก", "column_2", "column_3"], [["b", "3", "4"]]),
+    ]
+    out = repairs.merged_fragments(given(t, rows).withColumnRenamed("table_name", "page").withColumn("table_name", F.lit("t")), ["page"], "document_id")
+    # the table that stays is the fragment's row with the body's content: its number is the body's
+    numbered = out.withColumn("document_id", F.when(F.col("document_id").isin(1, 4), F.col("document_id") + 1).otherwise(F.col("document_id")))
+    return flat(numbered.withColumn("document_id", F.struct("document_id", "page"))).select("document_id.document_id", F.col("document_id.page").cast("long").alias("page"), "headers", "rows")
+
+
 YEARS = ["รายการ", "2567", "2566", "2565"]
 LOADED = [
     (1, "ก", "", YEARS, [["กำไร", "(%)", "1.10", "1.20"], ["ROE", "", "(%)", "5"], ["", "1", "2", "3"], ["สินทรัพย์ (ล้านบาท)", "(1,000)", "-", ""]]),
