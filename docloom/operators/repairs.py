@@ -196,10 +196,14 @@ def merged_fragments(df: DataFrame, page: list[str], order: str) -> DataFrame:
     return kept.select(*[{"headers": headers, "rows": rows}.get(c, pick(c) if c in ("title", "table_name") else F.col(c)) for c in df.columns])
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rebuilt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Tables normalised, cut into sections, repaired, and put together where headers agree. Parts are written as Parquet in the shared folder: they are read four times."""
-    own = apart(tables.normalized(df), keys)
-    path = f"{shared_folder(df.sparkSession)}/parts-{uuid.uuid4().hex}"
-    parts = sections(own, keys)
-    parts.write.parquet(path)
-    return recombined(df.sparkSession.read.schema(parts.schema).parquet(path), own, keys)
+    """Tables normalised, cut into sections, repaired, and put together where headers agree. What several steps read is written between them."""
+    own = stored(tables.normalized(df))
+    return recombined(stored(sections(own, keys)), own, keys)
