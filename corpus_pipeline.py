@@ -53,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind; n_chars follows the text."""
+    """All documents, personal data in their texts replaced by its kind; n_chars follows the text. Null and empty texts stay as they are; rows with equal ids, or none, are masked each."""
     out = pii.masked(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
@@ -61,7 +61,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents with text, how many of their words it takes, repeats counted, and as parts which words in which slots.
 
-    Documents that it takes nothing of go, those without words among them. mixing.mixed_texts lays the parts out as texts.
+    Documents that it takes nothing of go, those without words among them. Rows with
+    equal ids and unlike texts are documents of their own; a null source is one of
+    the sources. mixing.mixed_texts lays the parts out as texts.
     """
     keyed = docs.withColumn("__key", row_key())
     taken = mixing.mix_parts(keyed, "__key").filter("taken > 0").withColumnRenamed("__key", "__taken_key")

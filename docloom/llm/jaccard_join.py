@@ -22,7 +22,8 @@ may link is thus compared, or lies in one component already: the result is exact
 Null and empty texts, and those without words, have empty sets and stay alone.
 A text of fewer words than a shingle is one token. Rows with a null id take part
 and their component is the least id that isn't null. Rows with equal ids are
-documents of their own, one row each.
+documents of their own, one row each. An empty table gives an empty result.
+Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations

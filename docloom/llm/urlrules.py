@@ -8,7 +8,8 @@ that hold. The sweep is distributed: keys are dealt out by range, a window
 sweeps each range, and the stack at each range's start is carried in.
 
 Nulls, and urls without ://, have empty host and path, which no rule fits. Equal
-urls are judged alike. Rules with equal host and path: block is kept.
+urls are judged alike, rows with equal ids, or none, each. Rules with equal host and path:
+block is kept. An empty table gives an empty result; without rules all is allowed.
 """
 
 from __future__ import annotations
