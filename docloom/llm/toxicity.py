@@ -27,6 +27,7 @@ from docloom.llm.wordarrays import WordHasher, mixed, slices
 APART = bytes(c for c in range(128) if not chr(c).isalnum())
 BLOCK = 4096
 TELLING = 4.0  # times the weight of other words
+MOST_COMMON, TOGETHER = 512, 64  # words that are added up as matrices, and texts at once; both only for speed
 
 
 def term_counts(w, picked=None):
@@ -102,9 +103,42 @@ class Examples:
         out.__dict__.update(fields)
         return out
 
-    def nearest(self, term, weight, without: int = -1):
-        """The k nearest examples by cosine, exact: blocks are left only when their bound is below the k-th."""
-        bound = weight @ self.top[term]
+    def spread(self):
+        """Weights of the words that an eighth of the examples has, a row each over all examples: these are added up as matrices."""
+        if not hasattr(self, "common"):
+            held = np.diff(self.edge[:: self.n_blocks])
+            picked = np.flatnonzero(held * 8 >= max(len(self.ids), 1))[:MOST_COMMON]
+            self.common = np.full(len(self.terms), -1)
+            self.common[picked] = np.arange(len(picked))
+            self.rows = np.zeros((len(picked), self.n_blocks * BLOCK))
+            for i, t in enumerate(picked):
+                own = slice(self.edge[t * self.n_blocks], self.edge[(t + 1) * self.n_blocks])
+                self.rows[i, self.doc[own]] = self.weight[own]
+        return self.common, self.rows
+
+    def weighted(self, term, count, others: float = 0.0):
+        """A text's weights, of unit length. others: what words that no example has add to its squared length."""
+        weight = (1 + np.log(count)) * self.idf[term]
+        return weight / np.sqrt((weight**2).sum() + others)
+
+    def votes(self, texts: list):
+        """vote for each (term, weight, without) in turn: common words of some texts at once, then each text's other words."""
+        common, rows = self.spread()
+        for i in range(0, len(texts), TOGETHER):
+            part = texts[i : i + TOGETHER]
+            shared = np.zeros((len(part), len(rows)))
+            for j, (term, weight, _) in enumerate(part):
+                at = common[term]
+                shared[j, at[at >= 0]] = weight[at >= 0]
+            base = shared @ rows
+            for j, (term, weight, without) in enumerate(part):
+                rare = common[term] < 0
+                yield self.vote(term[rare], weight[rare], without, base[j])
+
+    def nearest(self, term, weight, without: int = -1, base=None):
+        """The k nearest examples by cosine, exact: blocks are left only when their bound is below the k-th. base: what common words add to each example's."""
+        base = np.zeros(self.n_blocks * BLOCK) if base is None else base
+        bound = weight @ self.top[term] + base.reshape(self.n_blocks, BLOCK).max(1)
         order = np.argsort(-bound, kind="stable")
         best_s, best_d = np.zeros(0), np.zeros(0, np.int64)
         for b in order:
@@ -113,7 +147,7 @@ class Examples:
             i, j = self.edge[term * self.n_blocks + b], self.edge[term * self.n_blocks + b + 1]
             n = (j - i).astype(np.int64)
             at = np.repeat(i - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = np.bincount(self.doc[at] - b * BLOCK, self.weight[at] * np.repeat(weight, n), BLOCK)
+            score = np.bincount(self.doc[at] - b * BLOCK, self.weight[at] * np.repeat(weight, n), BLOCK) + base[b * BLOCK : (b + 1) * BLOCK]
             if 0 <= without - b * BLOCK < BLOCK:
                 score[without - b * BLOCK] = 0
             hit = np.flatnonzero(score > 0)
@@ -125,11 +159,8 @@ class Examples:
             best_s, best_d = s[keep], d[keep]
         return best_s, best_d
 
-    def vote(self, term, count, without: int = -1, others: float = 0.0):
-        """others: what words that no example has add to the text's squared length."""
-        weight = (1 + np.log(count)) * self.idf[term]
-        weight = weight / np.sqrt((weight**2).sum() + others)
-        s, d = self.nearest(term, weight, without)
+    def vote(self, term, weight, without: int, base):
+        s, d = self.nearest(term, weight, without, base)
         near = 1 / (1.02 - np.minimum(s, 1.0))
         return float((near @ self.labels[d] + self.prior) / (near.sum() + 1)), s, d
 
@@ -137,7 +168,8 @@ class Examples:
         """Isotonic regression of the labels on the examples' votes, each without itself. doc in the order of ids."""
         edges = np.searchsorted(doc, np.arange(len(self.ids) + 1))
         filled = [i for i in range(len(self.ids)) if edges[i + 1] > edges[i]]
-        votes = np.array([self.vote(term[edges[i] : edges[i + 1]], count[edges[i] : edges[i + 1]], i)[0] for i in filled])
+        own = [(term[edges[i] : edges[i + 1]], self.weighted(term[edges[i] : edges[i + 1]], count[edges[i] : edges[i + 1]]), i) for i in filled]
+        votes = np.array([v for v, _, _ in self.votes(own)])
         if not len(votes):
             return
         order = np.argsort(votes, kind="stable")
@@ -192,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, l
 
 def score(docs: DataFrame, examples: Examples, evidence: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence the ids and cosines of the nearest examples."""
-    kept = docs.sparkSession.sparkContext.broadcast(examples.__dict__)  # plain arrays: workers may lack this package
+    kept = docs.sparkSession.sparkContext.broadcast({k: v for k, v in examples.__dict__.items() if k not in ("common", "rows")})  # plain arrays: workers may lack this package
     id_type = docs.schema["doc_id"].dataType
     schema = docs.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score"), F.array(F.lit(None).cast(id_type)).alias("near_ids"), F.array(F.lit(0.0)).alias("near_cosines")).schema
 
@@ -207,22 +239,15 @@ def score(docs: DataFrame, examples: Examples, evidence: int = 5) -> DataFrame:
                 length = lambda d, c: np.bincount(d, (1 + np.log(c)) ** 2, part.num_rows)  # noqa: B023, E731
                 others = np.maximum(length(row, times) - length(doc, n), 0) * ex.unseen**2
                 others[others < 1e-9] = 0
-                scores, ids, cosines = [], [], []
-                for i in range(part.num_rows):
-                    a, b = cut[i], cut[i + 1]
-                    if a == b:
-                        found = (ex.prior, [], [])
-                    else:
-                        key = (term[a:b].tobytes(), n[a:b].tobytes(), round(others[i], 9))
-                        found = seen.get(key)
-                        if found is None:
-                            vote, s, d = ex.vote(term[a:b], n[a:b], others=others[i])
-                            if len(seen) > 5_000:  # a memo of one task; what it has is found again as before
-                                seen.clear()
-                            found = seen[key] = (ex.score(vote), ex.ids[d[:evidence]].tolist(), s[:evidence].tolist())
-                    scores.append(found[0])
-                    ids.append(found[1])
-                    cosines.append(found[2])
+                keys = [(term[a:b].tobytes(), n[a:b].tobytes(), round(o, 9)) if a < b else None for a, b, o in zip(cut[:-1], cut[1:], others, strict=True)]
+                if len(seen) > 5_000:  # a memo of one task; what it has is found again as before
+                    seen.clear()
+                new = {key: i for i, key in enumerate(keys) if key is not None and key not in seen}
+                texts = [(term[cut[i] : cut[i + 1]], ex.weighted(term[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]], others[i]), -1) for i in new.values()]
+                for key, (vote, s, d) in zip(new, ex.votes(texts), strict=True):
+                    seen[key] = (ex.score(vote), ex.ids[d[:evidence]].tolist(), s[:evidence].tolist())
+                found = [(ex.prior, [], []) if key is None else seen[key] for key in keys]
+                scores, ids, cosines = map(list, zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(part.column(0).type)), pa.array(cosines, pa.list_(pa.float64()))], ["id", "score", "near_ids", "near_cosines"])
 
     rows = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(scored, schema)
