@@ -29,7 +29,6 @@ not read.
 from __future__ import annotations
 
 import math
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,7 @@ PIECE = 16  # words of an item's pieces, at least
 RATIO = 1.1  # between sizes of windows
 MIN_WORDS = 3
 MOST_WAITING = 2_000_000  # words of texts that are embedded together
+WALKS: dict = {}  # what walks_for has found; a plain dict, since functions in a cache are shipped by name to workers that may lack this package
 
 
 def allowed(n, rate: float):
@@ -85,9 +85,15 @@ def keys(h: np.ndarray, start: np.ndarray, length: np.ndarray, size: int, walks:
     return mixed(out + (np.arange(walks * TABLES, dtype=np.uint64) + np.uint64(1000 * size)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-@cache
 def walks_for(size: int, rate: float) -> int:
-    """Walks in which TARGET of made passages, with the most edits allowed in a size class, share a key with their item."""
+    """Walks in which TARGET of made passages, with the most edits allowed in a size class, share a key with their item; tried once for each size and rate."""
+    if (size, rate) not in WALKS:
+        WALKS[size, rate] = tried(size, rate)
+    return WALKS[size, rate]
+
+
+def tried(size: int, rate: float) -> int:
+    """Walks as walks_for gives them, from made passages."""
     rng = np.random.default_rng(1000 + size)
     edits, n = most_edits(size, rate), max(size, top_words(size) - 1)
     words = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_batches
+from docloom.llm.common import small_batches, written
 from docloom.llm.wordarrays import WordHasher, slices
 
 TOP = 300
@@ -203,14 +203,15 @@ def predict(docs: DataFrame, profiles: DataFrame, held_out: Column, id_col: str
     small_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema, name = out.schema, None
+    known = written(profiles)
     while True:
-        rest = profiles if name is None else profiles.filter(F.col("lang") > name)
+        rest = known if name is None else known.filter(F.col("lang") > name)
         block = rest.orderBy("lang").limit(LANGUAGES).collect()
-        if not block:
+        if block:
+            out = out.mapInArrow(judge(Nearest([r["lang"] for r in block], [r["grams"] for r in block], top)), schema)
+        if len(block) < LANGUAGES:
             break
         name = block[-1]["lang"]
-        nearest = Nearest([r["lang"] for r in block], [r["grams"] for r in block], top)
-        out = out.mapInArrow(judge(nearest), schema)
     return out.select(F.col("id").alias(id_col), "held_out", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), "score")
 
 

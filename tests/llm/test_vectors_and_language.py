@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -242,3 +245,29 @@ def test_queries_match_sql_and_brute_force(spark):
     by = {(r.vec_id, r.component): r for r in queries.op12_whitening(spark, SMALL).collect()}
     w = np.array([[by[i, c].whitened for c in (1, 2, 3, 4)] for i in ids])
     assert np.abs(w * np.sign((w * want).sum(0)) - want).max() < 1e-9 and [by[i, 1].deviation for i in ids] == deviation.tolist() and by[ids[0], 1].n == n
+
+
+ALONE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.local.dir", sys.argv[2]).config("spark.checkpoint.dir", sys.argv[2] + "/shared").getOrCreate()
+
+def lost(batches):
+    import importlib.util
+    yield from (b.slice(0, 0) for b in batches if importlib.util.find_spec("docloom") is None)
+
+assert spark.range(2).mapInArrow(lost, "id long").count() == 0
+from docloom.llm import queries
+for name in sys.argv[4:]:
+    getattr(queries, name)(spark, sys.argv[3]).write.format("noop").mode("overwrite").save()
+    print(name, "done")
+"""
+
+
+@pytest.mark.parametrize("names", [["op3_decontamination", "op11_hard_negatives"], ["op12_whitening", "op13_language"]])
+def test_workers_that_lack_the_package(tmp_path, names):
+    (tmp_path / "alone.py").write_text(ALONE)
+    repo = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "alone.py", repo, str(tmp_path), SMALL, *names], cwd=tmp_path, capture_output=True, text=True, timeout=400, check=False)
+    assert out.stdout.count("done") == len(names), out.stderr[-3000:]
