@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions.numeric import THAI_DIGITS, strip
 
@@ -44,6 +47,20 @@ def clean_text(c: Column) -> Column:
     return strip(text)
 
 
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Compatibility forms folded (NFKC); texts in ASCII have none and pass as they are. Null stays null.
+
+    By Python's tables, a call for each whole text: Arrow's own function leaves marks apart that NFKC joins.
+    """
+    import unicodedata
+
+    foldable = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+    if not pc.any(foldable).as_py():
+        return texts
+    return pc.replace_with_mask(texts, foldable, pa.array([unicodedata.normalize("NFKC", t) for t in texts.filter(foldable).to_pylist()], texts.type))
+
+
 def thai_digits(c: Column) -> Column:
     return F.translate(c, THAI_DIGITS, "0123456789")
 

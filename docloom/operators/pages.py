@@ -16,8 +16,6 @@ STOP_LINES = [
     "ข่าวน่าสนใจ", "ข่าวแนะนำ", "sponsored", "บทความต่อไป", "แชร์ข่าว", "ติดตามเรา", "คลิกอ่านเพิ่มเติม", "ข่าวต่างประเทศ", "ข่าวสังคม", "ข่าวการเมือง", "ประเด็นฮิต",
 ]
 SKIPPED_LINES = ["หน้าแรก", "สมัครสมาชิก", "เข้าสู่ระบบ", "แชร์เรื่องนี้", "แชร์บทความ", "อ่านข่าวต่อ"]
-# What characters of mark-up stand for.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
 def first_group(c: Column, pattern: str) -> Column:
@@ -78,36 +76,27 @@ def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def filtered_lines(c: Column, most: int = 300) -> Column:
-    """Lines of an article: what follows a stop line goes once more than `most` characters stand before it; lines of the frame, single short words and repeats go too."""
+    """Lines of an article: lines of the frame, single short words and repeats go; a stop line, whatever else it is, ends it once more than `most` characters stand before."""
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), numeric.strip), lambda x: x != "")
     holds = lambda x, words: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in words])
     stop = lambda x: (F.length(x) < 60) & holds(x, STOP_LINES)
     framed = lambda x: (F.length(x) < 40) & holds(x, SKIPPED_LINES)
     word = lambda x: (F.length(x) < 10) & ~x.contains(" ") & ~x.rlike("[0-9]")
-    kept = text.first_of_each(F.filter(lines, lambda x: ~framed(x) & ~word(x)), lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", " ")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("open"))
 
-    def step(a, x):
-        goes_on = a["open"] & ~(stop(x) & (a["size"] > most))
-        return F.struct(F.when(goes_on, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(goes_on, a["size"] + F.length(x)).otherwise(a["size"]).alias("size"), goes_on.alias("open"))
+    def cut(placed):
+        kept = text.first_of_each(F.filter(placed, lambda p: ~framed(p["x"]) & ~word(p["x"])), lambda p: F.lower(F.regexp_replace(p["x"], r"(?U)\s+", " ")))
+        start = F.struct(F.lit(0).alias("size"), F.lit(None).cast("int").alias("full"))
+        # the place of the line with which there are more than `most` characters
+        step = lambda a, p: F.struct((a["size"] + F.length(p["x"])).alias("size"), F.when(a["full"].isNull() & (a["size"] + F.length(p["x"]) > most), p["i"]).otherwise(a["full"]).alias("full"))
 
-    return text.bound(kept, lambda k: F.array_join(F.slice(k, F.lit(1), F.aggregate(k, start, step)["n"]), "\n"))
+        def before(k):
+            full = F.aggregate(k, start, step)["full"]
+            ends = F.array_min(F.transform(F.filter(placed, lambda p: stop(p["x"]) & (p["i"] > full)), lambda p: p["i"]))
+            return text.bound(F.coalesce(ends, F.size(placed)), lambda e: F.array_join(F.transform(F.filter(k, lambda p: p["i"] < e), lambda p: p["x"]), "\n"))
 
+        return text.bound(kept, before)
 
-def main_text(html: Column) -> Column:
-    """A page's main text: its article, else main, else body, without scripts, menus, forms, heads and feet, a line for each block, lines filtered. Null is empty.
-
-    The container is found by its name; pages without one give their whole body.
-    """
-    own = F.coalesce(html, F.lit(""))
-    for junk in ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg", "iframe"):
-        own = F.regexp_replace(own, rf"(?is)<{junk}\b[^>]*>.*?</{junk}\s*>", " ")
-    inside = lambda tag: F.nullif(F.regexp_extract(own, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1), F.lit(""))
-    block = F.coalesce(inside("article"), inside("main"), inside("body"), own)
-    block = F.regexp_replace(F.regexp_replace(block, r"(?s)<!--.*?-->", " "), r"\s+", " ")
-    lines = F.regexp_replace(block, r"(?i)</?(?:p|div|section|article|h[1-6]|li|ul|ol|tr|table|blockquote|br|figure|figcaption|dd|dt)\b[^>]*>", "\n")
-    plain = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.regexp_replace(lines, r"<[^>]+>", ""))
-    return filtered_lines(F.regexp_replace(plain, r"[ \t]+", " "))
+    return text.bound(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), cut)
 
 
 def result_links(pages: DataFrame, key: str, own_host: str, most: int, html: str = "html") -> DataFrame:

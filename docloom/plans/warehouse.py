@@ -409,14 +409,6 @@ def search_results(t):
 HTML = "<html><head><title>T</title></head><body><nav><a href='x'>menu one two</a></nav><script>var a = 1;</script><article><h1>Head line here</h1><p>{p}</p><p>{p}</p><p>Short.</p></article><footer>tags: more of it</footer></body></html>"
 
 
-@query(values("id BIGINT, text VARCHAR", [(1, "Head line here\n" + "A sentence that is long enough to stay. " * 8 + "end"), (2, ""), (3, "only words in a body, with no container")]))
-def main_text(t):
-    rows = [(1, HTML.format(p="A sentence that is long enough to stay. " * 8 + "end")), (2, None), (3, "<body>only words in a body, with no container</body>")]
-    return t.spark.createDataFrame(rows, "id long, html string").select("id", pages.main_text(F.col("html")).alias("text"))
-
-
-
-
 @query("""
 SELECT strftime(date_trunc('day', ts) - to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total
 FROM events, (VALUES (0), (1)) AS k(k) GROUP BY 1, 2""")
