@@ -52,46 +52,72 @@ DENSE_JUNK_NAMES = [
 BLOCKS = ["p", "h1", "h2", "h3", "h4", "li"]
 SCORED = ["p", "div", "span", "h2", "h3"]
 
-FIELDS = [("at", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("grand", pa.int32()), ("name", pa.string()), ("label", pa.string()), ("classes", pa.string()), ("style", pa.string()), ("prop", pa.string()), ("role", pa.string()), ("text", pa.string())]
-NODES = "array<struct<at: int, end: int, parent: int, grand: int, name: string, label: string, classes: string, style: string, prop: string, role: string, text: string>>"
+FIELDS = [("at", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("grand", pa.int32()), ("name", pa.string()), ("label", pa.string()), ("classes", pa.string()), ("style", pa.string()), ("prop", pa.string()), ("role", pa.string()), ("text", pa.string()),
+    ("start", pa.int32()), ("stop", pa.int32()), ("table", pa.int32()), ("tr", pa.int32()), ("cell", pa.int32()), ("down", pa.int32()), ("across", pa.int32()),
+]
+NODES = "array<struct<at: int, end: int, parent: int, grand: int, name: string, label: string, classes: string, style: string, prop: string, role: string, text: string, start: int, stop: int, table: int, tr: int, cell: int, down: int, across: int>>"
+#: What a cell may span at most: more is as much.
+MOST_DOWN, MOST_ACROSS = 65534, 1000
+
+
+def around(parent: list) -> list[int]:
+    """The places of the innermost table, row and cell that a child of parent lies in; -1 where there is none."""
+    table, tr, cell = parent[13:16]
+    if parent[4] == "table":
+        return [parent[0], -1, -1]
+    return [table, parent[0] if parent[4] == "tr" else tr, parent[0] if parent[4] in ("td", "th") else cell]
+
+
+def span(value: str, least: int, most: int) -> int:
+    """A span as written; 1 unless it is a number of `least` or more."""
+    digits = re.match(r"\s*\+?(\d{1,9})", value)
+    return min(int(digits[1]), most) if digits and int(digits[1]) >= least else 1
 
 
 def swept(tokens: list[str]) -> list[list]:
-    """The nodes of one page, as FIELDS: elements, then texts, stripped; element 0 is the page itself."""
-    nodes, texts, stack, names = [[0, 0, -1, -1, "", "", "", "", "", "", None]], [], [0], Counter()
+    """The nodes of one page, as FIELDS: elements, then texts, stripped; element 0 is the page itself.
+
+    start and stop are characters; table, tr and cell what a node lies in; down and
+    across a cell's spans, of which 0 down is to the end of its table.
+    """
+    nodes, texts, stack, names, start = [[0, 0, -1, -1, "", "", "", "", "", "", None, 0, 0, -1, -1, -1, 1, 1]], [], [0], Counter(), 0
     for at, token in enumerate(tokens, 1):
+        parent, stop = nodes[stack[-1]], start + len(token)
         if token[0] != "<" or token == "<":
             if texts and texts[-1][1] == at:  # a text that a lone < had cut
-                texts[-1][1], texts[-1][-1] = at + 1, texts[-1][-1] + token
+                texts[-1][1], texts[-1][10], texts[-1][12] = at + 1, texts[-1][10] + token, stop
             else:
-                texts.append([at, at + 1, nodes[stack[-1]][0], -1, None, None, None, None, None, None, token])
+                texts.append([at, at + 1, parent[0], -1, *[None] * 6, token, start, stop, *around(parent), 1, 1])
         elif token[1] == "/":
             name = NAME.match(token)[1].lower()
             if names[name]:
                 while True:
                     n = nodes[stack.pop()]
-                    n[1] = at
+                    n[1], n[12] = at, stop if n[4] == name else start
                     names[n[4]] -= 1
                     if n[4] == name:
                         break
         elif token[1] not in "!?":
             name = NAME.match(token)[1].lower()
-            parent = nodes[stack[-1]]
             has = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(token[: token.find(">") + 1] if name in ("script", "style") else token))}
             classes = " ".join(has.get("class", "").split())
-            nodes.append([at, at + 1, parent[0], parent[2], name, f"{has.get('id', '')} {classes}".lower().strip(), classes, has.get("style", "").lower(), has.get("itemprop", ""), has.get("role", ""), None])
+            nodes.append([
+                at, at + 1, parent[0], parent[2], name, f"{has.get('id', '')} {classes}".lower().strip(), classes, has.get("style", "").lower(), has.get("itemprop", ""), has.get("role", ""), None,
+                start, stop, *around(parent), span(has.get("rowspan", ""), 0, MOST_DOWN), span(has.get("colspan", ""), 1, MOST_ACROSS),
+            ])
             if name not in VOID and name not in ("script", "style") and not token.endswith("/>"):
                 stack.append(len(nodes) - 1)
                 names[name] += 1
+        start = stop
     for n in stack:
-        nodes[n][1] = len(tokens) + 1
+        nodes[n][1], nodes[n][12] = len(tokens) + 1, start
     for t in texts:
-        t[-1] = mark_up.unescape(t[-1]).strip()
-    return nodes + [t for t in texts if t[-1]]
+        t[10] = mark_up.unescape(t[10]).strip()
+    return nodes + [t for t in texts if t[10]]
 
 
 def nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, at, end, parent, grand, name, label (id and classes), classes, style, prop, role, text: elements and texts of each page, by place; texts have no name."""
+    """key and FIELDS: elements and texts of each page, by place; label is an element's id and classes, texts have no name."""
     tokens = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN), F.lit(0))
     schema = pages.select(F.col(key).alias("key"), F.lit(None).cast(NODES).alias("nodes")).schema
 

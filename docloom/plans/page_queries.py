@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import dom, pages
+from docloom.operators import assembly, dom, pages
 from docloom.plans.registry import long, query
 
 RE_TOKEN = dom.TOKEN.replace("++", "+").replace("*+", "*")
@@ -141,3 +141,40 @@ def page_elements(t):
 @query("SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS digest FROM documents")
 def nfkc_text(t):
     return t("documents").select("doc_id", F.md5(text.nfkc(F.coalesce("text", F.lit(""))).cast("binary")).alias("digest"))
+
+
+# A page for each document: its text, a table in mark-up of part of its columns, and one in pipes of the others.
+MADE = "coalesce(text, '') || chr(10) || 'Origin of the text' || chr(10) || '<table><tr><th rowspan=2>doc</th><th>lang</th></tr><tr><td>' || coalesce(lang, '') || '</td></tr></table>' || chr(10) || '| size | source |' || chr(10) || '|---|---|' || chr(10) || '| ' || coalesce(n_chars, 0) || ' | ' || coalesce(source, '') || ' |'"
+LOOSE = r"regexp_replace(regexp_replace(l, '<[^>]+>', '', 'g'), '!\[[^\]]*\]\([^)]+\)', '', 'g')"
+
+
+@query(f"""
+WITH line AS (
+  SELECT doc_id, i, {STRIPPED.format("l")} AS l FROM (
+    SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(coalesce(text, '') || chr(10) || 'Origin of the text' || chr(10), chr(10)) AS ls FROM documents))
+), cleared AS (
+  SELECT doc_id, i, l <> '' AS held, {STRIPPED.format(LOOSE)} AS x FROM line
+), numbered AS (
+  SELECT *, sum(CASE WHEN held AND x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM cleared
+), blocks AS (
+  SELECT doc_id, block, string_agg(x, chr(10) ORDER BY i) AS text FROM numbered WHERE x <> '' GROUP BY 1, 2
+), once AS (
+  SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS n FROM (
+    SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY doc_id, regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g') ORDER BY block) = 1)
+), parts AS (
+  SELECT doc_id, n - 1 AS place, 'text' AS kind, NULL AS title, NULL AS headers, NULL AS cells, md5(text) AS digest FROM once
+  UNION ALL SELECT doc_id, n, 'html_table', 'Origin of the text', 'doc|lang', 'doc|' || trim(coalesce(lang, '')), NULL FROM documents JOIN (SELECT doc_id, count(*) AS n FROM once GROUP BY 1) USING (doc_id)
+  UNION ALL SELECT doc_id, n + 1, 'pipe_table', NULL, 'size|source', coalesce(n_chars, 0) || '|' || trim(coalesce(source, '')), NULL FROM documents JOIN (SELECT doc_id, count(*) AS n FROM once GROUP BY 1) USING (doc_id)
+)
+SELECT doc_id, CAST(place AS BIGINT) AS place, kind, title, headers, cells, digest FROM parts""")
+def page_parts(t):
+    made = t("documents").select("doc_id", F.lit(1).alias("page"), F.expr(MADE.replace("chr(10)", "'\n'")).alias("markdown"))
+    parts = assembly.assembled(made, "doc_id", "page")
+    flat = lambda c: F.array_join(c, "|")
+    return parts.select("doc_id", long("place").alias("place"), "kind", "title", flat(F.col("headers")).alias("headers"), flat(F.flatten("rows")).alias("cells"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)<table[^>]*>')) AS BIGINT) AS n_tables FROM pages")
+def page_tables(t):
+    found = assembly.html_grids(dom.nodes(t("pages"), "page_id"), "page_id").groupBy("page_id").agg(F.count("*").alias("n"))
+    return t("pages").select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_tables"))
