@@ -6,7 +6,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -218,13 +218,29 @@ def first_array(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)\[.*\]", 0), F.lit(""))
 
 
-def only_select(sql: str) -> bool:
-    """Whether a statement, comments before it aside, reads and nothing else: one SELECT or WITH ... SELECT."""
+def only_select(sql: str, spark: SparkSession | None = None) -> bool:
+    """Whether a statement, comments before it aside, reads and nothing else: one SELECT or WITH ... SELECT, as Spark's parser sees it."""
     import re
 
-    body = re.sub(r"(?s)/\*.*?\*/|--[^\n]*", " ", sql).strip().rstrip(";").strip()
-    plain = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`", "''", body)
-    return bool(re.match(r"(?is)(select|with)\b", plain)) and ";" not in plain and not re.search(r"(?i)\b(insert\s+into|insert\s+overwrite|update|delete\s+from|drop|alter|create|truncate|merge\s+into|copy|attach|pragma|set)\b", plain)
+    spark = spark or SparkSession.active()
+    body = re.sub(r"(?s)^(?:\s|/\*.*?\*/|--[^\n]*)+", "", sql)
+    if not re.match(r"(?i)(select|with)\b", body):
+        return False
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        if "ParseException" in type(e).__name__ or "ParseException" in str(e):
+            return False
+        raise
+    kinds = "org.apache.spark.sql.catalyst.plans.logical."
+    of = lambda name: spark._jvm.java.lang.Class.forName(kinds + name, True, plan.getClass().getClassLoader())
+    acts = [of("Command"), of("ParsedStatement")]
+
+    def reads(node) -> bool:
+        below = node.children()
+        return not any(a.isInstance(node) for a in acts) and all(reads(below.apply(i)) for i in range(below.size()))
+
+    return reads(plan)
 
 
 def token_count(c: Column) -> Column:
@@ -255,3 +271,39 @@ def final_answer(c: Column) -> Column:
 def first_json(c: Column) -> Column:
     """The text from the first brace to the last."""
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def balanced(c: Column, quoted: bool = True) -> Column:
+    """The text from the first brace to the one that closes it; null if there is none.
+
+    quoted: braces within strings don't count, nor do escaped quotes end these. One
+    fold over pieces cut at braces, quotes and backslashes, linear in the text.
+    """
+    own = F.substring(c, F.locate("{", c), F.length(c))
+    pieces = F.regexp_extract_all(F.when(F.locate("{", c) > 0, own), F.lit(r'[{}"\\]|[^{}"\\]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("within"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+
+    def step(a, p):
+        at = a["at"] + F.length(p)
+        string = a["within"] if quoted else F.lit(False)
+        depth = a["depth"] + F.when(string, 0).when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        quote = (p == '"') & ~a["escaped"]
+        return F.struct(
+            depth.alias("depth"), F.when(quote, ~a["within"]).otherwise(a["within"]).alias("within"), (string & ~a["escaped"] & (p == "\\")).alias("escaped"),
+            at.alias("at"), F.coalesce(a["end"], F.when(~string & (p == "}") & (depth == 0), at)).alias("end"),
+        )
+
+    return F.substring(own, F.lit(1), F.aggregate(pieces, start, step)["end"])
+
+
+def action(c: Column) -> Column:
+    """tool and query of the first action in an answer: the object after `Action:`, if it is valid and has both; else null.
+
+    As the agent reads it, braces within strings count.
+    """
+    after = F.regexp_extract(c, r"(?s)Action:\s*(.*)", 1)
+    body = balanced(after, quoted=False)
+    parsed = F.try_parse_json(body)
+    keys = F.json_object_keys(body)
+    value = lambda k: F.try_variant_get(parsed, f"$.{k}", "string").alias(k)
+    return F.when(parsed.isNotNull() & F.array_contains(keys, "tool") & F.array_contains(keys, "query"), F.struct(value("tool"), value("query")))

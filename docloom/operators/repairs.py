@@ -127,19 +127,22 @@ def sections(df: DataFrame, keys: list[str]) -> DataFrame:
     and totals are repaired. With years, a part keeps its label and years; if a unit
     stands in the first year of one of its rows, units get a column and those rows
     move left, the last year taking the first cell beyond the years, else its own.
+    Where tables have a table_name, parts have one too, with their title, and csv_text.
     """
+    named = "table_name" in df.columns
+    names_of = ["table_name"] if named else []
     own = apart(balance_totals(df), keys).filter(F.size("headers") > 0)
-    lines = own.select(*keys, F.col("title").alias("__first"), "headers", F.posexplode("rows").alias("__pos", "__row"))
+    lines = own.select(*keys, F.col("title").alias("__first"), *names_of, "headers", F.posexplode("rows").alias("__pos", "__row"))
     heads = (numeric.strip(cell(F.col("__row"), F.lit(0))) != "") & ~F.exists(F.slice("__row", F.lit(2), F.greatest(F.size("__row") - 1, F.lit(0))), lambda x: ~tables.blank(x))
     by = W.partitionBy(*keys).orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
     cut = lines.withColumn("__head", heads).withColumn("__part", F.sum(F.col("__head").cast("int")).over(by))
     line = F.when(~F.col("__head"), F.struct("__pos", "__row"))
     parts = cut.groupBy(*keys, "__part").agg(
-        F.first("headers").alias("headers"), F.first("__first").alias("__first"), F.max(F.when(F.col("__head"), numeric.strip(cell(F.col("__row"), F.lit(0))))).alias("__title"),
+        F.first("headers").alias("headers"), F.first("__first").alias("__first"), *[F.first(n).alias(n) for n in names_of], F.max(F.when(F.col("__head"), numeric.strip(cell(F.col("__row"), F.lit(0))))).alias("__title"),
         F.transform(F.sort_array(F.collect_list(line)), lambda x: x["__row"]).alias("rows"),
     ).filter(F.size("rows") > 0)
     parts = parts.withColumn("title", F.coalesce("__title", "__first")).withColumn("section", F.row_number().over(W.partitionBy(*keys).orderBy("__part")) - 1)
-    parts = parts.select(*keys, "section", "title", "headers", "rows")
+    parts = parts.select(*keys, "section", "title", *names_of, "headers", "rows")
     for repair in (tables.footer_collapsed, shifted_liabilities, derived_from_total):
         parts = apart(repair(parts), keys)
     parts = parts.withColumn("__years", year_places("headers"))
@@ -156,19 +159,29 @@ def sections(df: DataFrame, keys: list[str]) -> DataFrame:
     shown = parts.withColumn("__rows", F.when(F.col("__units"), with_units).when(years, plain).otherwise(F.col("rows")))
     label = F.slice("headers", 1, 1)
     shown = shown.withColumn("__h", F.when(F.col("__units"), F.concat(label, F.array(F.lit(numeric.UNIT_HEADER)), names)).when(years, F.concat(label, names)).otherwise(F.col("headers")))
-    return shown.select(*keys, "section", "title", F.col("__h").alias("headers"), F.col("__rows").alias("rows"))
+    out = shown.select(*keys, "section", "title", *names_of, F.col("__h").alias("headers"), F.col("__rows").alias("rows"))
+    if not named:
+        return out
+    blank_title = F.coalesce(F.col("title"), F.lit("")) == ""
+    part_name = F.when(blank_title, F.col("table_name")).otherwise(F.concat_ws("_", F.coalesce("table_name", F.lit("")), text.strip_markdown(F.col("title"))))
+    fallback = F.coalesce(F.nullif("table_name", F.lit("")), F.nullif("title", F.lit("")), F.lit("table"))
+    return out.withColumn("table_name", text.safe_name(part_name, fallback)).withColumn("csv_text", numeric.strip(text.table_csv(F.col("headers"), F.col("rows"))))
 
 
 def recombined(parts: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, section, title, headers, rows: parts whose headers agree are one table again, each but those titled like the table under a row with its title; a table without parts stays whole."""
+    """keys, section, title, headers, rows: parts whose headers agree are one table again, each but those titled like the table under a row with its title; a table without parts stays whole.
+
+    A table without title goes by its table_name, if it has one.
+    """
+    base = numeric.strip(F.coalesce(F.nullif("title", F.lit("")), *(["table_name"] if "table_name" in whole.columns else []), F.lit("")))
     same = parts.groupBy(*keys).agg(F.count("*").alias("__n"), F.countDistinct("headers").alias("__h"))
-    named = parts.join(same, keys).join(whole.select(*keys, F.col("title").alias("__base")), keys)
+    named = parts.join(same, keys).join(whole.select(*keys, base.alias("__base"), F.col("title").alias("__own")), keys)
     one = (F.col("__n") > 1) & (F.col("__h") == 1)
     alone = named.filter(~one).select(*keys, "section", "title", "headers", "rows")
-    titled = (numeric.strip(F.coalesce("title", F.lit(""))) != "") & (F.col("title") != F.col("__base"))
+    titled = (numeric.strip(F.coalesce("title", F.lit(""))) != "") & (numeric.strip(F.col("title")) != F.col("__base"))
     head = F.array(F.concat(F.array(F.col("title")), F.array_repeat(F.lit(""), F.size("headers") - 1)))
     body = F.when(titled, F.concat(head, "rows")).otherwise(F.col("rows"))
-    joined = named.filter(one).groupBy(*keys).agg(F.first("headers").alias("headers"), F.first("__base").alias("title"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("section", body.alias("b")))), lambda x: x["b"])).alias("rows"))
+    joined = named.filter(one).groupBy(*keys).agg(F.first("headers").alias("headers"), F.first("__own").alias("title"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("section", body.alias("b")))), lambda x: x["b"])).alias("rows"))
     rest = whole.join(same, keys, "left_anti").select(*keys, F.lit(0).alias("section"), "title", "headers", "rows")
     return alone.unionByName(joined.select(*keys, F.lit(0).alias("section"), "title", "headers", "rows")).unionByName(rest)
 

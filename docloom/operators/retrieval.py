@@ -113,8 +113,9 @@ def merged(lists: list[DataFrame], key: str, k: int) -> DataFrame:
 def hybrid(chunks: DataFrame, question: str, terms: list[str], query: list[float], k: int = 5, key: str = "chunk_id", body: str = "chunk_text", vector: str = "embedding", kind: str | None = None, most: int = 200, keep: tuple = ()) -> DataFrame:
     """Keyword hits first, then the nearest by meaning, each chunk once: key, rank, similarity, method, source_kind, body and the columns in keep.
 
-    Kinds of chunks that lose, lose in both lists; a missing kind is semantic. Of
-    chunks that hold a term the `most` first by key are scored.
+    Kinds of chunks that lose are ranked lower among keyword hits; by meaning their
+    rank is that of their distance, and only the similarity shown is less. A missing
+    kind is semantic. Of chunks that hold a term the `most` first by key are scored.
     """
     named = chunks.withColumn("source_kind", F.coalesce(F.col(kind), F.lit("semantic")) if kind else F.lit("semantic"))
     any_term = reduce(lambda a, b: a | b, [F.lower(F.col(body)).contains(t.lower()) for t in terms], F.lit(False))
@@ -122,8 +123,8 @@ def hybrid(chunks: DataFrame, question: str, terms: list[str], query: list[float
     ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(W.orderBy(*by)))  # noqa: E731  few rows
     shown = [key, "rank", "similarity", "method", "source_kind", body, *keep]
     first = ranked(hits, F.desc("score"), key).withColumn("similarity", F.least(F.lit(0.999), F.col("score") / 200)).withColumn("method", F.lit("keyword")).select(*shown)
-    near = nearest(named.filter(F.col(vector).isNotNull()), query, max(3 * k, 15), vector, key, F.col("source_kind"))
-    second = ranked(near, F.desc("similarity"), key).withColumn("method", F.lit("semantic")).select(*shown)
+    near = nearest(named.filter(F.col(vector).isNotNull()), query, max(3 * k, 15), vector, key)
+    second = ranked(near, F.desc("similarity"), key).withColumn("method", F.lit("semantic")).withColumn("similarity", F.col("similarity") - loss(F.col("source_kind"), SIMILARITY_LOSS)).select(*shown)
     return merged([first, second], key, k)
 
 

@@ -66,8 +66,21 @@ def promoted_years(headers: Column, rows: Column) -> Column:
     return F.when(stands, text.bound(years, resolved))
 
 
-def normalized(tables: DataFrame) -> DataFrame:
-    """Tables without mark-up, with full headers, rows of one width and no blank rows; empty generated columns go from the end, a first row of years becomes headers."""
+def identified(tables: DataFrame, default: Column) -> DataFrame:
+    """tables with title, table_name and csv_text: titles without mark-up and not twice over, names that are safe, from the title where there is none, else default; the text of tables without rows is empty."""
+    title = text.repeated_title(F.coalesce(F.nullif(text.strip_markdown(F.col("title")), F.lit("")), default))
+    name = F.coalesce(F.nullif(F.col("table_name"), F.lit("")), F.col("title")) if "table_name" in tables.columns else F.col("title")
+    named = tables.withColumn("title", title).withColumn("table_name", text.safe_name(text.repeated_title(name), default))
+    return named.withColumn("csv_text", F.when(F.size("rows") > 0, numeric.strip(text.table_csv(F.col("headers"), F.col("rows")))).otherwise(F.lit("")))
+
+
+def normalized(tables: DataFrame, default: Column | None = None) -> DataFrame:
+    """Tables without mark-up, with full headers, rows of one width and no blank rows; empty generated columns go from the end, a first row of years becomes headers.
+
+    With default, the name of a table that has none, titles and names are normalised and csv_text is added.
+    """
+    if default is not None:
+        return identified(normalized(tables), default)
     plain = tables.withColumn("rows", F.transform("rows", lambda r: F.transform(r, text.strip_markdown)))
     width = F.greatest(F.size("headers"), F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)), F.lit(1))
     out = plain.withColumn("__w", width).withColumn("headers", filled_headers(fitted(F.col("headers"), F.col("__w"))))

@@ -226,7 +226,7 @@ s AS (SELECT doc_id, kind, CASE WHEN contains(p, 'the') OR contains(b, 'the') OR
   + (CASE WHEN contains(b, 'thelicense2020') THEN 40 ELSE 0 END) - (CASE WHEN kind = 'raw_ocr_page' THEN 20 ELSE 0 END) ELSE 0 END AS score FROM n),
 f AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, least(0.999, score / 200) AS similarity, 'keyword' AS method, kind FROM s WHERE score > 0),
 v AS (SELECT c.doc_id, c.kind, {{cosine}} AS sim FROM c, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) z ORDER BY sim DESC, c.doc_id LIMIT 75),
-w AS (SELECT doc_id, row_number() OVER (ORDER BY sim - (CASE WHEN kind = 'raw_ocr_page' THEN 0.08 ELSE 0 END) DESC, doc_id) AS rank,
+w AS (SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) AS rank,
   sim - (CASE WHEN kind = 'raw_ocr_page' THEN 0.08 ELSE 0 END) AS similarity, 'semantic' AS method, kind FROM v),
 u AS (SELECT *, 0 AS l FROM f UNION ALL SELECT *, 1 AS l FROM w),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l, rank) AS k FROM u)

@@ -41,12 +41,23 @@ def graphs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def select(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The rows of one SELECT, which may name the given tables or the session's views; any other statement is an error before it runs."""
-    if not text.only_select(sql):
+    """The rows of one SELECT, which may name the given tables or the session's views; any other statement is an error before it runs.
+
+    The given tables are views only while the statement is read: views of the session
+    by the same names stand again afterwards.
+    """
+    if not text.only_select(sql, spark):
         raise ValueError("only a single SELECT is allowed")
+    before = {name: spark.table(name) for name in tables or {} if spark.catalog.tableExists(name)}
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in tables or {}:
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)
 
 
 def shown(df: DataFrame, most: int = 50) -> dict:
