@@ -220,3 +220,34 @@ def rebuilt(df: DataFrame, keys: list[str]) -> DataFrame:
     """Tables normalised, cut into sections, repaired, and put together where headers agree. What several steps read is written between them."""
     own = stored(tables.normalized(df))
     return recombined(stored(sections(own, keys)), own, keys)
+
+
+# Headers of tables of a bank's investments, words that their broken heads and second head lines hold, and their title.
+INVESTMENT_HEADERS = ["ชื่อบริษัท", "ประเภทธุรกิจ", "ชนิดหุ้น", "จำนวนหุ้น", "ธนาคารถือหุ้น (%)"]
+RUN_TOGETHER = ["ชื่อบริษัท", "ประเภทธุรกิจ", "ธนาคาร", "ถือหุ้น"]
+STORED_WORDS = ["ชื่อบริษัท", "ประเภทธุรกิจ", "ถือหุ้น"]
+KIND_OF_SHARE, NUMBER_OF_SHARES = "ชนิดหุ้น", "จำนวนหุ้น"
+INVESTMENT_TITLE = "การลงทุนของธนาคารในบริษัทอื่น"
+
+
+def investment_headers(df: DataFrame) -> DataFrame:
+    """tables (title, headers, rows) whose head of several lines was read as one cell and a first row: five known headers, and the rows below.
+
+    Tables as read have one header, rows of five cells, and in their first row both
+    words of the second line. Stored ones are known by their title or first header and
+    by one of the words; their rows become five cells wide. Others stay.
+    """
+    plain = lambda c: text.strip_markdown(F.coalesce(c, F.lit("")))
+    blob, first = plain(F.get("headers", F.lit(0))), F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>"))
+    says = lambda word: F.exists(first, lambda c: plain(c).contains(word))
+    holds = lambda words: F.forall(F.array(*map(F.lit, words)), lambda w: blob.contains(w))
+    width = F.greatest(F.size("headers"), F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)))
+    read = (width == 5) & (F.size("headers") == 1) & holds(RUN_TOGETHER) & says(KIND_OF_SHARE) & says(NUMBER_OF_SHARES)
+    title = text.repeated_title(F.coalesce("title", F.lit("")))
+    stored = (title.contains(INVESTMENT_TITLE) | holds(STORED_WORDS)) & says(NUMBER_OF_SHARES)
+    five = F.transform(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), lambda r: tables.fitted(r, F.lit(5)))
+    known = F.coalesce((read | stored) & (F.size("rows") > 0), F.lit(False))
+    out = df.withColumn("__known", known).withColumn("__rows", F.when(known, five).otherwise(F.col("rows")))
+    heads = F.when(F.col("__known"), F.array(*map(F.lit, INVESTMENT_HEADERS))).otherwise(F.col("headers"))
+    named = F.when(F.col("__known"), F.coalesce(F.nullif(title, F.lit("")), F.lit(INVESTMENT_TITLE))).otherwise(F.col("title"))
+    return out.withColumn("title", named).withColumn("headers", heads).withColumn("rows", F.col("__rows")).drop("__known", "__rows")
