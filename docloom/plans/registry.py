@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
+#: Cases of rules, for tests: as QUERIES, but over rows given in the code.
+CASES: dict[str, tuple[Callable, str]] = {}
 
 
 def query(sql: str | None = None):
@@ -45,7 +47,7 @@ def values(columns: str, rows: list[tuple]) -> str:
 
 
 def cases(name: str, f: Callable, rows: list[tuple], kind: str = "VARCHAR", inputs: str | None = None) -> None:
-    """A query n, got over rows of inputs whose last value is what f of the others must give."""
+    """Cases n, got over rows of inputs whose last value is what f of the others must give; for tests."""
     width = len(rows[0]) - 1
     schema = "n long, " + (inputs or ", ".join(f"x{i} string" for i in range(width)))
     columns = [c.split(" ", 1)[0] for c in schema.split(", ")][1:]
@@ -54,4 +56,4 @@ def cases(name: str, f: Callable, rows: list[tuple], kind: str = "VARCHAR", inpu
         df = t.spark.createDataFrame([(n, *r[:-1]) for n, r in enumerate(rows)], schema)
         return df.select("n", f(*[F.col(c) for c in columns]).alias("got"))
 
-    QUERIES[name] = (run, values(f"n BIGINT, got {kind}", [(n, r[-1]) for n, r in enumerate(rows)]))
+    CASES[name] = (run, values(f"n BIGINT, got {kind}", [(n, r[-1]) for n, r in enumerate(rows)]))
