@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from docloom.functions import sql
-from docloom.operators import loads, repairs
+from docloom.operators import loads, repairs, sketches
 from docloom.plans.registry import long, query
-from docloom.streaming.counts import shared_folder
+from docloom.streaming.counts import appended, shared_folder, windowed
 
 
 @query("""
@@ -51,3 +51,33 @@ def sql_functions(t):
     return t.spark.sql("""
         SELECT c_custkey, x.table_no, x.row_no, x.cells[0] AS first_cell, size(x.cells) AS n_cells, parse_numeric(x.cells[1]) / -1000 AS shown
         FROM docloom_made_pages, LATERAL extract_tables(html) AS x WHERE x.row_no > 0""")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS same_as_whole, true AS median_near FROM events GROUP BY 1")
+def sketched_days(t):
+    """Sketches of each day and type are written, read again and merged by type; they are held against exact figures and against sketches of the whole."""
+    events = t("events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    folder = f"{shared_folder(t.spark)}/sketches-{uuid.uuid4().hex}"
+    of = ({"users_sketch": F.col("user_id")}, {"value_sketch": F.col("value")})
+    sketches.sketched(events, ["day", "event_type"], *of).write.partitionBy("day").parquet(folder)
+    merged = sketches.merged(t.spark.read.parquet(folder), ["event_type"], ["users_sketch"], ["value_sketch"])
+    whole = sketches.sketched(events, ["event_type"], *of).select("event_type", sketches.distinct_count(F.col("users_sketch")).alias("whole"))
+    known = merged.join(whole, "event_type").withColumn("median", sketches.quantile(F.col("value_sketch"), 0.5)).withColumn("estimate", sketches.distinct_count(F.col("users_sketch")))
+    below = F.avg((F.col("value") <= F.col("median")).cast("int"))
+    exact = events.join(known.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), below.alias("below"))
+    own, estimate = known.drop("median").join(exact, "event_type"), F.col("estimate")
+    near = F.abs(estimate - F.col("users")) <= F.greatest(F.lit(1.0), 0.05 * F.col("users"))
+    middle = F.abs(F.col("below") - 0.5) <= F.greatest(F.lit(0.02), 1 / F.col("n"))
+    return own.select("event_type", "n", "users", near.alias("users_near"), (estimate == F.col("whole")).alias("same_as_whole"), middle.alias("median_near"))
+
+
+@query("""
+WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, value FROM events)
+SELECT strftime(day, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM d
+WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2""")
+def stream_closed_days(t):
+    """Days that are over by the watermark, each written once in append mode."""
+    out = f"{shared_folder(t.spark)}/closed-{uuid.uuid4().hex}"
+    appended(t.spark, t.path("events"), t("events").schema, lambda e: windowed(e, "1 day", "2 days"), out)
+    rows = t.spark.read.parquet(f"{out}/rows")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))

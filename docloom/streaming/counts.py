@@ -53,6 +53,31 @@ def streamed(spark: SparkSession, path: str, schema: StructType, shape: Callable
     return spark.read.parquet(f"{out}/rows")
 
 
+def appended(spark: SparkSession, path: str, schema: StructType, shape: Callable[[DataFrame], DataFrame], out: str) -> int:
+    """Adds to out/rows what shape makes of files in path that came since the last call, in append mode; how many rows were too late is returned.
+
+    shape's watermark says when a window is over: only then its row is written, once,
+    and its state is forgotten. out/state keeps the stream's place, so a call that
+    broke is taken up where it was.
+    """
+    folder, _, name = path.rpartition("/")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
+    query = shape(stream).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def followed(first: DataFrame, then: DataFrame, key: str, within: str, late: str = "1 day", at: str = "ts") -> DataFrame:
+    """Rows of two streams (or tables) of the same key where the one in `then` comes no later than `within` after the one in first: key, at, then_at, and the others' columns with then_ before their names.
+
+    Both sides' states forget rows that no row in time can meet any more.
+    """
+    one = first.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    two = then.select(*[F.col(c).alias(f"then_{c}") for c in then.columns]).withColumn(f"then_{at}", F.col(f"then_{at}").cast("timestamp")).withWatermark(f"then_{at}", late)
+    in_time = (F.col(f"then_{at}") >= F.col(at)) & (F.col(f"then_{at}") <= F.col(at) + F.expr(f"INTERVAL {within}"))
+    return one.join(two, (F.col(key) == F.col(f"then_{key}")) & in_time).drop(f"then_{key}")
+
+
 def daily(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Counts of a day and type."""
     rows = streamed(spark, path, schema, windowed)
