@@ -19,6 +19,16 @@ def query(sql: str | None = None):
     return register
 
 
+def case(sql: str):
+    """As query, but over rows given in the code: for tests."""
+
+    def register(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return register
+
+
 def long(c):
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 

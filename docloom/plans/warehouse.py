@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 from docloom.operators import pages, repairs, retrieval, tables
-from docloom.plans.registry import long, query, values
+from docloom.plans.registry import case, long, query, values
 from docloom.sources import files
 from docloom.streaming import counts
 
@@ -35,7 +35,7 @@ RAW = [
 ]
 
 
-@query(values(FLAT, [
+@case(values(FLAT, [
     (1, "รายการ|2566|2566_2", "a|1|2/b|3|"), (2, "รายการ|2566|2565|2564", "y|1|2|3"), (3, "รายการ|2566|2565|2564", "y|1|2|3"),
     (4, "a|b", "1|2/3|4"), (5, "รายการ|column_2", "1|2"), (6, "รายการ|column2|column3|column4", "x|2566|2564|/y|1|2|3"),  # mark-up goes, and with it underscores
 ]))
@@ -43,7 +43,7 @@ def normalize_tables(t):
     return flat(tables.normalized(given(t, RAW)))
 
 
-@query(values(FLAT, [
+@case(values(FLAT, [
     (1, "รายการ|หน่วย|2567|2566", "ก|(%)|1.1|1.2/ข||5|6/ค|||"), (2, "รายการ|2567|2566", "ก|1|2"), (3, "รายการ|x", "(%)|1"),
 ]))
 def unit_column(t):
@@ -52,7 +52,7 @@ def unit_column(t):
     ])))
 
 
-@query(values(FLAT, [
+@case(values(FLAT, [
     (1, "ชื่อ|a|b|column_4", "x|1|2|/|5|6|7"), (2, "ชื่อ|a|b", "x|1|2/||5/||6"), (3, "ลำดับ|ชื่อ|a|b|column_5", "1|n|2|3|/||7|8|9"),
 ]))
 def footer_rows(t):
@@ -377,7 +377,7 @@ def raw_text_appended(t):
     return pages.appended(t("conversations"), "conv_id", "turn", "text", 5000).select(long("conv_id").alias("conv_id"), "raw_text")
 
 
-@query(values("id BIGINT, body VARCHAR", [(1, "b2"), (2, "c"), (3, "d"), (4, "")]))
+@case(values("id BIGINT, body VARCHAR", [(1, "b2"), (2, "c"), (3, "d"), (4, "")]))
 def upserted(t):
     old = t.spark.createDataFrame([(1, "b"), (2, "c"), (4, "")], "id long, body string")
     return tables.upserted(old, t.spark.createDataFrame([(1, "b2"), (3, "d")], "id long, body string"), ["id"])
