@@ -103,9 +103,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     padded = b" " + joined + b" "
                     places, labels = [], set()
                     for phrase, label in base:
-                        at = padded.find(phrase)
+                        at, number, upto = padded.find(phrase), 0, 0
                         while at >= 0:
-                            places.append(padded.count(b" ", 0, at))
+                            number, upto = number + padded.count(b" ", upto, at), at  # blanks since the last place only
+                            places.append(number)
                             labels.add(label)
                             at = padded.find(phrase, at + 1)
                     fuzzy = search(joined.decode("utf-8", "replace"))

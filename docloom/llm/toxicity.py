@@ -4,7 +4,8 @@ Examples are a bounded sample of labelled rows. Each example and each document i
 a TF-IDF vector over all its words, of unit length; words whose use differs
 between toxic and other examples (by the G2 statistic) weigh more. Examples are
 held in an inverted index cut into blocks that keep each term's largest weight;
-blocks are taken by falling bound until no block can reach the nearest k. Votes
+blocks are taken by falling bound until no block can reach the nearest k, where
+words that an eighth of the examples has count in the bound as they stand. Votes
 are weighted by distance; isotonic regression on the examples' own left-out votes
 calibrates them. A text that shares no word with an example, an empty or null one
 too, has the score of such examples. Rows with equal ids, or none, are scored each;
@@ -16,16 +17,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import held_out
+from docloom.llm.common import held_out, partitions
 from docloom.llm.quality import one_of_each, training_labels
 from docloom.llm.wordarrays import WordHasher, mixed, slices
 
 #: ASCII bytes that aren't letters or digits.
 APART = bytes(c for c in range(128) if not chr(c).isalnum())
-BLOCK = 4096
+BLOCK = 128  # examples
 TELLING = 4.0  # times the weight of other words
 MOST_COMMON, TOGETHER = 512, 64  # words that are added up as matrices, and texts at once; both only for speed
 
@@ -47,6 +48,13 @@ def term_counts(w, picked=None):
     return d[begin], t[begin], np.diff(np.append(begin, len(d)))
 
 
+def ranges(begin, end):
+    """The numbers of all ranges one after another, and for each the place of its range."""
+    n = (end - begin).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (begin - (np.cumsum(n) - n))[of], of
+
+
 def vocabulary(examples: DataFrame, least_docs: int, least_g2: float) -> DataFrame:
     """term, n, docs of all words, and whether they tell; examples: label, text."""
 
@@ -75,27 +83,32 @@ class Examples:
         self.terms, self.idf, self.k = terms, idf, k
         weight = (1 + np.log(count)) * idf[term]
         norm = np.sqrt(np.bincount(doc, weight**2, len(ids)))
-        strongest = np.full(len(ids), -1)
-        order = np.argsort(weight, kind="stable")
-        strongest[doc[order]] = term[order]
-        # examples that share their strongest term lie in the same blocks
-        rank = np.lexsort((ids, norm, strongest))
+        # examples alike lie in the same blocks: those of one language share a frequent term, those of one subject a rarer one
+        docs_of = np.bincount(term, minlength=len(terms))[term]
+        strongest = np.full((3, len(ids)), -1)
+        for k, held in enumerate((docs_of > 0, (docs_of >= 8) & (docs_of * 16 < len(ids)), docs_of * 16 >= len(ids))):
+            order = np.flatnonzero(held)
+            order = order[np.argsort(weight[order], kind="stable")]
+            strongest[k, doc[order]] = term[order]
+        rank = np.lexsort((ids, norm, *strongest))
         place = np.empty(len(ids), np.int64)
         place[rank] = np.arange(len(ids))
         self.ids, self.labels, self.empty = ids[rank], labels[rank].astype(np.float64), norm[rank] == 0
         self.n_blocks = len(ids) // BLOCK + 1
+        # a cell is a term in a block that has it: term_edge leads from terms to cells, cell_edge from cells to postings
         doc, weight = place[doc], weight / np.maximum(norm[doc], 1e-12)
         order = np.lexsort((doc, term))
         self.doc, self.weight, term = doc[order].astype(np.int32), weight[order], term[order]
         cell = term * self.n_blocks + self.doc // BLOCK
-        self.edge = np.zeros(len(terms) * self.n_blocks + 1, np.int32)
-        np.cumsum(np.bincount(cell, minlength=len(terms) * self.n_blocks), out=self.edge[1:])
-        self.top = np.zeros(len(terms) * self.n_blocks, np.float32)
-        np.maximum.at(self.top, cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
-        self.top = self.top.reshape(len(terms), self.n_blocks)
+        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        self.cell_edge = np.append(begin, len(cell)).astype(np.int32)
+        self.cell_block = (cell[begin] % self.n_blocks).astype(np.int32)
+        self.cell_top = np.maximum.reduceat(self.weight, begin) if len(cell) else np.zeros(0)
+        self.term_edge = np.searchsorted(cell[begin] // self.n_blocks, np.arange(len(terms) + 1)).astype(np.int32)
         self.prior = float(self.labels[self.empty].mean()) if self.empty.any() else float(self.labels.mean()) if len(ids) else 0.0
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.unseen = np.log(1 + len(ids)) + 1
+        self.met = self.known = 0  # blocks that searches added up, of those that there were
 
     @classmethod
     def of(cls, fields: dict) -> Examples:
@@ -103,16 +116,20 @@ class Examples:
         out.__dict__.update(fields)
         return out
 
+    def plain(self) -> dict:
+        """What of() takes, as plain arrays: workers may lack this package."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("common", "rows")}
+
     def spread(self):
         """Weights of the words that an eighth of the examples has, a row each over all examples: these are added up as matrices."""
         if not hasattr(self, "common"):
-            held = np.diff(self.edge[:: self.n_blocks])
+            held = np.diff(self.cell_edge[self.term_edge])
             picked = np.flatnonzero(held * 8 >= max(len(self.ids), 1))[:MOST_COMMON]
             self.common = np.full(len(self.terms), -1)
             self.common[picked] = np.arange(len(picked))
             self.rows = np.zeros((len(picked), self.n_blocks * BLOCK))
             for i, t in enumerate(picked):
-                own = slice(self.edge[t * self.n_blocks], self.edge[(t + 1) * self.n_blocks])
+                own = slice(self.cell_edge[self.term_edge[t]], self.cell_edge[self.term_edge[t + 1]])
                 self.rows[i, self.doc[own]] = self.weight[own]
         return self.common, self.rows
 
@@ -137,26 +154,37 @@ class Examples:
 
     def nearest(self, term, weight, without: int = -1, base=None):
         """The k nearest examples by cosine, exact: blocks are left only when their bound is below the k-th. base: what common words add to each example's."""
-        base = np.zeros(self.n_blocks * BLOCK) if base is None else base
-        bound = weight @ self.top[term] + base.reshape(self.n_blocks, BLOCK).max(1)
+        base = (np.zeros(self.n_blocks * BLOCK) if base is None else base).reshape(self.n_blocks, BLOCK)
+        cells, of = ranges(self.term_edge[term], self.term_edge[term + 1])
+        part, block = weight[of], self.cell_block[cells]
+        bound = np.bincount(block, part * self.cell_top[cells], self.n_blocks) + base.max(1)
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best_s, best_d = np.zeros(0), np.zeros(0, np.int64)
-        for b in order:
-            if bound[b] <= 0 or (len(best_s) == self.k and bound[b] < best_s[-1] - 1e-12):
+        done, step = 0, 2
+        while done < len(order):
+            take = order[done : done + step]  # twice as many each time: the first blocks make the k-th high
+            least = best_s[-1] - 1e-11 if len(best_s) == self.k else 0.0
+            take = take[bound[take] >= least]
+            if not len(take):
                 break
-            i, j = self.edge[term * self.n_blocks + b], self.edge[term * self.n_blocks + b + 1]
-            n = (j - i).astype(np.int64)
-            at = np.repeat(i - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = np.bincount(self.doc[at] - b * BLOCK, self.weight[at] * np.repeat(weight, n), BLOCK) + base[b * BLOCK : (b + 1) * BLOCK]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            s, d = np.append(best_s, score[hit]), np.append(best_d, hit + b * BLOCK)
-            if len(s) > 4 * self.k:
-                close = s >= np.partition(s, -self.k)[-self.k] - 1e-11
-                s, d = s[close], d[close]
+            slot = np.full(self.n_blocks, -1)
+            slot[take] = np.arange(len(take))
+            own = np.flatnonzero(slot[block] >= 0)
+            at, cell = ranges(self.cell_edge[cells[own]], self.cell_edge[cells[own] + 1])
+            number = slot[block[own]]
+            score = np.bincount(self.doc[at] + ((number - take[number]) * BLOCK)[cell], self.weight[at] * part[own][cell], len(take) * BLOCK) + base[take].ravel()
+            if without >= 0 and slot[without // BLOCK] >= 0:
+                score[slot[without // BLOCK] * BLOCK + without % BLOCK] = 0
+            hit = np.flatnonzero((score > 0) & (score >= least))
+            if len(hit) > 4 * self.k:
+                hit = hit[score[hit] >= np.partition(score[hit], -self.k)[-self.k] - 1e-11]
+            s, d = np.append(best_s, score[hit]), np.append(best_d, take[hit // BLOCK] * BLOCK + hit % BLOCK)
             keep = np.lexsort((d, -np.round(s, 12)))[: self.k]
             best_s, best_d = s[keep], d[keep]
+            done, step = done + step, 2 * step
+            self.met += len(take)
+        self.known += self.n_blocks
         return best_s, best_d
 
     def vote(self, term, weight, without: int, base):
@@ -164,17 +192,13 @@ class Examples:
         near = 1 / (1.02 - np.minimum(s, 1.0))
         return float((near @ self.labels[d] + self.prior) / (near.sum() + 1)), s, d
 
-    def calibrate(self, doc, term, count):
-        """Isotonic regression of the labels on the examples' votes, each without itself. doc in the order of ids."""
-        edges = np.searchsorted(doc, np.arange(len(self.ids) + 1))
-        filled = [i for i in range(len(self.ids)) if edges[i + 1] > edges[i]]
-        own = [(term[edges[i] : edges[i + 1]], self.weighted(term[edges[i] : edges[i + 1]], count[edges[i] : edges[i + 1]]), i) for i in filled]
-        votes = np.array([v for v, _, _ in self.votes(own)])
+    def calibrate(self, place: np.ndarray, votes: np.ndarray):
+        """Isotonic regression of the labels on the examples' votes, each without itself."""
         if not len(votes):
             return
         order = np.argsort(votes, kind="stable")
         blocks = []
-        for v, y in zip(votes[order], self.labels[np.array(filled)][order], strict=True):
+        for v, y in zip(votes[order], self.labels[place][order], strict=True):
             blocks.append([v, v, y, 1])
             while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
                 lo, hi = blocks.pop(-2), blocks.pop()
@@ -213,18 +237,35 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, l
     ids, labelled = rows["id"].to_numpy(), rows["label"].to_numpy()
     term, count = flat("terms"), flat("counts")
     doc = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(rows["terms"]).to_numpy().astype(np.int64))
-    del rows
     out = Examples(picked, idf, ids, labelled, doc, term, count, k)
     place = {i: p for p, i in enumerate(out.ids.tolist())}
-    moved = np.array([place[i] for i in ids.tolist()], np.int64)
-    order = np.lexsort((term, moved[doc])) if len(doc) else np.zeros(0, np.int64)
-    out.calibrate(moved[doc][order] if len(doc) else doc, term[order], count[order])
+    own = pa.table({"place": pa.array([place[i] for i in ids.tolist()], pa.int64()), "terms": rows["terms"], "counts": rows["counts"]})
+    del rows
+    out.calibrate(*left_out_votes(docs.sparkSession, out, own))
     return out
 
 
+def left_out_votes(spark: SparkSession, examples: Examples, own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the examples that have words, and each one's vote without itself; own: place, terms, counts of each."""
+    kept = spark.sparkContext.broadcast(examples.plain())
+
+    def voted(batches):
+        ex = Examples.of(kept.value)
+        for batch in batches:
+            lists = [(i, np.asarray(t, np.int64), np.asarray(c)) for i, t, c in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True) if t]
+            votes = [v for v, _, _ in ex.votes([(t, ex.weighted(t, c), i) for i, t, c in lists])]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in lists], pa.int64()), pa.array(votes, pa.float64())], ["place", "vote"])
+
+    if not own.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0)
+    found = spark.createDataFrame(own).repartition(partitions(spark)).mapInArrow(voted, "place long, vote double").orderBy("place").toArrow()
+    kept.unpersist()
+    return found["place"].to_numpy(), found["vote"].to_numpy()
+
+
 def score(docs: DataFrame, examples: Examples, evidence: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence the ids and cosines of the nearest examples."""
-    kept = docs.sparkSession.sparkContext.broadcast({k: v for k, v in examples.__dict__.items() if k not in ("common", "rows")})  # plain arrays: workers may lack this package
+    kept = docs.sparkSession.sparkContext.broadcast(examples.plain())
     id_type = docs.schema["doc_id"].dataType
     schema = docs.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score"), F.array(F.lit(None).cast(id_type)).alias("near_ids"), F.array(F.lit(0.0)).alias("near_cosines")).schema
 

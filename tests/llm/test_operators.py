@@ -489,6 +489,45 @@ def test_license_places_match(spark):
     assert "reserved" in out[len(ODD) + 5]["labels"].split(",")
 
 
+def test_license_places_take_time_linear_in_places_and_spans_are_told(spark):
+    many = "mit license " * 60_000
+    start = time.time()
+    r = licenses.scan(documents(spark, [many])).first()
+    assert time.time() - start < 20
+    assert (r["n_base"], r["first_word"], r["last_word"]) == (60_000, 0, 119_998)
+    text = "see the mozzila public license here"
+    r = licenses.scan(documents(spark, [text])).first()
+    assert [(s["label"], text[s["start"] : s["end"]], s["edits"]) for s in r["spans"]] == [("mpl", "mozzila public license", 2)]
+
+
+def edit_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_license_labels_match_edit_distance(spark):
+    rng = random.Random(4)
+    texts = []
+    for label, words, edits in licenses.NOTICES:
+        for k in range(edits + 3):
+            x = list(words)
+            for _ in range(k):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice([[], [x[at], rng.choice("abcxyz")], [rng.choice("abcxyz")]])
+            texts.append(" ".join(f"foo {''.join(x)} bar".split()))
+    out = collected(licenses.scan(documents(spark, texts)))
+    for i, t in enumerate(texts):
+        words = t.split()
+        spans = [" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
+        wanted = {label for label, notice, edits in licenses.NOTICES if any(abs(len(s) - len(notice)) <= edits and edit_distance(s, notice) <= edits for s in spans)}
+        assert set(filter(None, out[i]["labels"].split(","))) == wanted | set(filter(None, base_licenses(t)[4].split(","))), t
+        assert all(s["edits"] == min(edit_distance(t[s["start"] : s["end"]], n) for x, n, _ in licenses.NOTICES if x == s["label"]) for s in out[i]["spans"])
+
+
 # URL rules
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -668,7 +707,7 @@ def test_nearest_examples_are_the_exact_nearest(spark):
 
     full = np.zeros((len(ex.ids), len(ex.terms)))
     for t in range(len(ex.terms)):
-        i, j = ex.edge[t * ex.n_blocks], ex.edge[(t + 1) * ex.n_blocks]
+        i, j = ex.cell_edge[ex.term_edge[t]], ex.cell_edge[ex.term_edge[t + 1]]
         full[ex.doc[i:j], t] = ex.weight[i:j]
     for d in range(0, 400, 29):
         own = doc == d
@@ -678,6 +717,57 @@ def test_nearest_examples_are_the_exact_nearest(spark):
         assert np.allclose(s, np.sort(full[:, term[own]] @ q)[::-1][: len(s)])
 
 
+def test_blocks_are_left_by_their_bounds(spark, monkeypatch):
+    # two languages: blocks of the one can't reach what is near to the other
+    rng = random.Random(9)
+    tongues = [[f"{x}{i}" for i in range(60)] for x in "pq"]
+    texts = [" ".join(rng.choice(tongues[i % 2]) for _ in range(40)) for i in range(300)] + [None, ""]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 0, int(i % 7 == 0)) for i in range(302)], "doc_id long, quality int, toxic int")
+    outs = {}
+    for size in (8, 4096):
+        monkeypatch.setattr(toxicity, "BLOCK", size)
+        ex = toxicity.learn(docs, labels, k=5)
+        outs[size] = collected(toxicity.score(docs, ex))
+        w = toxicity.WordHasher(toxicity.APART)(toxicity.pa.array(texts))
+        doc, term, n = toxicity.term_counts(w, ex.terms)
+        for d in range(0, 300, 10):
+            list(ex.votes([(term[doc == d], ex.weighted(term[doc == d], n[doc == d]), -1)]))
+        assert ex.met < ex.known / 2 if size == 8 else ex.met == ex.known == 30
+    for i, r in outs[8].items():
+        assert r["score"] == pytest.approx(outs[4096][i]["score"], abs=1e-9)
+        assert r["near_cosines"] == pytest.approx(outs[4096][i]["near_cosines"], abs=1e-9)
+
+
+def test_votes_and_calibration_match(spark):
+    docs, labels, truth = labelled(spark, 100, 11)
+    ex = toxicity.learn(docs, labels, k=7)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    w = toxicity.WordHasher(toxicity.APART)(toxicity.pa.array([text[i] for i in ex.ids.tolist()]))
+    doc, term, n = toxicity.term_counts(w, ex.terms)
+    full = np.zeros((len(ex.ids), len(ex.terms)))
+    full[doc, term] = (1 + np.log(n)) * ex.idf[term]
+    full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-12)
+    votes = []
+    for i in range(len(ex.ids)):
+        cosine = full @ full[i]
+        cosine[i] = 0
+        near = sorted((-round(c, 12), j) for j, c in enumerate(cosine) if c > 0)[:7]
+        weight = [1 / (1.02 - min(-c, 1)) for c, _ in near]
+        votes.append((sum(x * ex.labels[j] for x, (_, j) in zip(weight, near, strict=True)) + ex.prior) / (sum(weight) + 1))
+    # least squares that rise with the vote: the largest mean that begins before, of the least that ends after
+    order = sorted(range(len(votes)), key=lambda i: votes[i])
+    y = [ex.labels[i] for i in order]
+    lo, hi = ex.steps[0][::2], ex.steps[0][1::2]
+    for k, i in enumerate(order):
+        fitted, size = max((min((sum(y[a : b + 1]) / (b + 1 - a), -(b + 1 - a)) for b in range(k, len(y))) for a in range(k + 1)), key=lambda x: x[0])
+        at = np.flatnonzero((lo <= votes[i] + 1e-9) & (votes[i] - 1e-9 <= hi))
+        assert len(at)
+        level = [(ex.steps[1][2 * b] * (m + 1) - ex.prior) / m for b in at for m in [sum(lo[b] - 1e-9 <= v <= hi[b] + 1e-9 for v in votes)]]
+        assert min(abs(x - fitted) for x in level) < 0.02, (k, fitted, level)
+        assert -size > 0
+
+
 def test_neighbours_are_found_by_words_that_do_not_tell(spark):
     docs, labels, truth = labelled(spark, 400, 7)
     copy = "nothing here is rude but these plain words stand in one example only"
