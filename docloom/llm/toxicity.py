@@ -5,7 +5,7 @@ a TF-IDF vector over all its words, of unit length; words whose use differs
 between toxic and other examples (by the G2 statistic) weigh more. Examples are
 held in an inverted index cut into blocks that keep each term's largest weight;
 blocks are taken by falling bound until no block can reach the nearest k, where
-words that an eighth of the examples has count in the bound as they stand. Votes
+words that a sixteenth of the examples has count in the bound as they stand. Votes
 are weighted by distance; isotonic regression on the examples' own left-out votes
 calibrates them. A text that shares no word with an example, an empty or null one
 too, has the score of such examples. Rows with equal ids, or none, are scored each;
@@ -17,18 +17,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import held_out, partitions
+from docloom.llm.common import held_out
 from docloom.llm.quality import one_of_each, training_labels
 from docloom.llm.wordarrays import WordHasher, mixed, slices
 
 #: ASCII bytes that aren't letters or digits.
 APART = bytes(c for c in range(128) if not chr(c).isalnum())
-BLOCK = 128  # examples
+BLOCK = 256  # examples
 TELLING = 4.0  # times the weight of other words
-MOST_COMMON, TOGETHER = 512, 64  # words that are added up as matrices, and texts at once; both only for speed
+MOST_COMMON, SHARE, TOGETHER = 512, 16, 64  # words, of a SHARE-th of the examples, that are added up as matrices, and texts at once; all only for speed
 
 
 def term_counts(w, picked=None):
@@ -50,9 +50,9 @@ def term_counts(w, picked=None):
 
 def ranges(begin, end):
     """The numbers of all ranges one after another, and for each the place of its range."""
-    n = (end - begin).astype(np.int64)
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) + (begin - (np.cumsum(n) - n))[of], of
+    n = end - begin
+    of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return np.arange(len(of), dtype=np.int32) + (begin - (np.cumsum(n, dtype=np.int32) - n))[of], of
 
 
 def vocabulary(examples: DataFrame, least_docs: int, least_g2: float) -> DataFrame:
@@ -99,7 +99,7 @@ class Examples:
         doc, weight = place[doc], weight / np.maximum(norm[doc], 1e-12)
         order = np.lexsort((doc, term))
         self.doc, self.weight, term = doc[order].astype(np.int32), weight[order], term[order]
-        cell = term * self.n_blocks + self.doc // BLOCK
+        cell = term.astype(np.int64) * self.n_blocks + self.doc // BLOCK
         begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
         self.cell_edge = np.append(begin, len(cell)).astype(np.int32)
         self.cell_block = (cell[begin] % self.n_blocks).astype(np.int32)
@@ -121,10 +121,10 @@ class Examples:
         return {k: v for k, v in self.__dict__.items() if k not in ("common", "rows")}
 
     def spread(self):
-        """Weights of the words that an eighth of the examples has, a row each over all examples: these are added up as matrices."""
+        """Weights of the words that many examples have, a row each over all examples: these are added up as matrices."""
         if not hasattr(self, "common"):
             held = np.diff(self.cell_edge[self.term_edge])
-            picked = np.flatnonzero(held * 8 >= max(len(self.ids), 1))[:MOST_COMMON]
+            picked = np.flatnonzero(held * SHARE >= max(len(self.ids), 1))[:MOST_COMMON]
             self.common = np.full(len(self.terms), -1)
             self.common[picked] = np.arange(len(picked))
             self.rows = np.zeros((len(picked), self.n_blocks * BLOCK))
@@ -139,18 +139,24 @@ class Examples:
         return weight / np.sqrt((weight**2).sum() + others)
 
     def votes(self, texts: list):
-        """vote for each (term, weight, without) in turn: common words of some texts at once, then each text's other words."""
+        """vote for each (term, weight, without): common words of some texts at once, then each text's other words. Texts with one strongest common word, mostly of one language, go together."""
         common, rows = self.spread()
-        for i in range(0, len(texts), TOGETHER):
-            part = texts[i : i + TOGETHER]
+        own = [common[term] for term, _, _ in texts]
+        first = [int(at[np.argmax(np.where(at >= 0, weight, 0))]) if len(at) else -1 for at, (_, weight, _) in zip(own, texts, strict=True)]
+        order, out = sorted(range(len(texts)), key=first.__getitem__), [None] * len(texts)
+        for i in range(0, len(order), TOGETHER):
+            part = order[i : i + TOGETHER]
             shared = np.zeros((len(part), len(rows)))
-            for j, (term, weight, _) in enumerate(part):
-                at = common[term]
-                shared[j, at[at >= 0]] = weight[at >= 0]
-            base = shared @ rows
-            for j, (term, weight, without) in enumerate(part):
-                rare = common[term] < 0
-                yield self.vote(term[rare], weight[rare], without, base[j])
+            for k, j in enumerate(part):
+                at = own[j]
+                shared[k, at[at >= 0]] = texts[j][1][at >= 0]
+            used = np.flatnonzero(shared.any(0))
+            base = shared[:, used] @ rows[used]
+            for k, j in enumerate(part):
+                term, weight, without = texts[j]
+                rare = own[j] < 0
+                out[j] = self.vote(term[rare], weight[rare], without, base[k])
+        return out
 
     def nearest(self, term, weight, without: int = -1, base=None):
         """The k nearest examples by cosine, exact: blocks are left only when their bound is below the k-th. base: what common words add to each example's."""
@@ -161,7 +167,7 @@ class Examples:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_s, best_d = np.zeros(0), np.zeros(0, np.int64)
-        done, step = 0, 2
+        done, step = 0, 4
         while done < len(order):
             take = order[done : done + step]  # twice as many each time: the first blocks make the k-th high
             least = best_s[-1] - 1e-11 if len(best_s) == self.k else 0.0
@@ -233,34 +239,36 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 25, l
     schema = examples.select(F.col("__label").alias("label"), F.col("doc_id").alias("id"), F.array(F.lit(0)).alias("terms"), F.array(F.lit(0)).alias("counts")).schema
     rows = examples.mapInArrow(vectors, schema).toArrow()
     rows = rows.take(pa.compute.sort_indices(rows, [("id", "ascending")])).combine_chunks()
-    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy().astype(np.int64)
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
     ids, labelled = rows["id"].to_numpy(), rows["label"].to_numpy()
     term, count = flat("terms"), flat("counts")
-    doc = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(rows["terms"]).to_numpy().astype(np.int64))
-    out = Examples(picked, idf, ids, labelled, doc, term, count, k)
-    place = {i: p for p, i in enumerate(out.ids.tolist())}
-    own = pa.table({"place": pa.array([place[i] for i in ids.tolist()], pa.int64()), "terms": rows["terms"], "counts": rows["counts"]})
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), pa.compute.list_value_length(rows["terms"]).to_numpy())
     del rows
-    out.calibrate(*left_out_votes(docs.sparkSession, out, own))
+    out = Examples(picked, idf, ids, labelled, doc, term, count, k)
+    del doc, term, count
+    out.calibrate(*left_out_votes(examples, out))
     return out
 
 
-def left_out_votes(spark: SparkSession, examples: Examples, own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the examples that have words, and each one's vote without itself; own: place, terms, counts of each."""
-    kept = spark.sparkContext.broadcast(examples.plain())
+def left_out_votes(rows: DataFrame, examples: Examples) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the examples that have words, and each one's vote without itself; rows: doc_id and text of each."""
+    kept = rows.sparkSession.sparkContext.broadcast(examples.plain())
 
     def voted(batches):
-        ex = Examples.of(kept.value)
+        ex, hasher = Examples.of(kept.value), WordHasher(APART)
+        place = {i: p for p, i in enumerate(ex.ids.tolist())}
         for batch in batches:
-            lists = [(i, np.asarray(t, np.int64), np.asarray(c)) for i, t, c in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True) if t]
-            votes = [v for v, _, _ in ex.votes([(t, ex.weighted(t, c), i) for i, t, c in lists])]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in lists], pa.int64()), pa.array(votes, pa.float64())], ["place", "vote"])
+            for part in slices(batch):
+                at = [place[i] for i in part.column(0).to_pylist()]
+                doc, term, n = term_counts(hasher(part.column(1)), ex.terms)
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                own = [(term[a:b], ex.weighted(term[a:b], n[a:b]), p) for a, b, p in zip(cut[:-1], cut[1:], at, strict=True) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([p for _, _, p in own], pa.int64()), pa.array([v for v, _, _ in ex.votes(own)], pa.float64())], ["place", "vote"])
 
-    if not own.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0)
-    found = spark.createDataFrame(own).repartition(partitions(spark)).mapInArrow(voted, "place long, vote double").orderBy("place").toArrow()
+    found = rows.select("doc_id", "text").mapInArrow(voted, "place long, vote double").toArrow()
     kept.unpersist()
-    return found["place"].to_numpy(), found["vote"].to_numpy()
+    order = np.argsort(found["place"].to_numpy())
+    return found["place"].to_numpy()[order], found["vote"].to_numpy()[order]
 
 
 def score(docs: DataFrame, examples: Examples, evidence: int = 5) -> DataFrame:
@@ -274,12 +282,13 @@ def score(docs: DataFrame, examples: Examples, evidence: int = 5) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 w = hasher(part.column(1))
-                doc, term, n = term_counts(w, ex.terms)
+                row, word, times = term_counts(w)
+                at = np.minimum(np.searchsorted(ex.terms, word), max(len(ex.terms) - 1, 0))
+                heard = ex.terms[at] == word if len(ex.terms) else np.zeros(len(word), bool)
+                others = np.bincount(row[~heard], (1 + np.log(times[~heard])) ** 2, part.num_rows) * ex.unseen**2
+                order = np.lexsort((at[heard], row[heard]))
+                doc, term, n = (x[heard][order] for x in (row, at, times))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                row, _, times = term_counts(w)
-                length = lambda d, c: np.bincount(d, (1 + np.log(c)) ** 2, part.num_rows)  # noqa: B023, E731
-                others = np.maximum(length(row, times) - length(doc, n), 0) * ex.unseen**2
-                others[others < 1e-9] = 0
                 keys = [(term[a:b].tobytes(), n[a:b].tobytes(), round(o, 9)) if a < b else None for a, b, o in zip(cut[:-1], cut[1:], others, strict=True)]
                 if len(seen) > 5_000:  # a memo of one task; what it has is found again as before
                     seen.clear()
