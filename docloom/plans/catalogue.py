@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numeric, text
 from docloom.operators import pages, retrieval, tables
-from docloom.plans import answer_queries, load_queries, page_queries, rule_queries, table_queries, warehouse  # noqa: F401  they register queries of their own
+from docloom.plans import answer_queries, candidate_queries, load_queries, page_queries, rule_queries, table_queries, warehouse  # noqa: F401  they register queries of their own
 from docloom.plans.registry import QUERIES, long, query
 from docloom.streaming import counts
 
