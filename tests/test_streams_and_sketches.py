@@ -60,3 +60,13 @@ def test_sketches_are_near_and_merge(spark):
         for i, q in enumerate((0.1, 0.5, 0.9)):
             if r.g < 3:
                 assert abs(sum(v <= r[f"q{i}"] for v in values) / len(values) - q) < 0.02
+
+
+def test_estimates_do_not_tell_in_how_many_parts_rows_were_sketched(spark):
+    for n in (0, 5, 300, 390, 1500, 30_000):
+        rows = spark.range(0, n, 1, 1).select(F.col("id").alias("u"), (F.col("id") % 13).alias("d"), F.lit(1.0).alias("v"))
+        of = ({"us": F.col("u")}, {"vs": F.col("v")})
+        estimate = sketches.distinct_count(F.col("us"))
+        whole = sketches.sketched(rows, [], *of).select(estimate).first()[0]
+        merged = sketches.merged(sketches.sketched(rows, ["d"], *of), [], ["us"], ["vs"]).select(estimate).first()[0]
+        assert whole == merged and abs(whole - n) <= max(1, 0.05 * n)
