@@ -118,6 +118,17 @@ def direct_answers(best: DataFrame, question: str = "question") -> DataFrame:
     return own.withColumn("answer", answer).drop("__years", "__unit")
 
 
+def value_of(year: Column) -> Column:
+    return numeric.strip(F.coalesce(F.element_at("cells", year), F.lit("")))
+
+
+def first_of_years(known: DataFrame, asked_for: DataFrame) -> DataFrame:
+    """__label, __year and ROW of the first row with each label that has a value for a year asked for; of rows with equal labels no other can be looked up."""
+    years = asked_for.select(F.explode("__years").alias("__year")).distinct()
+    each = known.select("*", F.explode(F.filter(F.map_keys("cells"), lambda y: value_of(y) != "")).alias("__year")).join(years, "__year", "left_semi")
+    return each.groupBy("__label", "__year").agg(F.min_by(F.struct(*ROW), F.struct("document_id", "table_name", "row_index")).alias("r")).select("__label", "__year", "r.*")
+
+
 def looked_up(questions: DataFrame, rows: DataFrame, key: str = "question_id", question: str = "question") -> DataFrame:
     """key, document_id, table_name, row_index, row_label, value, year: of each question that names years the row whose label it holds, or that holds it, with a value for one of them.
 
@@ -127,7 +138,7 @@ def looked_up(questions: DataFrame, rows: DataFrame, key: str = "question_id", q
     own = asked(questions.select(key, question), question).filter(F.size("__years") > 0)
     known = rows.select(*ROW, text.normalize_lookup(F.col("label")).alias("__label"))
     scores = scored_labels(own.select(F.col("__q").alias("question")), known.select(F.col("__label").alias("label")), terms=False, held=0)
-    met = scores.select(F.col("question").alias("__q"), F.col("label").alias("__label"), "score").join(own, "__q").join(known, "__label")
-    there = F.filter("__years", lambda y: numeric.strip(F.coalesce(F.element_at("cells", y), F.lit(""))) != "")
-    dated = met.withColumn("year", F.get(there, F.lit(0))).filter("year IS NOT NULL")
+    met = scores.select(F.col("question").alias("__q"), F.col("label").alias("__label"), "score").join(own, "__q")
+    pairs = met.withColumn("__year", F.explode(F.array_distinct("__years"))).join(first_of_years(known, own), ["__label", "__year"])
+    dated = pairs.withColumn("year", F.get(F.filter("__years", lambda y: value_of(y) != ""), F.lit(0)))
     return first_best(dated, [key]).select(key, "document_id", "table_name", "row_index", F.col("label").alias("row_label"), F.element_at("cells", F.col("year")).alias("value"), "year")

@@ -76,3 +76,27 @@ def test_lookups_take_the_first_year_that_a_row_has(spark):
     asks = [(1, "net profit 2021 2022"), (2, "net 2021"), (3, "net profit and more of 2021"), (4, "net profit"), (5, None), (6, "nothing 2021")]
     got = {r.question_id: (r.document_id, r.row_index, r.value, r.year) for r in answers.looked_up(spark.createDataFrame(asks, "question_id long, question string"), spark.createDataFrame(rows, ROWS)).collect()}
     assert got == {1: (1, 0, "7", "2022"), 2: (1, 1, "5", "2021"), 3: (1, 1, "5", "2021")}
+
+
+def test_lookups_meet_one_row_of_a_label_and_year(spark):
+    draw = random.Random(4)
+    rows = [(draw.randrange(9), draw.choice("ab"), i, draw.choice(["Net", "Net profit", "profit", None]), draw.choice([{"2021": "1"}, {"2021": " ", "2022": str(i)}, {"2021": str(i), "2022": "2"}, {"x": "1"}, None])) for i in range(400)]
+    asks = [(i, draw.choice(["net 2021", "net profit 2022 2021", "profit 2022 2022", "net profit 2021 2023", "net profit", "gross 2021"])) for i in range(200)]
+    q, r = spark.createDataFrame(asks, "question_id long, question string"), spark.createDataFrame(rows, ROWS)
+    plain = lambda x: (x or "").lower().replace(" ", "")
+    want = {}
+    for i, question in asks:
+        years = re.findall(r"20\d\d", question)
+        hits = []
+        for d, t, n, label, cells in rows:
+            a, b = plain(question), plain(label)
+            year = next((y for y in years if (cells or {}).get(y, "").strip()), None)
+            if b and year and (b in a or a in b):
+                hits.append((-(len(b) + 100 if b in a else len(a)), d, t, n, cells[year], year))
+        if hits:
+            want[i] = min(hits)[1:]
+    got = answers.looked_up(q, r)
+    assert {x.question_id: (x.document_id, x.table_name, x.row_index, x.value, x.year) for x in got.collect()} == want
+    known = r.withColumn("__label", F.lower("label"))
+    firsts = answers.first_of_years(known, answers.asked(q, "question"))
+    assert firsts.count() == firsts.select("__label", "__year").distinct().count() <= 8 and {x["__year"] for x in firsts.select("__year").collect()} == {"2021", "2022"}
