@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numeric, text
 from docloom.operators import dom
+from docloom.operators.dom import in_parts
 
 #: A line that may be a title has so many characters.
 TITLE = 4
@@ -49,16 +50,17 @@ def html_grids(nodes: DataFrame, key: str) -> DataFrame:
     of = tables.join(held.withColumnRenamed(key, "key"), ["key", "at"], "left").join(captions.withColumnRenamed(key, "key"), ["key", "at"], "left")
     schema = of.drop("cells").select("*", F.lit(None).cast("array<array<string>>").alias("grid")).schema
 
+    def grid(cells: list[dict] | None) -> list[list[str]]:
+        rows: dict[int, list] = {}
+        for c in cells or []:
+            rows.setdefault(c["tr"], []).append((c["text"], c["down"], c["across"]))
+        return [r for r in filled(list(rows.values())) if any(r)]
+
     def fill(batches):
         for batch in batches:
-            grids = []
-            for cells in batch.column(batch.schema.get_field_index("cells")).to_pylist():
-                rows: dict[int, list] = {}
-                for c in cells or []:
-                    rows.setdefault(c["tr"], []).append((c["text"], c["down"], c["across"]))
-                grids.append([r for r in filled(list(rows.values())) if any(r)])
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in schema.names[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(grids, pa.list_(pa.list_(pa.string())))], schema.names)
+            kept = batch.select(schema.names[:-1])
+            for start, grids in in_parts(batch.column("cells"), grid, lambda g: sum(map(len, g))):
+                yield pa.RecordBatch.from_arrays([*kept.slice(start, len(grids)).columns, pa.array(grids, pa.list_(pa.list_(pa.string())))], schema.names)
 
     body = F.size("grid") > 1
     grids = of.mapInArrow(fill, schema)

@@ -5,6 +5,7 @@ import re
 import unicodedata
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 
 from docloom.functions import text
@@ -204,3 +205,10 @@ def test_folded_forms(spark):
 def test_a_reference_that_was_cut_is_text(spark, cut, want):
     rows = dom.nodes(spark.createDataFrame([(1, f"<p>{cut}</p>")], "id int, html string"), "id").filter("name IS NULL").collect()
     assert [r.text for r in rows] == [want]
+
+
+def test_nodes_leave_a_task_in_parts():
+    tokens = ["<p>", "a", "</p>"] * 2000
+    made = list(dom.sweep(iter([pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([tokens] * 29 + [[]])], ["key", "tokens"])])))
+    assert [k for b in made for k in b.column(0).to_pylist()] == list(range(30)) and len(made) > 5
+    assert all(sum(map(len, b.column(1).to_pylist())) <= dom.PART + 4001 for b in made) and made[-1].column(1).to_pylist()[-1][0]["end"] == 1
