@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ BLANKS = r"[\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 STOP_WORDS = ["อะไร", "เท่าไร", "เท่าไหร่", "เท่า", "ใด", "บ้าง", "ของ", "ใน", "ปี", "และ", "กับ", "ที่", "เป็น", "ได้", "หรือ", "how", "what", "which", "does", "did", "the", "for", "from", "and"]
 YEAR_IN_TEXT = r"(?<![\p{L}\p{N}_])(?:25|20)\p{Nd}{2}(?![\p{L}\p{N}_])"
 MONTHS = "ม.ค.|ก.พ.|มี.ค.|เม.ย.|พ.ค.|มิ.ย.|ก.ค.|ส.ค.|ก.ย.|ต.ค.|พ.ย.|ธ.ค.|มกราคม|กุมภาพันธ์|มีนาคม|เมษายน|พฤษภาคม|มิถุนายน|กรกฎาคม|สิงหาคม|กันยายน|ตุลาคม|พฤศจิกายน|ธันวาคม"
+#: Texts that are folded at a time.
+FOLDED = 256
 THAI_DATE = rf"^\d{{1,2}}\s*(?:{MONTHS.replace('.', '[.]')})\s*(?:\d{{4}}|\d{{2}})$"
 
 
@@ -47,12 +50,7 @@ def clean_text(c: Column) -> Column:
     return strip(text)
 
 
-@F.arrow_udf(StringType())
-def nfkc(texts: pa.Array) -> pa.Array:
-    """Compatibility forms folded (NFKC); texts in ASCII have none and pass as they are. Null stays null.
-
-    By Python's tables, a call for each whole text: Arrow's own function leaves marks apart that NFKC joins.
-    """
+def folded(texts: pa.Array) -> pa.Array:
     import unicodedata
 
     foldable = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
@@ -61,6 +59,18 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pc.replace_with_mask(texts, foldable, pa.array([unicodedata.normalize("NFKC", t) for t in texts.filter(foldable).to_pylist()], texts.type))
 
 
+@F.arrow_udf(StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Compatibility forms folded (NFKC); texts in ASCII have none and pass as they are. Null stays null.
+
+    By Python's tables, a call for each whole text: Arrow's own function leaves marks apart that NFKC joins.
+    A batch is folded in parts of `FOLDED` texts, which are all that stands in Python at once.
+    """
+    for texts in batches:
+        for start in range(0, len(texts), FOLDED):
+            yield folded(texts.slice(start, FOLDED))
+
+
 def thai_digits(c: Column) -> Column:
     return F.translate(c, THAI_DIGITS, "0123456789")
 

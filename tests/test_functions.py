@@ -1,5 +1,6 @@
 """Scalar functions and table operators on literal rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,9 @@ def test_chunks_are_packed_in_order(spark):
     row = spark.createDataFrame([(pieces,)], "p array<struct<text:string,breaks:boolean>>")
     out = row.select(retrieval.packed(F.col("p")).alias("v")).first()["v"]
     assert out == ["a" * 60 + " " + "b" * 60, "c" * 30, "d" * 1990]
+
+
+def test_texts_are_folded_in_parts():
+    texts = ["ﬁ" if i % 2 else "a" for i in range(3 * text.FOLDED + 1)] + [None]
+    made = list(text.nfkc.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [len(m) for m in made] == [text.FOLDED] * 3 + [2] and [t for m in made for t in m.to_pylist()] == ["fi" if i % 2 else "a" for i in range(3 * text.FOLDED + 1)] + [None]
