@@ -60,8 +60,10 @@ told("sanitized", text.sanitized, [form("p_name || p_name", "p_brand", "CAST(NUL
 told("repeated_title", text.repeated_title, [form("p_name || ' - ' || p_name", "'**' || p_name || '**'", "p_type || '_' || p_type")], form("p_name", "p_name", "p_type"))
 told("safe_name", lambda c, d: text.safe_name(c, d, 24), [form(f"p_name || ' (' || {S} || ')'", "'**'", "p_name || '/' || p_type || ':' || p_brand || ' and more'"), "p_type"],
      form(f"replace(p_name, ' ', '_') || '_(' || {S} || ')'", "p_type", "regexp_replace(substr(replace(p_name || '/' || p_type || ':' || p_brand || ' and more', ' ', '_').replace('/', '_').replace(':', '_').replace('#', ''), 1, 13), '_+$', '') || '_' || substr(sha1(replace(p_name || '/' || p_type || ':' || p_brand || ' and more', ' ', '_').replace('/', '_').replace(':', '_').replace('#', '')), 1, 10)"))
-told("file_name", text.file_name, ["p_name || '/' || p_type || ':*?  x. '"], "p_name || p_type || ' x'")
-told("folder_name", text.folder_name, ["' ' || p_name || ' ' || p_type || '|_'"], "replace(p_name, ' ', '_') || '_' || p_type")
+told("file_name", text.file_name, [form("p_name || '/' || p_type || ':*?  x. '", "'  ' || p_name || '   ' || p_type || chr(9) || chr(10) || p_brand || '. '", f"repeat(p_name || ' ' || {S} || '. ', 20)", "CAST(NULL AS STRING)", "''", "'.' || repeat('. ', p_size)", "'\"<' || p_name || '>|\"'")],
+     form("p_name || p_type || ' x'", "p_name || ' ' || p_type || ' ' || p_brand", f"regexp_replace(substr(repeat(p_name || ' ' || {S} || '. ', 20), 1, 60), '[ .]+$', '')", "'site'", "'site'", "'site'", "p_name"))
+told("folder_name", text.folder_name, [form("' ' || p_name || ' ' || p_type || '|_'", "p_name || '   ' || p_type || chr(9) || p_brand || '__'", f"'_' || repeat(p_name || ' ' || {S} || '/', 20)", "CAST(NULL AS STRING)", "'_ _'", "'\"' || p_type || '\"|' || p_brand")],
+     form("replace(p_name, ' ', '_') || '_' || p_type", "replace(p_name, ' ', '_') || '_' || p_type || '_' || p_brand", f"substr(repeat(replace(p_name, ' ', '_') || '_' || {S}, 20), 1, 40)", "'site'", "'site'", "p_type || p_brand"))
 told("clean_cell", text.clean_cell, [form(f"translate({S}, '0123456789', '๐๑๒๓๔๕๖๗๘๙') || ',๔๕๖'", f"{S} || ',2O4'", "'OK  ' || p_name", "p_type || 'กะม'")], form(f"{S} || ',456'", f"{S} || ',204'", "'OK ' || p_name", "p_type || 'กำ'"))
 told("clean_header", lambda c: text.clean_cell(c, header=True), [form(f"'ลบ. ' || {S}", "p_type || ' (ลบ)'", "'พ.บ.' || p_name", "'SO2'")], form(f"'ล้านบาท ' || {S}", "p_type || ' (ล้านบาท)'", "'พันบาท' || p_name", "'SO2'"))
 told("clean_text", text.clean_text, ["chr(10) || p_name || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || '  ' || p_type || chr(9) || chr(1) || 'b '"], "p_name || chr(10) || chr(10) || p_type || ' b'")
