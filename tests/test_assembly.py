@@ -3,9 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from docloom.operators import assembly, dom
+from docloom.operators.dom import in_parts
 
 
 def brute_grid(rows):
@@ -121,3 +123,8 @@ def test_no_character_is_in_two_parts(spark):
     for i, _, body in rows:
         found = [w for r in parts if r.doc == i for w in re.findall(r"w\d+x\d+q", str((r.headers, r.rows, r.text)))]
         assert sorted(found) == sorted(re.findall(r"w\d+x\d+q", body))
+
+
+def test_grids_leave_a_task_in_parts():
+    made = list(in_parts(pa.array([3, 0, 50, None, 7, 1]), lambda n: [["x"] * (n or 0)], lambda g: sum(map(len, g)), 10))
+    assert [(start, [len(g[0]) for g in of]) for start, of in made] == [(0, [3, 0, 50]), (3, [0, 7, 1])]
