@@ -7,7 +7,8 @@ frequent tokens last and the rest by hash: tokens met in its prefixes make the
 buckets from which candidates come, if what follows the token is long enough in
 both sets. Other orders, by other hashes, then must
 agree, on short fingerprints of their prefixes; what passes all is verified on
-the whole sets.
+the whole sets. Each class is first verified with one of those it may link to; of the
+other pairs only those whose ends still lie in two components are.
 
 Only components are wanted, so large groups aren't expanded into pairs. Equal sets
 are one class from the start. A bucket of few members gives its pairs. A larger
@@ -136,11 +137,11 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
             rows = np.concatenate(waiting)
             token, sig = token_of(rows), rows["sig"].astype(np.int64).view(np.uint64)
             to = (mixed(np.where(member(token, short), token ^ mixed(sig), token)) % np.uint64(deal)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((token, to))
             rows, to = rows[order], to[order]
             begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
             end = np.append(begin[1:], len(to))
-            return pa.RecordBatch.from_arrays([pa.array(to[begin]), pa.array([rows[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())], ["part", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array(to[begin]), pa.array([planes(rows[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary())], ["part", "rows"])
 
         for batch in batches:
             for part in slices(batch):
@@ -174,7 +175,7 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
     names = [c.split()[0] for c in MET.split(", ")]
 
     def met(batches):
-        rows = [np.frombuffer(x.as_buffer(), SENT) for batch in batches for x in batch.column(1)]
+        rows = [from_planes(x.as_buffer()) for batch in batches for x in batch.column(1)]
         if not rows:
             return
         rows = np.concatenate(rows)
@@ -221,6 +222,15 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
     return packed.repartition(parts, "part").mapInArrow(met, MET)
 
 
+def planes(rows: np.ndarray) -> bytes:
+    """Rows of SENT in order of their tokens, all first bytes, then all second ones and so on: Spark's compression then finds what they share."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), SENT.itemsize).T).tobytes()
+
+
+def from_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(SENT.itemsize, -1).T).view(SENT).ravel()
+
+
 def token_of(rows: np.ndarray) -> np.ndarray:
     return (rows["high"].astype(np.uint64) << CUT) | rows["low"].astype(np.uint64)
 
@@ -231,18 +241,17 @@ def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def packed_sets(docs: DataFrame, text_col: str) -> DataFrame:
-    """sig, marks, tokens: the class of each text's set, the fingerprints of its prefixes and the set itself, as bytes."""
+def packed_sets(docs: DataFrame, text_col: str, of) -> DataFrame:
+    """sig, value: the class of each text's set, and what `of` makes of the set, as bytes."""
 
     def packed(batches):
         hasher = WordHasher(SPACES)
         for batch in batches:
             for part in slices(batch):
                 own = [s for s in sets(hasher, part.column(0)) if len(s)]
-                columns = [pa.array([signature(s) for s in own], pa.int64()), pa.array(map(order_marks, own), pa.binary()), pa.array(map(six_bytes, own), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "marks", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in own], pa.int64()), pa.array(map(of, own), pa.binary())], ["sig", "value"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(packed, "sig long, marks binary, tokens binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(packed, "sig long, value binary")
 
 
 def six_bytes(s: np.ndarray) -> bytes:
@@ -295,11 +304,39 @@ def compared(pairs: DataFrame, values: DataFrame, alike) -> DataFrame:
     return both.select(*columns, "__x", "__y").mapInArrow(kept, "a long, b long, na long, nb long")
 
 
-def values_of(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame, repeated_ids: bool, sigs: DataFrame) -> DataFrame:
-    """packed_sets of the classes in sigs, from the text of the first document that has each; written, for they are read twice or more."""
-    ids = checkpointed(sigs.join(firsts, "sig").select(F.col("first_id").alias(id_col)))
-    made = packed_sets(semi_join(docs, ids, id_col), text_col)
-    return written(made.dropDuplicates(["sig"]) if repeated_ids else made)
+def packer(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame, repeated_ids: bool):
+    """A function (sigs, of): packed_sets of the classes in sigs, from the text of the first document that has each."""
+
+    def packed(sigs: DataFrame, of) -> DataFrame:
+        ids = checkpointed(sigs.join(firsts, "sig").select(F.col("first_id").alias(id_col)))
+        made = packed_sets(semi_join(docs, ids, id_col), text_col, of)
+        return made.dropDuplicates(["sig"]) if repeated_ids else made
+
+    return packed
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs a part that has each class: that with the least of those it is paired with."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
+    least = both.groupBy("a").agg(F.min(F.struct("b", "na", "nb")).alias("l")).select("a", "l.*")
+    turned = F.struct("na", "a") > F.struct("nb", "b")  # as they were
+    pick = lambda x, y, to: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(to)
+    return least.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"), pick("nb", "na", "nb")).distinct()
+
+
+def linked(likely: DataFrame, packed) -> DataFrame:
+    """Labels (node, component) of what pairs whose sets are alike make: one pair of each class, then those between different components."""
+    some = checkpointed(nearest(likely))
+    labels = components(compared(some, packed(ends_of(some), six_bytes), by_sets), "a", "b")
+    apart = labelled(labelled(likely, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b", "na", "nb")
+    rest = checkpointed(apart.join(some.select("a", "b"), ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return labels
+    return checkpointed(contracted(labels, compared(rest, packed(ends_of(rest), six_bytes), by_sets)))
 
 
 def by_marks(x, y, nx, ny):
@@ -369,19 +406,22 @@ def cells(rows: DataFrame) -> DataFrame:
     return dealt.select("p", "a", "na", "ca", "value", F.explode(F.when(F.col("small"), one).when(F.col("inner"), across).otherwise(around)).alias("cell")).select("p", "cell.*", "a", "na", "ca", "value")
 
 
-def star_links(star: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame, c: str, name: str) -> DataFrame:
+    """rows with the component of c as name; c itself where it has no label."""
+    return rows.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
+
+
+def star_links(star: DataFrame, labels: DataFrame, marks: DataFrame, packed) -> DataFrame:
     """Links (a, b) between different components within stars, enough of them to join all that are linked.
 
     A first pass over fingerprints finds the members that may link; sets of only these are compared.
     """
-    of = lambda df, c, name: df.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
-    named = of(of(star, "a", "ca"), "p", "cp").select("p", "a", "na", "ca", (F.col("ca") == F.col("cp")).alias("inner"))
+    named = labelled(labelled(star, labels, "a", "ca"), labels, "p", "cp").select("p", "a", "na", "ca", (F.col("ca") == F.col("cp")).alias("inner"))
     named = checkpointed(named.join(named.filter("not inner").select("p").distinct(), "p", "left_semi"))
-    marks = semi_join(values.select("sig", "marks"), named.select(F.col("a").alias("sig")).distinct(), "sig")
-    rows = named.join(marks.toDF("a", "value"), "a")
+    own = semi_join(marks, named.select(F.col("a").alias("sig")).distinct(), "sig")
+    rows = named.join(own.toDF("a", "value"), "a")
     maybe = checkpointed(cells(rows).groupBy("p", "kind", "i", "j").applyInArrow(cell_members, "p long, a long, na long, ca long, inner boolean").distinct())
-    sets_ = semi_join(values.select("sig", "tokens"), maybe.select(F.col("a").alias("sig")).distinct(), "sig")
-    rows = maybe.join(sets_.toDF("a", "value"), "a")
+    rows = maybe.join(packed(maybe.select(F.col("a").alias("sig")).distinct(), six_bytes).toDF("a", "value"), "a")
     return cells(rows).groupBy("p", "kind", "i", "j").applyInArrow(cell_links, "a long, b long")
 
 
@@ -473,12 +513,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ends = F.sort_array(F.array(F.struct(F.col("na").alias("n"), F.col("a").alias("sig")), F.struct(F.col("np").alias("n"), F.col("p").alias("sig"))))
     rays = star.filter("near and a <> p").select(ends.alias("e")).select(F.col("e")[0]["sig"].alias("a"), F.col("e")[1]["sig"].alias("b"), F.col("e")[0]["n"].alias("na"), F.col("e")[1]["n"].alias("nb"))
     pairs = checkpointed(met.filter("token is null").select("a", "b", "na", "nb").unionByName(rays).distinct())
-    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(star.select(F.col("a").alias("sig"))).distinct()
-    values = values_of(docs, id_col, text_col, firsts, repeated_ids, sigs)
-    likely = checkpointed(compared(pairs, values.select("sig", "marks"), by_marks))
-    sets_ = semi_join(values.select("sig", "tokens"), likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig")
-    labels = components(compared(likely, sets_, by_sets), "a", "b")
-    more = checkpointed(star_links(star, labels, values))
+    packed = packer(docs, id_col, text_col, firsts, repeated_ids)
+    marks = written(packed(ends_of(pairs).unionByName(star.select(F.col("a").alias("sig"))).distinct(), order_marks))
+    likely = checkpointed(compared(pairs, marks, by_marks))
+    labels = linked(likely, packed)
+    more = checkpointed(star_links(star, labels, marks, packed))
     if not more.isEmpty():
         labels = checkpointed(contracted(labels, more))
 

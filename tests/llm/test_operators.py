@@ -259,6 +259,42 @@ def test_a_large_group_whose_members_link_by_others(spark, monkeypatch):
     assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == groups(texts)
 
 
+def test_sets_are_compared_once_for_a_class_and_then_only_between_components(spark, monkeypatch):
+    # 40 copies of one text, each with a word of its own: all 780 pairs are likely, 39 join them; the last pairs show that links left out first are made up for
+    compared, seen = jaccard_join.compared, []
+
+    def counting(pairs, values, alike):
+        if alike is jaccard_join.by_sets:
+            seen.append(pairs.count())
+        return compared(pairs, values, alike)
+
+    monkeypatch.setattr(jaccard_join, "compared", counting)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(5, 205, 5)]
+    out = collected(jaccard_join.join(documents(spark, texts)))
+    assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == groups(texts)
+    assert sum(seen) < 80
+
+
+def test_links_beside_the_nearest_are_made_up_for(spark):
+    schema = "a long, b long, na long, nb long"
+    # the nearest are 1-2, 2-3, 1-4 and 5-6, of which only 1-2 is alike; 3-4, left out at first, is too
+    pairs = spark.createDataFrame([(1, 2, 10, 10), (2, 3, 10, 10), (3, 4, 10, 10), (1, 4, 10, 10), (5, 6, 10, 10)], schema)
+    values = {1: range(10), 2: range(10), 3: range(20, 30), 4: [*range(20, 29), 40], 5: range(50, 60), 6: range(70, 80)}
+    packed = lambda sigs, of: spark.createDataFrame([(k, of(np.array(v, np.uint64) << np.uint64(16))) for k, v in values.items()], "sig long, value binary").join(sigs, "sig", "left_semi")
+    out = {r["node"]: r["component"] for r in jaccard_join.linked(pairs, packed).collect()}
+    assert (out[1], out[2], out[3], out[4]) == (1, 1, 3, 3)
+    assert out.get(5, 5) != out.get(6, 6)
+
+
+def test_packed_rows_come_back(spark):
+    rows = np.zeros(300, jaccard_join.SENT)
+    for f in jaccard_join.SENT.names:
+        rows[f] = np.random.default_rng(3).integers(0, 30_000, 300)
+    assert (jaccard_join.from_planes(jaccard_join.planes(rows)) == rows).all()
+    assert len(jaccard_join.planes(rows)) == rows.nbytes
+
+
 def test_join_of_an_empty_table_and_of_null_ids(spark):
     assert jaccard_join.join(documents(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "A b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
