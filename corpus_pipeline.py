@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, jaccard_join, mixing, pii, quality
-from docloom.llm.common import few, shared_dir, table
+from docloom.llm.common import checkpointed, few, shared_dir, table
 
 
 def row_key():
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     no words have no copies and stay.
     """
     keyed = docs.withColumn("__key", row_key())
-    found = jaccard_join.join(keyed, "__key")
+    found = checkpointed(jaccard_join.join(keyed, "__key").select("__key", "component_id"))  # read thrice
     goes = found.filter("__key <> component_id").select(F.col("__key").alias("__gone")).distinct()
     gone = F.broadcast(goes) if few(goes, 200_000) else goes
     left = keyed.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti")

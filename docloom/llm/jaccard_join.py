@@ -8,7 +8,7 @@ buckets from which candidates come, if what follows the token is long enough in
 both sets. Other orders, by other hashes, then must
 agree, on short fingerprints of their prefixes; what passes all is verified on
 the whole sets. Each class is first verified with one of those it may link to; of the
-other pairs only those whose ends still lie in two components are.
+other pairs only those are whose ends haven't been linked to one class by that.
 
 Only components are wanted, so large groups aren't expanded into pairs. Equal sets
 are one class from the start. A bucket of few members gives its pairs. A larger
@@ -137,11 +137,11 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
             rows = np.concatenate(waiting)
             token, sig = token_of(rows), rows["sig"].astype(np.int64).view(np.uint64)
             to = (mixed(np.where(member(token, short), token ^ mixed(sig), token)) % np.uint64(deal)).astype(np.int32)
-            order = np.lexsort((token, to))
+            order = np.argsort(to, kind="stable")
             rows, to = rows[order], to[order]
             begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
             end = np.append(begin[1:], len(to))
-            return pa.RecordBatch.from_arrays([pa.array(to[begin]), pa.array([planes(rows[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary())], ["part", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array(to[begin]), pa.array([rows[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())], ["part", "rows"])
 
         for batch in batches:
             for part in slices(batch):
@@ -175,7 +175,7 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
     names = [c.split()[0] for c in MET.split(", ")]
 
     def met(batches):
-        rows = [from_planes(x.as_buffer()) for batch in batches for x in batch.column(1)]
+        rows = [np.frombuffer(x.as_buffer(), SENT) for batch in batches for x in batch.column(1)]
         if not rows:
             return
         rows = np.concatenate(rows)
@@ -222,15 +222,6 @@ def buckets(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int) ->
     return packed.repartition(parts, "part").mapInArrow(met, MET)
 
 
-def planes(rows: np.ndarray) -> bytes:
-    """Rows of SENT in order of their tokens, all first bytes, then all second ones and so on: Spark's compression then finds what they share."""
-    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), SENT.itemsize).T).tobytes()
-
-
-def from_planes(data) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(SENT.itemsize, -1).T).view(SENT).ravel()
-
-
 def token_of(rows: np.ndarray) -> np.ndarray:
     return (rows["high"].astype(np.uint64) << CUT) | rows["low"].astype(np.uint64)
 
@@ -329,14 +320,16 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 
 def linked(likely: DataFrame, packed) -> DataFrame:
-    """Labels (node, component) of what pairs whose sets are alike make: one pair of each class, then those between different components."""
+    """Labels (node, component) of what pairs whose sets are alike make: one pair of each class, then those whose ends aren't linked to one class by that."""
+    of = lambda pairs: compared(pairs, written(packed(ends_of(pairs), six_bytes)), by_sets)
     some = checkpointed(nearest(likely))
-    labels = components(compared(some, packed(ends_of(some), six_bytes), by_sets), "a", "b")
-    apart = labelled(labelled(likely, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b", "na", "nb")
+    links = checkpointed(of(some).select("a", "b"))
+    hubs = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least("a", F.min("b")).alias("hub"))
+    apart = labelled(labelled(likely, hubs, "a", "ha"), hubs, "b", "hb").filter("ha <> hb").select("a", "b", "na", "nb")
     rest = checkpointed(apart.join(some.select("a", "b"), ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return labels
-    return checkpointed(contracted(labels, compared(rest, packed(ends_of(rest), six_bytes), by_sets)))
+    if not rest.isEmpty():
+        links = links.unionByName(of(rest).select("a", "b"))
+    return components(links, "a", "b")
 
 
 def by_marks(x, y, nx, ny):
@@ -411,13 +404,15 @@ def labelled(rows: DataFrame, labels: DataFrame, c: str, name: str) -> DataFrame
     return rows.join(labels.toDF("__node", name), F.col(c) == F.col("__node"), "left").withColumn(name, F.coalesce(name, c)).drop("__node")
 
 
-def star_links(star: DataFrame, labels: DataFrame, marks: DataFrame, packed) -> DataFrame:
-    """Links (a, b) between different components within stars, enough of them to join all that are linked.
+def star_links(star: DataFrame, labels: DataFrame, marks: DataFrame, packed) -> DataFrame | None:
+    """Links (a, b) between different components within stars, enough of them to join all that are linked; None if no star has any.
 
     A first pass over fingerprints finds the members that may link; sets of only these are compared.
     """
     named = labelled(labelled(star, labels, "a", "ca"), labels, "p", "cp").select("p", "a", "na", "ca", (F.col("ca") == F.col("cp")).alias("inner"))
     named = checkpointed(named.join(named.filter("not inner").select("p").distinct(), "p", "left_semi"))
+    if named.isEmpty():
+        return None
     own = semi_join(marks, named.select(F.col("a").alias("sig")).distinct(), "sig")
     rows = named.join(own.toDF("a", "value"), "a")
     maybe = checkpointed(cells(rows).groupBy("p", "kind", "i", "j").applyInArrow(cell_members, "p long, a long, na long, ca long, inner boolean").distinct())
@@ -509,16 +504,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     firsts = checkpointed(own.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first_id")))
     repeated_ids = not own.groupBy("id").count().filter("count > 1").isEmpty()
 
-    star = checkpointed(stars(met.filter("token is not null").select("token", "a", "na", "pos", "central")))
-    ends = F.sort_array(F.array(F.struct(F.col("na").alias("n"), F.col("a").alias("sig")), F.struct(F.col("np").alias("n"), F.col("p").alias("sig"))))
-    rays = star.filter("near and a <> p").select(ends.alias("e")).select(F.col("e")[0]["sig"].alias("a"), F.col("e")[1]["sig"].alias("b"), F.col("e")[0]["n"].alias("na"), F.col("e")[1]["n"].alias("nb"))
-    pairs = checkpointed(met.filter("token is null").select("a", "b", "na", "nb").unionByName(rays).distinct())
+    members = met.filter("token is not null").select("token", "a", "na", "pos", "central")
+    pairs = met.filter("token is null").select("a", "b", "na", "nb")
+    star = None if members.isEmpty() else checkpointed(stars(members))
+    if star is not None:
+        ends = F.sort_array(F.array(F.struct(F.col("na").alias("n"), F.col("a").alias("sig")), F.struct(F.col("np").alias("n"), F.col("p").alias("sig"))))
+        rays = star.filter("near and a <> p").select(ends.alias("e")).select(F.col("e")[0]["sig"].alias("a"), F.col("e")[1]["sig"].alias("b"), F.col("e")[0]["n"].alias("na"), F.col("e")[1]["n"].alias("nb"))
+        pairs = pairs.unionByName(rays)
+    pairs = checkpointed(pairs.distinct())
     packed = packer(docs, id_col, text_col, firsts, repeated_ids)
-    marks = written(packed(ends_of(pairs).unionByName(star.select(F.col("a").alias("sig"))).distinct(), order_marks))
+    sigs = ends_of(pairs) if star is None else ends_of(pairs).unionByName(star.select(F.col("a").alias("sig"))).distinct()
+    marks = written(packed(sigs, order_marks))
     likely = checkpointed(compared(pairs, marks, by_marks))
     labels = linked(likely, packed)
-    more = checkpointed(star_links(star, labels, marks, packed))
-    if not more.isEmpty():
+    more = None if star is None else star_links(star, labels, marks, packed)
+    if more is not None and not (more := checkpointed(more)).isEmpty():
         labels = checkpointed(contracted(labels, more))
 
     named = firsts.join(labels, firsts["sig"] == labels["node"], "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))

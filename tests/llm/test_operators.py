@@ -287,12 +287,11 @@ def test_links_beside_the_nearest_are_made_up_for(spark):
     assert out.get(5, 5) != out.get(6, 6)
 
 
-def test_packed_rows_come_back(spark):
-    rows = np.zeros(300, jaccard_join.SENT)
-    for f in jaccard_join.SENT.names:
-        rows[f] = np.random.default_rng(3).integers(0, 30_000, 300)
-    assert (jaccard_join.from_planes(jaccard_join.planes(rows)) == rows).all()
-    assert len(jaccard_join.planes(rows)) == rows.nbytes
+def test_groups_without_large_buckets_make_no_stars(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "stars", None)  # neither called nor planned
+    texts = near_copies(4, 40)
+    out = collected(jaccard_join.join(documents(spark, texts)))
+    assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == groups(texts)
 
 
 def test_join_of_an_empty_table_and_of_null_ids(spark):
